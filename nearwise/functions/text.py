@@ -70,8 +70,22 @@ def title_case(text: Column | str) -> Column:
 
 
 def four_decimals(number: Column | str) -> Column:
-    """A score rendered with four decimals."""
-    return F.format_string("%.4f", _col(number))
+    """A score rendered with four decimals, rounding the number's exact binary value.
+
+    ``format_string`` alone rounds the shortest decimal form, so 0.32575 (stored slightly below that)
+    would become 0.3258. The product with 10,000 is split into its rounded value and its rounding error.
+    """
+    size = F.abs(_col(number))
+    stretched = size * F.lit(134217729.0)
+    high = stretched - (stretched - size)
+    product = size * 10000.0
+    error = (high * 10000.0 - product) + (size - high) * 10000.0
+    whole = F.floor(product).cast("double")
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = F.format_string("%.4f", (whole + F.when(up, 1.0).otherwise(0.0)) / 10000.0)
+    text = F.when(size < 1e11, rounded).otherwise(F.format_string("%.4f", size))
+    return F.when(_col(number) < 0, F.concat(F.lit("-"), text)).when(size.isNotNull(), text)
 
 
 def _col(value: Column | str) -> Column:

@@ -16,7 +16,6 @@ cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 
 DIM = 256
 MAX_BROADCAST_TERMS = 200_000  # rows of (term, idf, bucket): about 20 MB
-HOT_SHARE = 0.001  # a term in more than this share of the documents is hot
 
 
 def fit_terms(docs: DataFrame, text: str = "combined_text", dim: int = DIM) -> DataFrame:
@@ -48,30 +47,30 @@ def embed_tfidf(
     text: str = "combined_text",
     dim: int = DIM,
     max_broadcast_terms: int = MAX_BROADCAST_TERMS,
-    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """One dense vector per text: each term adds its share of the text times its idf to its bucket.
 
     Terms that are not in ``terms`` add nothing; a text without known terms gets a zero vector, and a null
     text an empty one's. Documents and queries must use the same ``terms`` and ``dim``.
 
-    A vocabulary of checked size is broadcast. Beyond that only the hot terms are: a term in more than
-    ``hot_share`` of the documents appears at most (words per document / ``hot_share``) times over, so their
-    number does not grow with the corpus. The rare terms left over are joined by shuffle, where none of
-    them can be a hot key, after equal words of a text have been counted together.
+    A vocabulary of checked size is broadcast. Of a larger one only the ``max_broadcast_terms`` most common
+    terms are; the rest is joined by shuffle after equal words of a text have been counted together, and
+    none of those terms can be a hot key: it holds at most one in ``max_broadcast_terms`` of all rows.
     """
-    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
     split = (
-        docs.select(key, words.alias("words"))
+        docs.select(key, text)
         .repartition(key)
+        .select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("words"))
         .select(key, F.size("words").alias("n_words"), F.explode_outer("words").alias("term"))
     )
     lookup = terms.select("term", "idf", "bucket")
-    if terms.count() <= max_broadcast_terms:
+    n_terms = terms.count()
+    if n_terms <= max_broadcast_terms:
         sums = _bucket_sums(split.join(F.broadcast(lookup), "term", "left"), key, F.col("idf"))
     else:
-        busiest = terms.agg(F.max("df")).first()[0]
-        hot = terms.where(F.col("df") > hot_share * busiest).select("term", "idf", "bucket")
+        share = 1 - max_broadcast_terms / n_terms
+        threshold = terms.agg(F.percentile_approx("df", share, 1_000_000)).first()[0]
+        hot = terms.where(F.col("df") > threshold).select("term", "idf", "bucket")
         common = split.join(F.broadcast(hot), "term", "left")
         rare = (
             split.join(F.broadcast(hot.select("term")), "term", "left_anti")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nearwise.functions.text import clean_query_text
+from nearwise.session import materialize
 
 # The label that means "no facet", the class of facets every filter lets through, and the
 # names looked for in query texts, in order of priority.
@@ -116,44 +118,63 @@ def _needle(value: Column, word_boundary: bool) -> Column:
     return F.concat(F.lit(" "), clean_query_text(value), F.lit(" ")) if word_boundary else F.lower(value)
 
 
-GRAM = 4  # letters per group
+GRAM_SIZES = (32, 16, 8, 4, 3, 2, 1)  # letters per group; a value uses the largest that fits
+MAX_BROADCAST_VALUES = 1_000_000  # (hash, pos) pairs: 16 MB
 
 
 def _detect_by_grams(texts, dictionary, key, text, word_boundary) -> DataFrame:
-    """Containment by an equi-join on letter groups, for dictionaries of any size.
+    """Containment by an equi-join on hashed letter groups, for dictionaries of any size.
 
-    A text that contains a value contains every group of the value's letters, so each value needs to be
-    looked up by one group only: its rarest one in the dictionary. The match is then verified. Values
-    shorter than a group are looked up whole among the text's groups of their own length.
+    A text that contains a value contains every letter group of the value, so each value needs to be looked
+    up by one group only: its rarest one in the dictionary. Pairs that agree on the group's hash are then
+    verified on the texts. The empty value is contained in every text.
     """
     needles = dictionary.select("pos", "value", _needle(F.col("value"), word_boundary).alias("needle"))
-    empty = needles.where(F.length("needle") == 0).agg(F.min_by("value", "pos").alias("v"), F.min("pos").alias("p"))
-    needles = needles.where(F.length("needle") > 0)
-    grams = needles.select("pos", "value", "needle", F.explode(_grams(F.col("needle"), F.least(F.length("needle"), F.lit(GRAM)))).alias("gram"))
-    commonness = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    size = F.lit(None).cast("int")
+    for n in GRAM_SIZES[::-1]:
+        size = F.when(F.length("needle") >= n, n).otherwise(size)
+    needles = needles.withColumn("size", size)
+    n_values, sizes = needles.agg(F.count("*"), F.collect_set("size")).first()
+    grams = needles.select("pos", "size", F.explode(_gram_hashes(F.col("needle"), F.col("size"), sizes)).alias("gram"))
+    commonness = grams.groupBy("size", "gram").agg(F.count("*").alias("n"))
     anchors = (
-        grams.join(commonness, "gram")
-        .groupBy("pos")
-        .agg(F.min(F.struct("n", "gram")).alias("rarest"), F.first("value").alias("value"), F.first("needle").alias("needle"))
-        .select("pos", "value", "needle", F.col("rarest.gram").alias("gram"))
+        grams.join(commonness, ["size", "gram"])
+        .groupBy("pos", "size")
+        .agg(F.min(F.struct("n", "gram")).alias("rarest"))
+        .select("pos", "size", F.col("rarest.gram").alias("gram"))
     )
+    if n_values <= MAX_BROADCAST_VALUES:
+        anchors = F.broadcast(anchors)
     hay = texts.select(key, _haystack(F.col(text), word_boundary).alias("hay"))
-    pieces = F.array_distinct(F.flatten(F.array(*[_grams(F.col("hay"), F.lit(n)) for n in range(1, GRAM + 1)])))
-    hits = (
-        hay.select(key, "hay", F.explode(pieces).alias("gram"))
-        .join(anchors, "gram")
-        .where(F.contains("hay", "needle"))
-        .groupBy(key)
-        .agg(F.min(F.struct("pos", "value")).alias("hit"))
-    )
-    found = texts.join(hits, key, "left").crossJoin(F.broadcast(empty))  # one row
-    best = F.when(
-        F.col("p").isNotNull() & (F.col("hit.pos").isNull() | (F.col("p") < F.col("hit.pos"))) & F.col(text).isNotNull(),
-        F.col("v"),
-    ).otherwise(F.col("hit.value"))
-    return found.withColumn("detected_facet", best).drop("hit", "v", "p")
-
-
-def _grams(text: Column, size: Column) -> Column:
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
-    return F.coalesce(F.transform(starts, lambda at: F.substr(text, at, size)), F.array().cast("array<string>"))
+    pieces = [
+        hay.select(key, F.lit(n).alias("size"), F.explode(F.array_distinct(_gram_hashes(F.col("hay"), F.lit(n), [n]))).alias("gram"))
+        for n in sorted(sizes)
+    ]
+    pairs = [piece.join(anchors, ["size", "gram"]).select(key, "pos") for piece in pieces]
+    candidates = materialize(reduce(DataFrame.unionByName, pairs), "facet-pairs") if pairs else None
+    empty = needles.where(F.length("needle") == 0).select("pos", "value").orderBy("pos").limit(1).collect()
+    if candidates is not None:
+        # The candidates are a written table of known size: Spark broadcasts them when they are few.
+        hits = (
+            hay.join(candidates, key)
+            .join(needles.select("pos", "value", "needle"), "pos")
+            .where(F.contains("hay", "needle"))
+            .groupBy(key)
+            .agg(F.min(F.struct("pos", "value")).alias("hit"))
+        )
+        found = texts.join(hits, key, "left")
+    else:
+        found = texts.withColumn("hit", F.lit(None).cast(needles.select(F.struct("pos", "value").alias("hit")).schema["hit"].dataType))
+    if empty:
+        everywhere = F.struct(F.lit(empty[0].pos).alias("pos"), F.lit(empty[0].value).alias("value"))
+        found = found.withColumn("hit", F.when(F.col(text).isNotNull(), F.least(F.coalesce("hit", everywhere), everywhere)))
+    return found.withColumn("detected_facet", F.col("hit.value")).drop("hit")
+
+
+def _gram_hashes(text: Column, size: Column, sizes: list[int]) -> Column:
+    """Hashes of the overlapping letter groups of one of the given sizes."""
+    groups = F.lit(None).cast("array<string>")
+    for n in sizes:
+        overlapping = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        groups = F.when(size == n, overlapping).otherwise(groups)
+    return F.transform(groups, lambda group: F.xxhash64(group))

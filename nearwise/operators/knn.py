@@ -114,12 +114,13 @@ def nearest_first() -> list[Column]:
     return [cost.asc(), F.col("doc_id").asc()]
 
 
-def single_query(vector: Column, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def single_query(vector: Sequence[float], corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The ``k`` rows nearest to one vector by squared distance, nearest first.
 
-    A literal or scalar-subquery vector keeps the plan in the JVM, ending in a distributed top-k.
+    The vector is a literal, so the plan stays in the JVM and ends in a distributed top-k.
     """
-    scored = corpus.select("doc_id", F.round(squared_l2("embedding", vector), digits).alias("score"))
+    literal = F.array(*[F.lit(float(x)) for x in vector])
+    scored = corpus.select("doc_id", F.round(squared_l2("embedding", literal), digits).alias("score"))
     return scored.where(F.col("score").isNotNull()).orderBy("score", "doc_id").limit(k)
 
 

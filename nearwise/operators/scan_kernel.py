@@ -189,9 +189,8 @@ def _candidates(low, slack, bound, task):
         highest = np.take_along_axis(low, nearest, axis=1).astype(np.float64) + slack[0][nearest]
         limit = np.minimum(bound, highest.max(axis=1) + slack[1])
     grain = 0.0 if task.digits is None else 10.0**-task.digits
-    highest_finite = np.finfo(low.dtype).max
-    limit = np.minimum(limit + grain, highest_finite).astype(low.dtype)
-    limit = np.minimum(np.nextafter(limit, np.inf, dtype=low.dtype), highest_finite)
+    limit = np.minimum(limit + grain, np.finfo(low.dtype).max / 2).astype(low.dtype)
+    limit = np.nextafter(limit, np.inf, dtype=low.dtype)  # infinite costs stay out
     return np.nonzero(low <= limit[:, None])
 
 
