@@ -38,17 +38,29 @@ NUKTA_LETTERS = {
 }
 
 
+# The code points of the consonants above, and of what replaces their inherent vowel.
+CONSONANT_CLASS = "\u0915-\u0928\u092a-\u0933\u0935-\u0939\u0958-\u095f"
+CLOSER_CLASS = "\u093e-\u0944\u0947\u0948\u094b-\u094d\u0962\u0963"
+
+
 def romanize(text: Column) -> Column:
     """The text with Devanagari letters spelled in ITRANS; all other characters stay.
 
-    A consonant without a vowel sign or virama carries an inherent ``a``. Rows without Devanagari skip
-    the replacements.
+    A consonant without a vowel sign or virama carries an inherent ``a``. Rows without Devanagari skip the
+    replacements. Letters spelled with one character are translated in one pass.
     """
     composed = _replace_all(text, {base + NUKTA: letter for base, letter in NUKTA_LETTERS.items()})
-    closers = "".join(VOWEL_SIGNS) + VIRAMA
-    spelled = F.regexp_replace(composed, f"([{''.join(CONSONANTS)}])(?![{closers}])", "$1a")
+    spelled = F.regexp_replace(composed, f"([{CONSONANT_CLASS}])(?![{CLOSER_CLASS}])", "$1a")
     letters = {**CONSONANTS, **VOWELS, **VOWEL_SIGNS, VIRAMA: "", **MARKS, **DIGITS}
-    return F.when(F.rlike(text, F.lit("[ऀ-ॿ]")), _replace_all(spelled, letters)).otherwise(text)
+    single = {letter: latin for letter, latin in letters.items() if len(latin) == 1}
+    several = {letter: latin for letter, latin in letters.items() if len(latin) != 1}
+    translated = F.translate(spelled, "".join(single), "".join(single.values()))
+    return F.when(has_devanagari(text), _replace_all(translated, several)).otherwise(text)
+
+
+def has_devanagari(text: Column) -> Column:
+    """Whether any character is in the Devanagari block."""
+    return F.rlike(text, F.lit("[\u0900-\u097f]"))
 
 
 def _replace_all(text: Column, table: dict[str, str]) -> Column:

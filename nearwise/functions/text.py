@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nearwise.functions.romanize import romanize
+from nearwise.functions.romanize import has_devanagari, romanize
 
 # The 32 ASCII punctuation characters, and every character Unicode calls white space
 # (Java's \s alone misses the separators U+001C-U+001F, U+0085 and the Z categories).
@@ -34,10 +34,13 @@ def clean_query_text(text: Column | str) -> Column:
 def clean_index_text(text: Column | str) -> Column:
     """The lowercased text followed by its lowercased romanised form; punctuation is kept.
 
-    Text without Devanagari appears twice, which changes term counts but not term shares.
+    Text without Devanagari appears twice, which changes term counts but not term shares; it is cleaned
+    once and repeated.
     """
     source = F.coalesce(_col(text), F.lit(""))
-    return collapse_space(F.concat_ws(" ", F.lower(source), F.lower(romanize(source))))
+    both = collapse_space(F.concat_ws(" ", F.lower(source), F.lower(romanize(source))))
+    twice = F.trim(F.repeat(F.concat(collapse_space(F.lower(source)), F.lit(" ")), 2))
+    return F.when(has_devanagari(source), both).otherwise(twice)
 
 
 CLEANERS = {"index": clean_index_text, "query": clean_query_text}

@@ -27,7 +27,7 @@ def compare_metrics(hits: DataFrame, k: int, queries: DataFrame | None = None) -
         lists = queries.select("query_id").join(lists, "query_id", "left").withColumns(
             {name: F.coalesce(name, none) for name in ("l2_ids", "cosine_ids")}
         )
-    common = F.array_sort(F.array_intersect("l2_ids", "cosine_ids"))
+    common = F.sort_array(F.array_intersect("l2_ids", "cosine_ids"))
     return lists.withColumn("common_ids", common).withColumns(
         {"common_count": F.size("common_ids"), "common_share": F.size("common_ids") / F.lit(float(k))}
     )
@@ -52,7 +52,7 @@ def compare_names(hits: DataFrame, queries: DataFrame | None = None) -> DataFram
                 "l2_count": F.coalesce("l2_count", F.lit(0).cast("long")),
             }
         )
-    common = F.array_sort(F.array_intersect("l2_names", "cosine_names"))
+    common = F.sort_array(F.array_intersect("l2_names", "cosine_names"))
     return lists.select(
         "query_id",
         "l2_count",
@@ -79,4 +79,4 @@ def _of(metric: str, column: str) -> Column:
 
 def _ranked(value: Column, metric: str) -> Column:
     entry = F.when(F.col("metric") == metric, F.struct("rank", value.alias("value")))
-    return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["value"])
+    return F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["value"])

@@ -15,7 +15,8 @@ from nearwise.session import materialize
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 
 DIM = 256
-MAX_BROADCAST_TERMS = 200_000  # rows of (term, idf, bucket): about 20 MB
+MAX_BROADCAST_TERMS = 1_000_000  # terms a task may hold, and their letters in bytes
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def fit_terms(docs: DataFrame, text: str = "combined_text", dim: int = DIM) -> DataFrame:
@@ -64,11 +65,13 @@ def embed_tfidf(
         .select(key, F.size("words").alias("n_words"), F.explode_outer("words").alias("term"))
     )
     lookup = terms.select("term", "idf", "bucket")
-    n_terms = terms.count()
-    if n_terms <= max_broadcast_terms:
+    n_terms, term_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if n_terms <= max_broadcast_terms and term_bytes <= MAX_BROADCAST_BYTES:
         sums = _bucket_sums(split.join(F.broadcast(lookup), "term", "left"), key, F.col("idf"))
     else:
-        share = 1 - max_broadcast_terms / n_terms
+        mean_bytes = max(1.0, term_bytes / n_terms)
+        n_hot = min(max_broadcast_terms, int(MAX_BROADCAST_BYTES / mean_bytes))
+        share = max(0.0, 1 - n_hot / n_terms)
         threshold = terms.agg(F.percentile_approx("df", share, 1_000_000)).first()[0]
         hot = terms.where(F.col("df") > threshold).select("term", "idf", "bucket")
         common = split.join(F.broadcast(hot), "term", "left")
@@ -94,7 +97,7 @@ def _bucket_sums(weighted: DataFrame, key: str, weight) -> DataFrame:
 
 def _dense(sums: DataFrame, key: str, dim: int) -> DataFrame:
     """Bucket sums as arrays: runs of zeros are written between neighbouring buckets."""
-    pairs = F.array_sort(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "weight"))))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "weight"))))
     sparse = sums.groupBy(key).agg(pairs.alias("pairs"))
     zero = F.lit(0.0)
     filled = F.transform(

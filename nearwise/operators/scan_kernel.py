@@ -102,6 +102,8 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
     """
     classes = (True, False) if task.prefilter else (None,)
     n_queries, dim = queries.vectors.shape
+    if not n_queries:
+        return
     chunks = [slice(at, min(at + QUERY_ROWS, n_queries)) for at in range(0, n_queries, QUERY_ROWS)]
     best = {
         (at, metric, matched): Best(chunk.stop - chunk.start, task.k, task.n_corpus_carry)
@@ -112,7 +114,7 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
     q_norm2 = np.einsum("ij,ij->i", queries.vectors, queries.vectors)
     for batch in batches:
         rows, x = matrix_of(batch.column(1), dim)
-        if not len(rows) or not chunks:
+        if not len(rows):
             continue
         carried = batch.take(pa.array(rows))
         docs = carried.column(0).to_numpy()
