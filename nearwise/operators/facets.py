@@ -24,7 +24,7 @@ STATES = (
 )
 
 MAX_INLINE_VALUES = 512  # dictionary values tested by one expression
-MAX_INLINE_BYTES = 1 << 16
+MAX_INLINE_LETTERS = 1 << 16
 
 
 def facet_equals(facet: Column, value: Column) -> Column:
@@ -90,22 +90,23 @@ def detect_facet(
             rows = list(enumerate(values))
             return _detect_by_grams(texts, spark.createDataFrame(rows, "pos int, value string"), key, text, word_boundary)
         return texts.withColumn("detected_facet", _first_contained(F.col(text), values, word_boundary))
-    n_values, n_bytes = dictionary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
-    if n_values <= max_inline and n_bytes <= MAX_INLINE_BYTES:
-        values = [row.value for row in dictionary.orderBy("pos").collect()]
+    rows = dictionary.select("pos", "value").limit(max_inline + 1).collect()
+    if len(rows) <= max_inline and sum(len(row.value) for row in rows) <= MAX_INLINE_LETTERS:
+        values = [row.value for row in sorted(rows, key=lambda row: row.pos)]
         return texts.withColumn("detected_facet", _first_contained(F.col(text), values, word_boundary))
     return _detect_by_grams(texts, dictionary, key, text, word_boundary)
 
 
 def _first_contained(text: Column, values: list[str], word_boundary: bool) -> Column:
-    hay = _haystack(text, word_boundary)
-    entries = [F.struct(_needle(F.lit(v), word_boundary).alias("needle"), F.lit(v).alias("value")) for v in values]
-    if not entries:
+    if not values:
         return F.lit(None).cast("string")
+    needles = F.array(*[_needle(F.lit(value), word_boundary) for value in values])
+    originals = F.array(*[F.lit(value) for value in values])
+    entries = F.arrays_zip(needles.alias("needle"), originals.alias("value"))  # constant, folded when planned
     # The one-element array binds the lowered text once for all tests.
     found = F.transform(
-        F.array(hay),
-        lambda h: F.get(F.filter(F.array(*entries), lambda e: F.contains(h, e["needle"])), F.lit(0))["value"],
+        F.array(_haystack(text, word_boundary)),
+        lambda hay: F.get(F.filter(entries, lambda e: F.contains(hay, e["needle"])), F.lit(0))["value"],
     )
     return F.get(found, F.lit(0))
 

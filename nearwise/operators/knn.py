@@ -45,6 +45,7 @@ def knn_join(
     strategy: str = "auto",
     max_query_bytes: int = MAX_QUERY_BYTES,
     cell_bytes: int = CELL_BYTES,
+    corpus_rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows for every query under each metric.
 
@@ -60,7 +61,8 @@ def knn_join(
 
     Strategies: ``broadcast`` ships the queries to every task and leaves the corpus where it is stored;
     ``grid`` shuffles blocks of queries against blocks of corpus rows. ``auto`` broadcasts when queries and
-    their result lists are proven to fit in ``max_query_bytes``, and uses the grid beyond that.
+    their result lists are proven to fit in ``max_query_bytes``, and uses the grid beyond that. The grid
+    sizes its blocks by ``corpus_rows``, which is counted when not given.
     """
     unknown = set(metrics) - set(METRICS)
     if unknown:
@@ -97,7 +99,8 @@ def knn_join(
     else:
         per_block = max(1, max_query_bytes // max(1, row_bytes))
         n_query_blocks = max(1, math.ceil(n_queries / per_block))
-        n_corpus_blocks = max(1, math.ceil(rows.count() * max(1, dim) * 8 / cell_bytes))
+        corpus_rows = rows.count() if corpus_rows is None else corpus_rows
+        n_corpus_blocks = max(1, math.ceil(corpus_rows * max(1, dim) * 8 / cell_bytes))
         found = _grid_scan(rows, wanted, task, query_carry, n_query_blocks, n_corpus_blocks)
 
     keys = ["query_id", "metric", *(["matched"] if prefilter else [])]
@@ -141,11 +144,11 @@ cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 def _broadcast_scan(rows, table, task, query_carry) -> DataFrame:
     """Scan corpus partitions in place against a broadcast query matrix."""
     block = scan_kernel.query_block(table, len(query_carry), task.prefilter)
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(block))  # plain arrays need no module to unpickle
 
     def scan_partition(batches):
         part = TaskContext.get().partitionId() // TASKS_PER_PART
-        for batch in scan_kernel.scan(batches, shared.value, task):
+        for batch in scan_kernel.scan(batches, scan_kernel.QueryBlock(*shared.value), task):
             yield _with_part(batch, part)
 
     return rows.mapInArrow(scan_partition, _schema(task, query_carry))

@@ -10,6 +10,7 @@ from nearwise.operators.embed import DIM, embed_tfidf, fit_terms
 from nearwise.operators.facets import ALWAYS_CONTAINS, facet_always, facet_bucket, facet_match, resolve_facet
 from nearwise.operators.knn import METRICS, Facets, knn_join, nearest_first
 from nearwise.operators.topk import rank_within
+from nearwise.session import materialize
 
 DISPLAY_COLUMNS = ("name", "facet", "description", "tags")
 MAX_HITS_BROADCAST_BYTES = 32 << 20
@@ -95,11 +96,16 @@ def search_compare(
 def materialize_hits(hits: DataFrame, corpus: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Attach the display columns of each hit's row, joining on the key.
 
-    ``max_hits`` is a proven bound on the number of hits (queries x metrics x k). When it shows that the
-    hits are small they are broadcast and the corpus is not shuffled; otherwise Spark picks the join.
+    The hits are broadcast when they are known to be few, so that the corpus is scanned in place and not
+    shuffled; otherwise Spark picks the join. ``max_hits`` is a proven bound on their number (queries x
+    metrics x k). Without it they are written to the shared folder first, which also keeps the search from
+    being repeated, and counted there.
     """
+    if max_hits is None:
+        hits = materialize(hits, "hits")
+        max_hits = hits.count()
     shown = corpus.select("doc_id", *[c for c in DISPLAY_COLUMNS if c in corpus.columns and c not in hits.columns])
-    small = max_hits is not None and max_hits * HIT_BYTES <= MAX_HITS_BROADCAST_BYTES
+    small = max_hits * HIT_BYTES <= MAX_HITS_BROADCAST_BYTES
     return shown.join(F.broadcast(hits) if small else hits, "doc_id")
 
 

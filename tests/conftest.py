@@ -11,6 +11,8 @@ from nearwise import get_spark  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    # Start away from the repository: workers must not depend on finding the package in their folder.
+    os.chdir(tmp_path_factory.mktemp("elsewhere"))
     session = get_spark(
         "nearwise-tests",
         "local[8]",

@@ -137,3 +137,28 @@ def test_stream_equals_batch(spark, tmp_path):
     more.write.mode("append").parquet(source)
     expected = sorted(map(tuple, knn_join(arriving.union(more), corpus, 3).collect()))
     assert sorted(map(tuple, run().collect())) == expected
+
+
+def test_stream_of_texts(spark, tmp_path):
+    """The whole text search runs inside a stream, also when queries are cut into blocks."""
+    from nearwise.plans import search
+
+    rows = [(i, f"name{i}", "Goa", f"word{i} word{i % 7}", ["t"]) for i in range(30)]
+    records_df = spark.createDataFrame(rows, "doc_id long, name string, facet string, description string, tags array<string>")
+    _, terms, vectors_df = search.build_corpus(records_df, dim=32)
+    arriving = spark.createDataFrame([(i, f"word{i} word3") for i in range(12)], "query_id long, text string")
+    arriving.write.parquet(str(tmp_path / "in"))
+
+    def answer(strategy):
+        def run(batch):
+            embedded = search.embed_queries(search.nonblank(batch), terms, dim=32)
+            return knn_join(embedded, vectors_df, 4, strategy=strategy)
+
+        return run
+
+    expected = sorted(map(tuple, answer("auto")(arriving).collect()))
+    for strategy in ("auto", "grid"):
+        out = str(tmp_path / strategy)
+        stream = spark.readStream.schema(arriving.schema).parquet(str(tmp_path / "in"))
+        search_stream(stream, answer(strategy), out, out + "-state", availableNow=True).awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(out).drop("batch_id").collect())) == expected
