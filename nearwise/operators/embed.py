@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
@@ -54,38 +55,74 @@ def embed_tfidf(
     Terms that are not in ``terms`` add nothing; a text without known terms gets a zero vector, and a null
     text an empty one's. Documents and queries must use the same ``terms`` and ``dim``.
 
-    A vocabulary of checked size is broadcast. Of a larger one only the ``max_broadcast_terms`` most common
-    terms are; the rest is joined by shuffle after equal words of a text have been counted together, and
-    none of those terms can be a hot key: it holds at most one in ``max_broadcast_terms`` of all rows.
+    A vocabulary of checked size is broadcast and texts are encoded where they lie, without a shuffle. Of a
+    larger one only the ``max_broadcast_terms`` most common terms are broadcast; the rest is joined by
+    shuffle after equal words of a text have been counted together, and none of those terms can be a hot
+    key: it holds at most one in ``max_broadcast_terms`` of all rows.
     """
+    lookup = terms.select("term", "idf", "bucket")
+    n_terms, term_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if n_terms <= max_broadcast_terms and term_bytes <= MAX_BROADCAST_BYTES:
+        return _encode_in_place(docs.select(key, text), lookup.toArrow(), dim)
+    mean_bytes = max(1.0, term_bytes / n_terms)
+    n_hot = min(max_broadcast_terms, int(MAX_BROADCAST_BYTES / mean_bytes))
+    threshold = terms.agg(F.percentile_approx("df", max(0.0, 1 - n_hot / n_terms), 1_000_000)).first()[0]
+    hot = terms.where(F.col("df") > threshold).select("term", "idf", "bucket")
     split = (
         docs.select(key, text)
         .repartition(key)
         .select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("words"))
         .select(key, F.size("words").alias("n_words"), F.explode_outer("words").alias("term"))
     )
-    lookup = terms.select("term", "idf", "bucket")
-    n_terms, term_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    if n_terms <= max_broadcast_terms and term_bytes <= MAX_BROADCAST_BYTES:
-        sums = _bucket_sums(split.join(F.broadcast(lookup), "term", "left"), key, F.col("idf"))
-    else:
-        mean_bytes = max(1.0, term_bytes / n_terms)
-        n_hot = min(max_broadcast_terms, int(MAX_BROADCAST_BYTES / mean_bytes))
-        share = max(0.0, 1 - n_hot / n_terms)
-        threshold = terms.agg(F.percentile_approx("df", share, 1_000_000)).first()[0]
-        hot = terms.where(F.col("df") > threshold).select("term", "idf", "bucket")
-        common = split.join(F.broadcast(hot), "term", "left")
-        rare = (
-            split.join(F.broadcast(hot.select("term")), "term", "left_anti")
-            .groupBy(key, "term", "n_words")
-            .agg(F.count("*").alias("n"))
-            .join(lookup, "term")
-        )
-        both = _bucket_sums(common, key, F.col("idf")).unionByName(
-            _bucket_sums(rare, key, F.col("idf") * F.col("n"))
-        )
-        sums = both.groupBy(key, "bucket").agg(F.sum("weight").alias("weight"))
-    return _dense(sums, key, dim)
+    common = split.join(F.broadcast(hot), "term", "left")
+    rare = (
+        split.join(F.broadcast(hot.select("term")), "term", "left_anti")
+        .groupBy(key, "term", "n_words")
+        .agg(F.count("*").alias("n"))
+        .join(lookup, "term")
+    )
+    both = _bucket_sums(common, key, F.col("idf")).unionByName(
+        _bucket_sums(rare, key, F.col("idf") * F.col("n"))
+    )
+    return _dense(both.groupBy(key, "bucket").agg(F.sum("weight").alias("weight")), key, dim)
+
+
+def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int) -> DataFrame:
+    """Look up each batch's distinct words and add up their weights, text by text."""
+    vocabulary = vocabulary.combine_chunks()
+    shared = texts.sparkSession.sparkContext.broadcast(
+        (_single(vocabulary.column(0)), vocabulary.column(1).to_numpy(), vocabulary.column(2).to_numpy())
+    )
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf, bucket = shared.value
+        idf, bucket = np.append(idf, 0.0), np.append(bucket, 0)  # the last entry stands for unknown words
+        for batch in batches:
+            n = batch.num_rows
+            words = pc.split_pattern(pc.fill_null(batch.column(1), ""), " ")
+            owner = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+            flat = words.flatten()
+            coded = flat.dictionary_encode()
+            place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), len(known)).to_numpy()
+            at = place[coded.indices.to_numpy()]
+            n_words = np.bincount(owner[pc.binary_length(flat).to_numpy() > 0], minlength=n)
+            sums = np.bincount(owner * dim + bucket[at], weights=idf[at], minlength=n * dim).reshape(n, dim)
+            shares = (sums / np.maximum(n_words, 1)[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shares)], names=[key, "embedding"])
+
+    key, key_type = texts.dtypes[0]
+    return texts.mapInArrow(encode, f"{key} {key_type}, embedding array<float>")
+
+
+def _single(column: pa.ChunkedArray) -> pa.Array:
+    chunks = column.combine_chunks()
+    return chunks if isinstance(chunks, pa.Array) else pa.concat_arrays(chunks.chunks)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow list array."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).reshape(-1)))
 
 
 def _bucket_sums(weighted: DataFrame, key: str, weight) -> DataFrame:
@@ -134,9 +171,6 @@ def embed_with(
             encoder = encoder or load_encoder()
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             matrix = np.asarray(encoder(texts), dtype=np.float32)
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1])
-            vectors = pa.ListArray.from_arrays(offsets, pa.array(matrix.reshape(-1)))
-            kept = batch.drop_columns([text])
-            yield kept.append_column("embedding", vectors)
+            yield batch.drop_columns([text]).append_column("embedding", _lists(matrix))
 
     return source.mapInArrow(encode, schema)
