@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nearwise.functions.text import clean_query_text
+from nearwise.operators.skew import salted_join
 from nearwise.session import materialize
 
 # The label that means "no facet", the class of facets every filter lets through, and the
@@ -121,6 +122,7 @@ def _needle(value: Column, word_boundary: bool) -> Column:
 
 GRAM_SIZES = (32, 16, 8, 4, 3, 2, 1)  # letters per group; a value uses the largest that fits
 MAX_BROADCAST_VALUES = 1_000_000  # (hash, pos) pairs: 16 MB
+MAX_BROADCAST_BYTES = 32 << 20  # dictionary texts
 
 
 def _detect_by_grams(texts, dictionary, key, text, word_boundary) -> DataFrame:
@@ -135,7 +137,9 @@ def _detect_by_grams(texts, dictionary, key, text, word_boundary) -> DataFrame:
     for n in GRAM_SIZES[::-1]:
         size = F.when(F.length("needle") >= n, n).otherwise(size)
     needles = needles.withColumn("size", size)
-    n_values, sizes = needles.agg(F.count("*"), F.collect_set("size")).first()
+    n_values, n_bytes, sizes = needles.agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("value")), F.lit(0)), F.collect_set("size")
+    ).first()
     grams = needles.select("pos", "size", F.explode(_gram_hashes(F.col("needle"), F.col("size"), sizes)).alias("gram"))
     commonness = grams.groupBy("size", "gram").agg(F.count("*").alias("n"))
     anchors = (
@@ -144,21 +148,28 @@ def _detect_by_grams(texts, dictionary, key, text, word_boundary) -> DataFrame:
         .agg(F.min(F.struct("n", "gram")).alias("rarest"))
         .select("pos", "size", F.col("rarest.gram").alias("gram"))
     )
-    if n_values <= MAX_BROADCAST_VALUES:
-        anchors = F.broadcast(anchors)
+    anchors_fit = n_values <= MAX_BROADCAST_VALUES
+    needles_fit = n_bytes <= MAX_BROADCAST_BYTES
+
+    def look_up(pieces: DataFrame) -> DataFrame:
+        if anchors_fit:
+            return pieces.join(F.broadcast(anchors), ["size", "gram"])
+        return salted_join(pieces, anchors, ["size", "gram"], key)
+
     hay = texts.select(key, _haystack(F.col(text), word_boundary).alias("hay"))
     pieces = [
         hay.select(key, F.lit(n).alias("size"), F.explode(F.array_distinct(_gram_hashes(F.col("hay"), F.lit(n), [n]))).alias("gram"))
         for n in sorted(sizes)
     ]
-    pairs = [piece.join(anchors, ["size", "gram"]).select(key, "pos") for piece in pieces]
+    pairs = [look_up(piece).select(key, "pos") for piece in pieces]
     candidates = materialize(reduce(DataFrame.unionByName, pairs), "facet-pairs") if pairs else None
     empty = needles.where(F.length("needle") == 0).select("pos", "value").orderBy("pos").limit(1).collect()
     if candidates is not None:
         # The candidates are a written table of known size: Spark broadcasts them when they are few.
+        pairs = hay.join(candidates, key)
+        values = needles.select("pos", "value", "needle")
         hits = (
-            hay.join(candidates, key)
-            .join(needles.select("pos", "value", "needle"), "pos")
+            (pairs.join(F.broadcast(values), "pos") if needles_fit else salted_join(pairs, values, ["pos"], key))
             .where(F.contains("hay", "needle"))
             .groupBy(key)
             .agg(F.min(F.struct("pos", "value")).alias("hit"))

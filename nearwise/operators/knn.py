@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(scan_kernel)
 
 METRICS = ("l2", "cosine")
 MAX_QUERY_BYTES = 64 << 20  # queries and result lists one task may hold
-CELL_BYTES = 64 << 20  # corpus vectors one grid cell may hold
+CELL_BYTES = 256 << 20  # corpus vectors one grid cell may hold, in double precision
 TASKS_PER_PART = 256  # scan tasks whose lists are merged together in the first merge
 
 

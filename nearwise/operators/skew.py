@@ -1,0 +1,18 @@
+"""Joins with hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 32
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread_by: str, salts: int = SALTS) -> DataFrame:
+    """Inner join in which a key of ``many`` may be hot.
+
+    Rows of one key are spread over ``salts`` tasks by the hash of ``spread_by``, and every row of ``few`` is
+    sent to all of them. The hash depends on the data only, so a task that is run again routes rows alike.
+    """
+    spread = many.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    copied = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(copied, [*on, "salt"]).drop("salt")

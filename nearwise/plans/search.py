@@ -143,11 +143,18 @@ def display_rows(results: DataFrame) -> DataFrame:
     )
 
 
+# The sentences that announce a facet filter, by its origin.
+FILTER_MESSAGES = {
+    "explicit": "Explicit filter: Showing results for state: %s (including central schemes)",
+    "detected": "Detected from query: Showing results for state: %s (including central schemes)",
+}
+
+
 def filter_message(queries: DataFrame) -> DataFrame:
-    """Per query, the sentence that tells which facet filter is active; null without one."""
-    label = F.concat(title_case(F.col("facet_used")), F.lit(" (including central schemes)"))
-    text = F.when(F.col("facet_origin") == "explicit", F.concat(F.lit("Explicit filter: Showing results for state: "), label))
-    text = text.when(
-        F.col("facet_origin") == "detected", F.concat(F.lit("Detected from query: Showing results for state: "), label)
-    )
-    return resolve_facet(queries).withColumn("filter_message", text)
+    """Resolve the facet of each query and add the sentence that announces it; null without a facet."""
+    resolved = resolve_facet(queries)
+    sentences = [
+        F.when(F.col("facet_origin") == origin, F.format_string(sentence, title_case(F.col("facet_used"))))
+        for origin, sentence in FILTER_MESSAGES.items()
+    ]
+    return resolved.withColumn("filter_message", F.coalesce(*sentences))

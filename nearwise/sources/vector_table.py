@@ -62,10 +62,10 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
     """Add the vectors whose key the table does not have yet, so that a repeated append adds nothing.
 
     Only the key column of the stored table is read for the check. Of equal keys within ``vectors`` the
-    greatest row is kept.
+    greatest row is kept; they are combined before the shuffle, which also serves the join.
     """
     stored = load_vectors(vectors.sparkSession, path).select("doc_id")
-    fresh = with_norm(vectors).join(stored, "doc_id", "left_anti")
-    single = fresh.groupBy("doc_id").agg(F.max(F.struct("embedding", "facet", "norm")).alias("row"))
+    single = with_norm(vectors).groupBy("doc_id").agg(F.max(F.struct("embedding", "facet", "norm")).alias("row"))
     columns = [F.col(f"row.{name}") for name in ("facet", "embedding", "norm")]
-    single.select("doc_id", *columns).write.mode("append").parquet(path)
+    fresh = single.join(stored, "doc_id", "left_anti")
+    fresh.select("doc_id", *columns).write.mode("append").parquet(path)

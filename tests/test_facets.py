@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from nearwise.operators import facets
 from nearwise.operators.facets import (
     STATES, detect_facet, facet_bucket, facet_match, facet_options, resolve_facet,
 )
@@ -20,8 +21,11 @@ def test_detects_in_list_order(spark):
     assert detected(detect_facet(asked, word_boundary=True))[0] == "Maharashtra"
 
 
+@pytest.mark.parametrize("broadcast_values", [1_000_000, 0])
 @pytest.mark.parametrize("word_boundary", [False, True])
-def test_joined_dictionary_equals_inline(spark, word_boundary):
+def test_joined_dictionary_equals_inline(spark, monkeypatch, word_boundary, broadcast_values):
+    monkeypatch.setattr(facets, "MAX_BROADCAST_VALUES", broadcast_values)
+    monkeypatch.setattr(facets, "MAX_BROADCAST_BYTES", broadcast_values)
     values = ["abc", "ab", "Xyz", "a long value with many words and a tail of letters", "long value", "é", "the cat", "cat"]
     asked = texts(
         spark,
