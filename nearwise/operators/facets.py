@@ -81,7 +81,7 @@ def detect_facet(
     """Add ``detected_facet``: the first dictionary value, in dictionary order, contained in the text.
 
     The test ignores case and, unless ``word_boundary`` is set, also finds values inside longer words.
-    ``dictionary`` is a list, or a table of ``(pos, value)``. A dictionary of checked small size becomes one
+    ``dictionary`` is a list, or a table of ``(pos, value)`` with unique positions. A dictionary of checked small size becomes one
     expression: no join and no shuffle. A larger one is joined on shared letter groups.
     """
     spark = texts.sparkSession
@@ -91,6 +91,7 @@ def detect_facet(
             rows = list(enumerate(values))
             return _detect_by_grams(texts, spark.createDataFrame(rows, "pos int, value string"), key, text, word_boundary)
         return texts.withColumn("detected_facet", _first_contained(F.col(text), values, word_boundary))
+    dictionary = dictionary.where(F.col("value").isNotNull())
     rows = dictionary.select("pos", "value").limit(max_inline + 1).collect()
     if len(rows) <= max_inline and sum(len(row.value) for row in rows) <= MAX_INLINE_LETTERS:
         values = [row.value for row in sorted(rows, key=lambda row: row.pos)]
@@ -120,7 +121,7 @@ def _needle(value: Column, word_boundary: bool) -> Column:
     return F.concat(F.lit(" "), clean_query_text(value), F.lit(" ")) if word_boundary else F.lower(value)
 
 
-GRAM_SIZES = (32, 16, 8, 4, 3, 2, 1)  # letters per group; a value uses the largest that fits
+GRAM_SIZES = (32, 24, 16, *range(12, 0, -1))  # letters per group; a value uses the largest that fits
 MAX_BROADCAST_VALUES = 1_000_000  # (hash, pos) pairs: 16 MB
 MAX_BROADCAST_BYTES = 32 << 20  # dictionary texts
 
@@ -129,32 +130,36 @@ def _detect_by_grams(texts, dictionary, key, text, word_boundary) -> DataFrame:
     """Containment by an equi-join on hashed letter groups, for dictionaries of any size.
 
     A text that contains a value contains every letter group of the value, so each value needs to be looked
-    up by one group only: its rarest one in the dictionary. Pairs that agree on the group's hash are then
-    verified on the texts. The empty value is contained in every text.
+    up by one group only: its rarest one in the dictionary, which for values of up to twelve letters is the
+    whole value. Pairs that agree on the group's hash are then verified on the texts. Values that read the
+    same count once, and the empty value is contained in every text.
     """
-    needles = dictionary.select("pos", "value", _needle(F.col("value"), word_boundary).alias("needle"))
+    needles = (
+        dictionary.groupBy(_needle(F.col("value"), word_boundary).alias("needle"))
+        .agg(F.min(F.struct("pos", "value")).alias("first"))
+        .select("first.pos", "first.value", "needle")
+    )
     size = F.lit(None).cast("int")
     for n in GRAM_SIZES[::-1]:
         size = F.when(F.length("needle") >= n, n).otherwise(size)
-    needles = needles.withColumn("size", size)
+    needles = materialize(needles.withColumn("size", size), "facet-needles")
     n_values, n_bytes, sizes = needles.agg(
         F.count("*"), F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("value")), F.lit(0)), F.collect_set("size")
     ).first()
     grams = needles.select("pos", "size", F.explode(_gram_hashes(F.col("needle"), F.col("size"), sizes)).alias("gram"))
     commonness = grams.groupBy("size", "gram").agg(F.count("*").alias("n"))
+    anchors_fit = n_values <= MAX_BROADCAST_VALUES
+    needles_fit = n_bytes <= MAX_BROADCAST_BYTES
+    keys = ["size", "gram"]
     anchors = (
-        grams.join(commonness, ["size", "gram"])
+        (grams.join(commonness, keys) if anchors_fit else salted_join(grams, commonness, keys, "pos"))
         .groupBy("pos", "size")
         .agg(F.min(F.struct("n", "gram")).alias("rarest"))
         .select("pos", "size", F.col("rarest.gram").alias("gram"))
     )
-    anchors_fit = n_values <= MAX_BROADCAST_VALUES
-    needles_fit = n_bytes <= MAX_BROADCAST_BYTES
 
     def look_up(pieces: DataFrame) -> DataFrame:
-        if anchors_fit:
-            return pieces.join(F.broadcast(anchors), ["size", "gram"])
-        return salted_join(pieces, anchors, ["size", "gram"], key)
+        return pieces.join(F.broadcast(anchors), keys) if anchors_fit else salted_join(pieces, anchors, keys, key)
 
     hay = texts.select(key, _haystack(F.col(text), word_boundary).alias("hay"))
     pieces = [

@@ -50,7 +50,7 @@ def test_empty_dictionary_value(spark):
 
 
 def test_dictionary_table(spark):
-    table = spark.createDataFrame([(2, "NATION_1"), (1, "NATION_10"), (3, "OTHER")], "pos int, value string")
+    table = spark.createDataFrame([(2, "NATION_1"), (1, "NATION_10"), (3, "OTHER"), (0, None), (9, "other")], "pos int, value string")
     asked = texts(spark, ["in nation_10 now", "in nation_1 now", "other", "none"])
     assert detected(detect_facet(asked, table)) == ["NATION_10", "NATION_1", "OTHER", None]
     assert detected(detect_facet(asked, table, max_inline=1)) == ["NATION_10", "NATION_1", "OTHER", None]
