@@ -48,12 +48,14 @@ def embed_tfidf(
     key: str = "doc_id",
     text: str = "combined_text",
     dim: int = DIM,
+    carry: Sequence[str] = (),
     max_broadcast_terms: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
     """One dense vector per text: each term adds its share of the text times its idf to its bucket.
 
     Terms that are not in ``terms`` add nothing; a text without known terms gets a zero vector, and a null
-    text an empty one's. Documents and queries must use the same ``terms`` and ``dim``.
+    text an empty one's. Documents and queries must use the same ``terms`` and ``dim``. The columns of ``carry``
+    are handed through.
 
     A vocabulary of checked size is broadcast and texts are encoded where they lie, without a shuffle. Of a
     larger one only the ``max_broadcast_terms`` most common terms are broadcast; the rest is joined by
@@ -63,7 +65,7 @@ def embed_tfidf(
     lookup = terms.select("term", "idf", "bucket")
     n_terms, term_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     if n_terms <= max_broadcast_terms and term_bytes <= MAX_BROADCAST_BYTES:
-        return _encode_in_place(docs.select(key, text), lookup.toArrow(), dim)
+        return _encode_in_place(docs.select(key, text, *carry), lookup.toArrow(), dim)
     mean_bytes = max(1.0, term_bytes / n_terms)
     n_hot = min(max_broadcast_terms, int(MAX_BROADCAST_BYTES / mean_bytes))
     threshold = terms.agg(F.percentile_approx("df", max(0.0, 1 - n_hot / n_terms), 1_000_000)).first()[0]
@@ -84,7 +86,8 @@ def embed_tfidf(
     both = _bucket_sums(common, key, F.col("idf")).unionByName(
         _bucket_sums(rare, key, F.col("idf") * F.col("n"))
     )
-    return _dense(both.groupBy(key, "bucket").agg(F.sum("weight").alias("weight")), key, dim)
+    vectors = _dense(both.groupBy(key, "bucket").agg(F.sum("weight").alias("weight")), key, dim)
+    return vectors.join(docs.select(key, *carry), key) if carry else vectors
 
 
 def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int) -> DataFrame:
@@ -108,10 +111,11 @@ def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int) -> DataFr
             n_words = np.bincount(owner[pc.binary_length(flat).to_numpy() > 0], minlength=n)
             sums = np.bincount(owner * dim + bucket[at], weights=idf[at], minlength=n * dim).reshape(n, dim)
             shares = (sums / np.maximum(n_words, 1)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shares)], names=[key, "embedding"])
+            yield batch.drop_columns([text]).append_column("embedding", _lists(shares))
 
-    key, key_type = texts.dtypes[0]
-    return texts.mapInArrow(encode, f"{key} {key_type}, embedding array<float>")
+    text = texts.columns[1]
+    kept = ", ".join(f"{name} {kind}" for name, kind in texts.dtypes if name != text)
+    return texts.mapInArrow(encode, f"{kept}, embedding array<float>")
 
 
 def _single(column: pa.ChunkedArray) -> pa.Array:
@@ -162,8 +166,7 @@ def embed_with(
     texts reach it in Arrow batches. Null texts are encoded as the empty string.
     """
     source = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text), *carry)
-    fields = [f for f in source.schema.fields if f.name != text]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", embedding array<float>"
+    kept = ", ".join(f"{name} {kind}" for name, kind in source.dtypes if name != text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
@@ -173,4 +176,4 @@ def embed_with(
             matrix = np.asarray(encoder(texts), dtype=np.float32)
             yield batch.drop_columns([text]).append_column("embedding", _lists(matrix))
 
-    return source.mapInArrow(encode, schema)
+    return source.mapInArrow(encode, f"{kept}, embedding array<float>")

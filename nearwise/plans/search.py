@@ -2,31 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from nearwise.functions.tags import render_tags
 from nearwise.functions.text import CLEANERS, add_combined_text, four_decimals, title_case
-from nearwise.operators.embed import DIM, embed_tfidf, fit_terms
+from nearwise.operators.embed import DIM, embed_tfidf, embed_with, fit_terms
 from nearwise.operators.facets import ALWAYS_CONTAINS, facet_always, facet_bucket, facet_match, resolve_facet
 from nearwise.operators.knn import METRICS, Facets, knn_join, nearest_first
 from nearwise.operators.topk import rank_within
 from nearwise.session import materialize
+from nearwise.sources.records import corpus_mapping
+from nearwise.sources.vector_table import load_vectors, write_vectors
 
 DISPLAY_COLUMNS = ("name", "facet", "description", "tags")
 MAX_HITS_BROADCAST_BYTES = 32 << 20
 HIT_BYTES = 128
 
 
-def build_corpus(records: DataFrame, cleaner: str = "index", dim: int = DIM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records to ``(corpus, terms, vectors)``: clean and combine the texts, fit the terms, embed.
+class SearchTables(NamedTuple):
+    """What a search needs: records with their combined text, the terms (none with an encoder), the vectors."""
+
+    corpus: DataFrame
+    terms: DataFrame | None
+    vectors: DataFrame
+
+
+def build_corpus(
+    records: DataFrame, cleaner: str = "index", dim: int = DIM, load_encoder: Callable | None = None
+) -> SearchTables:
+    """Clean and combine the texts of the records and turn them into vectors ``(doc_id, facet, embedding)``.
 
-    ``records`` has ``doc_id, name, facet, description, tags``; tags may be text or an array.
+    ``records`` has ``doc_id, name, facet, description, tags``; tags may be text or an array. Vectors come
+    from ``load_encoder`` when given, else from the terms of these records.
     """
     flat = dict(records.dtypes)["tags"] == "array<string>"
     source = records.withColumn("tags_text", render_tags(F.col("tags")) if flat else F.col("tags"))
     corpus = add_combined_text(source, ("name", "description", "tags_text"), cleaner).drop("tags_text")
+    if load_encoder is not None:
+        return SearchTables(corpus, None, embed_with(corpus, load_encoder, carry=["facet"]))
     terms = fit_terms(corpus, dim=dim)
-    return corpus, terms, embed_tfidf(corpus, terms, dim=dim)
+    return SearchTables(corpus, terms, embed_tfidf(corpus, terms, dim=dim, carry=["facet"]))
+
+
+def write_search_tables(tables: SearchTables, base: str) -> None:
+    """Store the mapping, the terms and the vectors as tables under one folder; the vectors last.
+
+    The vectors are written last because their presence says that the set is complete.
+    """
+    corpus_mapping(tables.corpus).write.mode("overwrite").parquet(f"{base}/mapping")
+    if tables.terms is not None:
+        tables.terms.write.mode("overwrite").parquet(f"{base}/terms")
+    write_vectors(tables.vectors, f"{base}/vectors", mode="overwrite")
+
+
+def load_search_tables(spark: SparkSession, base: str, with_terms: bool = True) -> SearchTables:
+    """Open stored tables; a missing one is an error."""
+    vectors = load_vectors(spark, f"{base}/vectors")
+    terms = spark.read.parquet(f"{base}/terms") if with_terms else None
+    return SearchTables(spark.read.parquet(f"{base}/mapping"), terms, vectors)
+
+
+def ensure_search_tables(records: DataFrame, base: str, **options) -> SearchTables:
+    """Open stored tables, building them from the records first when there are none."""
+    spark, with_terms = records.sparkSession, options.get("load_encoder") is None
+    try:
+        return load_search_tables(spark, base, with_terms)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write_search_tables(build_corpus(records, **options), base)
+    return load_search_tables(spark, base, with_terms)
 
 
 def nonblank(queries: DataFrame, text: str = "text") -> DataFrame:

@@ -407,13 +407,12 @@ def search_text_l2(spark, sf_dir):
 def search_text_compare(spark, sf_dir):
     """The whole search: detect a facet in the text, clean, embed, rank under both metrics, filter, order, show."""
     terms, vectors = text_corpus(spark, sf_dir, "query")
-    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("facet"))
     queries = facets.detect_facet(text_queries(spark, sf_dir), source_dictionary(spark, sf_dir))
     queries = facets.resolve_facet(queries.withColumn("explicit_facet", F.lit(facets.ALL_FACETS)))
     embedded = search.embed_queries(search.nonblank(queries), terms)
     found = search.search_compare(
         queries.select("query_id", "facet_used").join(embedded, "query_id"),
-        vectors.join(sources, "doc_id"),
+        vectors,
         k=K, always_contains=ALWAYS,
     )
     ordered = search.order_for_display(found, always_contains=ALWAYS)
@@ -423,6 +422,16 @@ def search_text_compare(spark, sf_dir):
     )
 
 
+def search_text_stored(spark, sf_dir):
+    """Text search over stored tables: built when missing, opened again, searched by cosine."""
+    base, records = fresh_path(spark, "search-tables"), document_records(spark, sf_dir)
+    search.ensure_search_tables(records, base)
+    stored = search.ensure_search_tables(records, base)
+    hits = search.search_text(text_queries(spark, sf_dir), stored.vectors, stored.terms, k=K, metric="cosine")
+    shown = search.materialize_hits(hits, stored.corpus)
+    return shown.select("query_id", "rank", "doc_id", F.col("score").alias("similarity"), "name", "facet")
+
+
 def stream_search(spark, sf_dir):
     """All embeddings arriving as a stream of queries, answered batch by batch."""
     corpus = corpus_vectors(spark, sf_dir)
@@ -482,5 +491,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_encoder": embed_encoder,
     "search_text_l2": search_text_l2,
     "search_text_compare": search_text_compare,
+    "search_text_stored": search_text_stored,
     "stream_search": stream_search,
 }

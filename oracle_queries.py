@@ -279,6 +279,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, pos::INTEGER AS pos, (len(t) - len(replace(t, chr((97 + pos)::INTEGER), '')))::DOUBLE AS n FROM t, range(26) r(pos)""",
     "search_text_l2": f"""WITH {text_pairs(clean_index)}, {ranked(10)}
         SELECT query_id, metric, rank, doc_id, score FROM ranked WHERE metric = 'l2'""",
+    "search_text_stored": f"""WITH {text_pairs(clean_index)}, {ranked(10)}
+        SELECT query_id, rank, doc_id, score AS similarity, {FIRST_LINE} AS name, source AS facet
+        FROM ranked JOIN documents USING (doc_id) WHERE metric = 'cosine'""",
     "search_text_compare": compared(
         """SELECT item_id AS query_id, min(source) AS facet_used FROM benchmark
            LEFT JOIN (SELECT DISTINCT source FROM documents) ON contains(lower(benchmark.text || ' src' || (item_id % 23)), source) GROUP BY 1""",

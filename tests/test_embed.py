@@ -36,7 +36,10 @@ def vectors(df, key="doc_id"):
 def test_tfidf_matches_python(spark, limit):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, combined_text string").repartition(4)
     terms = fit_terms(docs, dim=16)
-    found = vectors(embed_tfidf(docs, terms, dim=16, max_broadcast_terms=limit))
+    marked = docs.withColumn("facet", F.concat(F.lit("f"), F.col("doc_id")))
+    embedded = embed_tfidf(marked, terms, dim=16, carry=["facet"], max_broadcast_terms=limit)
+    assert {(r.doc_id, r.facet) for r in embedded.collect()} == {(i, f"f{i}") for i in range(len(DOCS))}
+    found = vectors(embedded)
     np.testing.assert_allclose(found, expected_vectors(DOCS, 16), rtol=1e-5, atol=1e-7)
 
 

@@ -83,3 +83,16 @@ def test_tags_literal_round_trip(spark):
     df = spark.createDataFrame([(["it's", 'a "b"', "c\\d", "e, f"],), ([],)], "t array<string>")
     literal = tag_fns.tags_literal(F.col("t"))
     assert df.select((tag_fns.parse_tags(literal) == F.col("t")).alias("same")).where("not same").count() == 0
+
+
+def test_random_texts_match_python(spark):
+    rng = random.Random(5)
+    alphabet = string.printable + "éàßñ“”—\u00a0\u2003\u3000\u0085\u001c\u2028नम" + " " * 20
+    inputs = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)]
+
+    def expected(text):
+        text = re.sub(f"[{re.escape(string.punctuation)}]", " ", text.lower())
+        return re.sub(r"\s+", " ", text).strip()
+
+    assert values(spark, inputs, text_fns.clean_query_text) == [expected(t) for t in inputs]
+    assert values(spark, inputs, text_fns.title_case) == [t.title() for t in inputs]
