@@ -127,6 +127,12 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
             docs, x, x_norm2 = docs[finite], x[finite], x_norm2[finite]
             extra = [values[finite] for values in extra]
             carried = carried.filter(pa.array(finite))
+        facet_at = 2 + task.n_corpus_carry
+        kept = _without_surplus_copies(x, docs, x_norm2, carried, facet_at if task.prefilter else None, task.k)
+        if kept is not None:
+            docs, x, x_norm2 = docs[kept], x[kept], x_norm2[kept]
+            extra = [values[kept] for values in extra]
+            carried = carried.take(pa.array(kept))
         precision = _screen_precision(x_norm2, q_norm2)
         x_screen = x.astype(precision, copy=False)
         for at, chunk in enumerate(chunks):
@@ -134,7 +140,7 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
             products = (q.astype(precision) @ x_screen.T).astype(precision, copy=False)
             eligible = None
             if task.prefilter:
-                eligible = _eligible(queries.facets[chunk], carried, 2 + task.n_corpus_carry)
+                eligible = _eligible(queries.facets[chunk], carried, facet_at)
             for metric in task.metrics:
                 low, slack = _screen(metric, products, x_norm2, q_norm2[chunk], dim, precision)
                 for matched in classes:
@@ -155,6 +161,28 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
             yield _result(queries, chunks[at].start, metric, matched, found)
 
 
+def _without_surplus_copies(x, docs, x_norm2, batch, facet_column, k):
+    """Rows to keep when a batch holds more than ``k`` copies of a vector; None to keep all.
+
+    Copies score alike for every query and ties go to the lower id, so only the ``k`` lowest ids can be
+    among the best (of each facet class, when facets are tested). Equal lengths tell cheaply where to look.
+    """
+    _, length, count = np.unique(x_norm2, return_inverse=True, return_counts=True)
+    if not len(x) or count.max() <= k:
+        return None
+    suspects = np.flatnonzero(count[length] > k)
+    rows = np.ascontiguousarray(x[suspects])
+    group = np.unique(rows.view(np.dtype((np.void, rows.strides[0]))).ravel(), return_inverse=True)[1]
+    if facet_column is not None:
+        for column in (facet_column, facet_column + 1):
+            code = pc.fill_null(batch.column(column).dictionary_encode().indices, -1).to_numpy()[suspects]
+            group = np.unique(np.stack([group, code]), axis=1, return_inverse=True)[1].ravel()
+    order = np.lexsort((docs[suspects], group))
+    ordered = group[order]
+    place = np.arange(len(ordered)) - np.searchsorted(ordered, ordered, side="left")
+    return np.delete(np.arange(len(x)), suspects[order[place >= k]])
+
+
 def _screen_precision(x_norm2, q_norm2):
     """Single precision, unless squared lengths leave the range in which its error bound holds."""
     norms = np.concatenate([x_norm2, q_norm2])

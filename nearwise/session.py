@@ -33,19 +33,19 @@ def get_spark(app_name: str = "nearwise", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    A local session without the setting gets a fresh temporary folder; on a cluster a missing setting is
-    an error, because a machine-local folder would not survive the loss of its machine.
+    A local session without either gets a fresh temporary folder; on a cluster that is an error, because a
+    machine-local folder would not survive the loss of its machine.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="nearwise-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="nearwise-"))
+    return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -170,3 +170,22 @@ def test_single_query(spark):
     assert [r.doc_id for r in found.collect()] == [h[3] for h in expected]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize("prefilter", [False, True])
+def test_copies_are_ranked_by_id(spark, prefilter):
+    """Far more copies than k, in every facet class: only ids decide."""
+    corpus = np.ones((3000, 4), np.float32)
+    corpus[2000:] = sample(1000, 4, 41, False) + 3
+    corpus[100:600] = 0
+    c = table(spark, "doc_id", corpus, 1).withColumn("facet", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")))
+    queries = np.array([[1, 1, 1, 1], [3, 3, 3, 3], [0, 0, 0, 0.1]], np.float32)
+    q = table(spark, "query_id", queries).withColumn("wanted", F.lit("s1"))
+    test = Facets(F.col("wanted"), F.col("facet"), F.lit(False)) if prefilter else None
+    found = knn_join(q, c, 5, metrics=["l2"], prefilter=test).collect()
+    for i in range(3):
+        ranked = [h[3] for h in brute_force(queries[i : i + 1], corpus, 3000, "l2")]
+        for matched in ((True, False) if prefilter else (None,)):
+            expected = [d for d in ranked if matched is None or (d % 3 == 1) == matched][:5]
+            rows = sorted((r["rank"], r.doc_id) for r in found if r.query_id == i and (matched is None or r.matched == matched))
+            assert [d for _, d in rows] == expected

@@ -3,28 +3,34 @@ import pytest
 from nearwise.session import fresh_path, shared_dir
 
 
-class Session:
-    """Stands in for a session: a master and a configuration."""
+class Context:
+    """Stands in for a Spark context."""
+
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
 
-    def __init__(self, master, settings):
-        self.sparkContext = type("Context", (), {"master": master})
-        self.conf = self
-        self.settings = settings
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
-    def get(self, key, default=None):
-        return self.settings.get(key, default)
 
-    def set(self, key, value):
-        self.settings[key] = value
+class Session:
+    """Stands in for a session."""
+
+    def __init__(self, context, settings):
+        self.sparkContext, self.conf = context, settings
 
 
 def test_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session("yarn", {}))
-    assert shared_dir(Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/"})) == "hdfs:///shared"
+        shared_dir(Session(Context("yarn"), {}))
+    assert shared_dir(Session(Context("yarn"), {"spark.checkpoint.dir": "hdfs:///shared/"})) == "hdfs:///shared"
+    assert shared_dir(Session(Context("yarn", "hdfs:///set"), {})) == "hdfs:///set"
 
 
 def test_local_session_gets_a_folder_once():
-    session = Session("local[2]", {})
+    session = Session(Context("local[2]"), {})
     assert shared_dir(session) == shared_dir(session)
     assert fresh_path(session, "x") != fresh_path(session, "x")
