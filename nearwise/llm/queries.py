@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from nearwise.llm import token_files
 from nearwise.llm.decontaminate import find_contamination
+from nearwise.session import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as token files and sum up each document from the files read back."""
+    path = fresh_path(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.summaries(token_files.read_segments(spark, path))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_files": op2_token_files,
 }
 
 ORACLES: dict[str, str] = {}
