@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark import cloudpickle
@@ -11,41 +11,39 @@ from pyspark import cloudpickle
 from nearwise.llm import words as w
 
 #: Distinct chunks a task remembers before it starts afresh; a chunk is met again sooner than that or is rare.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 800_000
 
 
 class ChunkMemo:
-    """Token ids of chunks. ``encode(chunks)`` gives, for a list of byte strings, a list of id lists."""
+    """Token ids of chunks (``bytes`` or ``str``).
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = MEMO_CHUNKS):
-        self.encode, self.limit = encode, limit
+    ``encode(chunks)`` gives the ids of a list of chunks in a row and the number of ids of each. The chunks ``silent``
+    have no ids and are never encoded.
+    """
+
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], silent: Sequence = (), limit: int = MEMO_CHUNKS):
+        self.encode, self.silent, self.limit = encode, silent, limit
         self.clear()
 
     def clear(self) -> None:
-        self.places = _Places()
+        self.places = {chunk: i for i, chunk in enumerate(self.silent)}
         self.ids = np.zeros(1 << 16, np.int32)
         self.bounds = np.zeros(1 << 16, np.int64)
-        self.known = 0
 
-    def look_up(self, chunks: list[bytes]) -> np.ndarray:
+    def look_up(self, chunks: list) -> np.ndarray:
         """The place of each chunk in the memo, after unknown ones have been encoded."""
-        if self.known > self.limit:
+        if len(self.places) > self.limit:
             self.clear()
-        places = np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
-        new = self.places.take_new()
-        if new:
-            self._add(self.encode(new))
-        return places
-
-    def _add(self, lists: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        end = int(self.bounds[self.known])
-        total = int(lengths.sum())
-        self.ids = _grown(self.ids, end + total)
-        self.bounds = _grown(self.bounds, self.known + len(lists) + 1)
-        self.ids[end : end + total] = np.fromiter((i for ids in lists for i in ids), np.int32, total)
-        self.bounds[self.known + 1 : self.known + len(lists) + 1] = end + np.cumsum(lengths)
-        self.known += len(lists)
+        if new := list(set(chunks).difference(self.places)):
+            known = len(self.places)
+            ids, counts = self.encode(new)
+            end = int(self.bounds[known])
+            self.ids = _grown(self.ids, end + len(ids))
+            self.bounds = _grown(self.bounds, known + len(new) + 1)
+            self.ids[end : end + len(ids)] = ids
+            self.bounds[known + 1 : known + len(new) + 1] = end + np.cumsum(counts)
+            self.places.update(zip(new, range(known, known + len(new))))
+        return np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
 
     def tokens(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks in a row, and the number of ids of each chunk."""
@@ -53,22 +51,6 @@ class ChunkMemo:
         return self.ids[w.ranges(self.bounds[places], counts)], counts
 
 
-class _Places(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = place = len(self)
-        self.new.append(key)
-        return place
-
-    def take_new(self) -> list[bytes]:
-        new, self.new = self.new, []
-        return new
-
-
 def _grown(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array

@@ -24,10 +24,11 @@ SEGMENT_IDS = 1 << 20
 
 SEGMENT = "part int, seq int, n_docs long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
 
-#: One pre-token each in the tokenizer's pattern, in which letters, digits and other signs never share one.
-#: Its contractions begin with an apostrophe, and Latin-1 letters are unchanged by NFC.
-SIMPLE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-WHOLE = re.compile(r"(?:[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
+#: One pre-token each in the tokenizer's pattern, in which letters, digits and other signs never share one; or the line
+#: feed between two words. Its contractions begin with an apostrophe, and Latin-1 letters are NFC.
+PIECES = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
+SIMPLE_ASCII = np.array([chr(i) not in "'\x7f" and i > 0x20 or i == 0x0A for i in range(128)] + [False] * 128)
+SIMPLE_AFTER_C3 = np.array([0x80 <= i <= 0xBF and i not in (0x97, 0xB7) for i in range(256)])
 JOINED = 1000
 
 
@@ -35,8 +36,8 @@ class WordEncoder:
     """Ids of texts, equal to what the library gives for each whole text.
 
     The tokenizer drops white space and never merges across it, so each word can be encoded by itself; upper-case ASCII
-    is the same to it as lower-case. Words of letters, digits and signs are cut further into the pre-tokens that its
-    pattern would make, of which many are given to the library at once, joined by spaces: each ends with the one
+    is the same to it as lower-case. Words of Latin letters, digits and signs are cut further into the pre-tokens that
+    its pattern would make, of which many are given to the library at once, joined by spaces: each ends with the one
     end-of-word token. Words of any other make-up, and texts that spell a special token, go to the library as they are.
     """
 
@@ -47,16 +48,17 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words = ChunkMemo(self._encode_words)
-        self.simple: dict[str, list[int]] = {}
+        self.pieces = ChunkMemo(self._encode_pieces, silent=["\n"])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text; a null is an empty text."""
         data, bounds = w.flat(texts)
         raw, cuts = data.tobytes(), bounds.tolist()
         chunks, counts, odd = [], np.zeros(len(texts), np.int64), {}
+        special = [s for s in self.special if s in raw]
         for i in range(len(texts)):
             text = raw[cuts[i] : cuts[i + 1]]
-            if any(s in text for s in self.special):
+            if any(s in text for s in special):
                 odd[i] = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
             else:
                 found = text.lower().split()
@@ -71,24 +73,38 @@ class WordEncoder:
             ids = np.concatenate([np.asarray(p, np.int32) for p in pieces])
         return ids, lengths
 
-    def _encode_words(self, chunks: list[bytes]) -> list[list[int]]:
-        spelled = [c.decode() for c in chunks]
-        cut = [SIMPLE.findall(s) if WHOLE.fullmatch(s) else None for s in spelled]
-        if len(self.simple) > 2 * self.words.limit:
-            self.simple.clear()
-        new = list({p for pieces in cut if pieces for p in pieces if p not in self.simple})
-        lines = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
-        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(found.ids, np.int32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(line):
-                raise ValueError("the tokenizer's pattern is not the one this encoder was written for")
-            starts = [0, *ends[:-1].tolist()]
-            listed = ids.tolist()
-            self.simple.update((p, listed[a:b]) for p, a, b in zip(line, starts, ends.tolist()))
-        rest = [s for s, pieces in zip(spelled, cut) if pieces is None]
-        whole = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)) if rest else iter(())
-        return [next(whole).ids if pieces is None else [i for p in pieces for i in self.simple[p]] for pieces in cut]
+    def _encode_words(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"\n".join(chunks) + b"\n", np.uint8)
+        simple = SIMPLE_ASCII[raw]
+        pair = np.flatnonzero((raw[:-1] == 0xC3) & SIMPLE_AFTER_C3[raw[1:]])
+        simple[pair] = simple[pair + 1] = True
+        ends = np.flatnonzero(raw == 0x0A)
+        plain = np.ones(len(chunks), bool)
+        plain[np.searchsorted(ends, np.flatnonzero(~simple))] = False
+        lines = [chunks[i] for i in np.flatnonzero(plain).tolist()]
+        places = self.pieces.look_up(PIECES.findall((b"\n".join(lines) + b"\n" * bool(lines)).decode()))
+        ids, per_piece = self.pieces.tokens(places)
+        upto = np.concatenate([[0], np.cumsum(per_piece)[places == 0]])
+        counts = np.zeros(len(chunks), np.int64)
+        counts[plain] = np.diff(upto)
+        rest = np.flatnonzero(~plain).tolist()
+        if not rest:
+            return ids, counts
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False)]
+        counts[rest] = [len(x) for x in found]
+        out, is_plain = np.zeros(int(counts.sum()), np.int32), np.repeat(plain, counts)
+        out[is_plain] = ids
+        out[~is_plain] = [i for x in found for i in x]
+        return out, counts
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = [" ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.int32) for x in found])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer's pattern is not the one this encoder was written for")
+        return ids, np.diff(ends, prepend=0)
 
 
 @lru_cache(1)
