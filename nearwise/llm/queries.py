@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearwise.llm import token_files
 from nearwise.llm.decontaminate import find_contamination
+from nearwise.llm.pieces import piece_digests
 from nearwise.session import fresh_path
 
 
@@ -31,9 +32,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summaries(token_files.read_segments(spark, path))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, their source spans, and the text decoded from them."""
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op6_pieces": op6_pieces,
 }
 
 ORACLES: dict[str, str] = {}
