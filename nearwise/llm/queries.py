@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nearwise.llm import token_files
 from nearwise.llm.decontaminate import find_contamination
 from nearwise.llm.pieces import piece_digests
+from nearwise.llm.quality import judge_quality
 from nearwise.session import fresh_path
 
 
@@ -37,10 +38,16 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the log-likelihood ratio for every document."""
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
     "op6_pieces": op6_pieces,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
