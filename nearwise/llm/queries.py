@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearwise.llm import token_files
 from nearwise.llm.decontaminate import find_contamination
+from nearwise.llm.near_dups import near_duplicates
+from nearwise.llm.passages import repeated_passages
 from nearwise.llm.pieces import piece_digests
 from nearwise.llm.quality import judge_quality
+from nearwise.llm.secret_scan import find_secrets
 from nearwise.session import fresh_path
 
 
@@ -33,11 +36,26 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summaries(token_files.read_segments(spark, path))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the windows of 35 words that start anywhere else."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of secrets in every document."""
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, their source spans, and the text decoded from them."""
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles are at least 0.8 similar."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the log-likelihood ratio for every document."""
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -46,7 +64,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op3_passages": op3_passages,
+    "op5_secrets": op5_secrets,
     "op6_pieces": op6_pieces,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_quality": op9_quality,
 }
 
