@@ -1,14 +1,14 @@
 """SentencePiece encoding with the byte span of every piece in the original text, and decoding."""
 
-from __future__ import annotations
-
 import hashlib
 import re
 import struct
 import sys
+import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
@@ -38,7 +38,7 @@ class CharacterMap:
         self.units = np.frombuffer(compiled, "<u4", size // 4, 4).tolist() if compiled else []
         self.strings = compiled[4 + size :] if compiled else b""
 
-    def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
+    def longest(self, text: bytes, at: int) -> "tuple[int, bytes] | None":
         """The longest source string that ``text`` has at ``at``: its length and its replacement."""
         units, found, node = self.units, None, 0
         if not units:
@@ -232,12 +232,14 @@ def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.withColumn("text", decode(F.coalesce("ids", F.array().cast("array<int>"))))
 
 
-def piece_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def piece_digests(docs: DataFrame, model: str = MODEL, with_ids: bool = False) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, as ``encode_pieces`` and
     ``decode_pieces`` give them, made in one pass; ``spans_crc32`` sums up the spans, little-endian pairs of 64 bits.
+    ``with_ids`` adds the ``ids`` themselves.
     """
     out = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return docs.select("doc_id", "text").mapInArrow(_digests(model), out.add("spans_crc32", "long"))
+    out = out.add("spans_crc32", "long")
+    return docs.select("doc_id", "text").mapInArrow(_digests(model, with_ids), out.add("ids", "array<int>") if with_ids else out)
 
 
 def _spans(path: str):
@@ -253,19 +255,14 @@ def _spans(path: str):
 
 
 def _decoder(path: str):
-    def decode(lists):
+    def decode(lists: pd.Series) -> pd.Series:
         encoder = _encoder(path)
         return lists.map(encoder.decode)
 
-    import pandas as pd
-
-    decode.__annotations__ = {"lists": pd.Series, "return": pd.Series}
     return decode
 
 
-def _digests(path: str):
-    import zlib
-
+def _digests(path: str, with_ids: bool):
     def digest(batches):
         encoder = _encoder(path)
         spelled = [str(i).encode() for i in range(len(encoder.sizes))]
@@ -283,10 +280,12 @@ def _digests(path: str):
                 ))
                 at += n
             a, b, c = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(a), pa.array(b), pa.array(c, pa.int64())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"],
-            )
+            columns = [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(a), pa.array(b), pa.array(c, pa.int64())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"]
+            if with_ids:
+                columns.append(w.as_lists(pa.array(ids), np.concatenate([[0], np.cumsum(lengths)])))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return digest
 

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearwise.llm import token_files
 from nearwise.llm.decontaminate import find_contamination
+from nearwise.llm.languages import fit_languages, held_out, identify_languages
 from nearwise.llm.near_dups import near_duplicates
+from nearwise.llm.page_text import extract_main_text
 from nearwise.llm.passages import repeated_passages
 from nearwise.llm.pieces import piece_digests
 from nearwise.llm.quality import judge_quality
 from nearwise.llm.secret_scan import find_secrets
+from nearwise.llm.toxicity import fit_toxicity, grade_toxicity
 from nearwise.session import fresh_path
 
 
@@ -41,6 +44,11 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of secrets in every document."""
     return find_secrets(table(spark, sf_dir, "documents"))
@@ -56,19 +64,35 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The severity of every document, by a model fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return grade_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, table(spark, sf_dir, "labels"))).select("doc_id", "severity", "p_toxic", "toxic")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the log-likelihood ratio for every document."""
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by machines fitted on those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
     "op3_passages": op3_passages,
+    "op4_page_text": op4_page_text,
     "op5_secrets": op5_secrets,
     "op6_pieces": op6_pieces,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
+    "op10_languages": op10_languages,
 }
 
 ORACLES: dict[str, str] = {}
