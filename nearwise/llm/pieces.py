@@ -14,6 +14,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 from sentencepiece import sentencepiece_model_pb2
 
 from nearwise.llm import words as w
@@ -221,9 +222,9 @@ def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     for itself, ids may be null or repeat; other columns are not read. Texts are encoded where they lie, without a
     shuffle.
     """
-    return docs.select("doc_id", "text").mapInArrow(
-        _spans(model), docs.select("doc_id").schema.add("ids", "array<int>").add("starts", "array<long>").add("ends", "array<long>")
-    )
+    out = docs.select("doc_id").schema.add("ids", ArrayType(IntegerType()))
+    out = out.add("starts", ArrayType(LongType())).add("ends", ArrayType(LongType()))
+    return docs.select("doc_id", "text").mapInArrow(_spans(model), out)
 
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -239,7 +240,7 @@ def piece_digests(docs: DataFrame, model: str = MODEL, with_ids: bool = False) -
     """
     out = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     out = out.add("spans_crc32", "long")
-    return docs.select("doc_id", "text").mapInArrow(_digests(model, with_ids), out.add("ids", "array<int>") if with_ids else out)
+    return docs.select("doc_id", "text").mapInArrow(_digests(model, with_ids), out.add("ids", ArrayType(IntegerType())) if with_ids else out)
 
 
 def _spans(path: str):
