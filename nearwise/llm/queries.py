@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: each operator over its whole table, and SQL where SQL can tell the same."""
+"""The registered queries of this subpackage: each operator over its whole table. Their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from nearwise.llm import token_files
 from nearwise.llm.decontaminate import find_contamination
 from nearwise.llm.languages import fit_languages, held_out, identify_languages
 from nearwise.llm.near_dups import near_duplicates
+from nearwise.llm.oracles import ORACLES
 from nearwise.llm.page_text import extract_main_text
 from nearwise.llm.passages import repeated_passages
 from nearwise.llm.pieces import piece_digests
@@ -95,4 +96,4 @@ QUERIES = {
     "op10_languages": op10_languages,
 }
 
-ORACLES: dict[str, str] = {}
+
