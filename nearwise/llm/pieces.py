@@ -5,7 +5,6 @@ import re
 import struct
 import sys
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -210,9 +209,8 @@ class PieceEncoder:
         return self.model.decode(ids.tolist())
 
 
-@lru_cache(1)
 def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return w.per_process(("pieces", path), lambda: PieceEncoder(path))
 
 
 def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:

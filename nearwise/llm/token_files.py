@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import sys
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +106,8 @@ class WordEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
-@lru_cache(1)
 def _tokenizer(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return w.per_process(("words", path), lambda: WordEncoder(path))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:

@@ -7,7 +7,7 @@ byte, so splitting bytes and splitting characters give the same words.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,17 @@ from pyspark import cloudpickle
 SLICE_BYTES = 2 << 20
 
 
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for all its tasks.
+
+    Functions are shipped to workers by value, without the state of their modules, so the object hangs on ``sys``.
+    """
+    held = vars(sys).setdefault("_nearwise_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 booleans that is false exactly inside ``ranges``."""
     table = np.ones(256, bool)
