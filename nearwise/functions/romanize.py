@@ -16,17 +16,19 @@ CONSONANTS = {
     "य": "y", "र": "r", "ल": "l", "व": "v",
     "श": "sh", "ष": "Sh", "स": "s", "ह": "h", "ळ": "L",
     "क़": "q", "ख़": "K", "ग़": "G", "ज़": "z",
-    "ड़": ".D", "ढ़": ".Dh", "फ़": "f", "य़": "Y", "ऱ": "R",
+    "ड़": ".D", "ढ़": ".Dh", "फ़": "f", "य़": "Y", "ऱ": "R", "\u0929": "^n", "\u0934": "zh",
 }
 VOWELS = {
     "अ": "a", "आ": "A", "इ": "i", "ई": "I", "उ": "u", "ऊ": "U",
     "ऋ": "RRi", "ॠ": "RRI", "ऌ": "LLi", "ॡ": "LLI",
     "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au",
+    "\u090d": "a.c", "\u0972": "a.c", "\u0911": "A.c", "\u090e": "^e", "\u0912": "^o",
 }
 VOWEL_SIGNS = {
     "ा": "A", "ि": "i", "ी": "I", "ु": "u", "ू": "U",
     "ृ": "RRi", "ॄ": "RRI", "ॢ": "LLi", "ॣ": "LLI",
     "े": "e", "ै": "ai", "ो": "o", "ौ": "au",
+    "\u0945": "a.c", "\u0949": "A.c", "\u0946": "^e", "\u094a": "^o",
 }
 VIRAMA = "्"
 MARKS = {"ं": "M", "ः": "H", "ँ": ".N", "ऽ": ".a", "ॐ": "OM", "।": "|", "॥": "||"}
@@ -35,12 +37,13 @@ NUKTA = "़"
 NUKTA_LETTERS = {
     "क": "क़", "ख": "ख़", "ग": "ग़", "ज": "ज़",
     "ड": "ड़", "ढ": "ढ़", "फ": "फ़", "य": "य़", "र": "ऱ",
+    "न": "\u0929", "ळ": "\u0934",
 }
 
 
 # The code points of the consonants above, and of what replaces their inherent vowel.
-CONSONANT_CLASS = "\u0915-\u0928\u092a-\u0933\u0935-\u0939\u0958-\u095f"
-CLOSER_CLASS = "\u093e-\u0944\u0947\u0948\u094b-\u094d\u0962\u0963"
+CONSONANT_CLASS = "\u0915-\u0939\u0958-\u095f"
+CLOSER_CLASS = "\u093e-\u094d\u0962\u0963"
 
 
 def romanize(text: Column) -> Column:

@@ -1,49 +1,47 @@
 """Records out of tables of web pages."""
 
-from __future__ import annotations
-
+import html
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from nearwise.functions.text import collapse_space, strip
 
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 
-# The references that markup itself needs, ampersand last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+@F.pandas_udf(ArrayType(StringType()))
+def _resolved(texts: pd.Series) -> pd.Series:
+    """Character references of all texts of each row resolved, as the card parser does it."""
+    return texts.map(lambda row: None if row is None else [None if t is None else html.unescape(t) if "&" in t else t for t in row])
 
 
-def plain_text(markup: Column) -> Column:
-    """Markup without tags, with the basic character references resolved, trimmed."""
-    text = F.regexp_replace(markup, "<[^>]*>", "")
-    for reference, character in ENTITIES.items():
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return strip(text)
+def plain_texts(markups: Column) -> Column:
+    """Each markup without tags, with all character references resolved, trimmed."""
+    bare = F.transform(markups, lambda markup: F.regexp_replace(markup, "<[^>]*>", ""))
+    return F.transform(_resolved(bare), strip)
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Flat fields of every page: url, title, heading and body text; a missing one is the empty string."""
 
-    def first(pattern: str) -> Column:
-        return plain_text(F.regexp_extract("html", pattern, 1))
-
     article = F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1)
-    return pages.select(
-        "page_id",
-        "url",
-        first(r"(?is)<title[^>]*>(.*?)</title>").alias("title"),
-        first(r"(?is)<h1[^>]*>(.*?)</h1>").alias("heading"),
-        collapse_space(plain_text(F.regexp_replace(article, "<[^>]*>", " "))).alias("body"),
+    fields = F.array(
+        F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1),
+        F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1),
+        F.regexp_replace(article, "<[^>]*>", " "),
     )
+    found = pages.select("page_id", "url", plain_texts(fields).alias("fields"))
+    title, heading, body = (F.get("fields", F.lit(i)) for i in range(3))
+    return found.select("page_id", "url", title.alias("title"), heading.alias("heading"), collapse_space(body).alias("body"))
 
 
-def link_texts(html: Column) -> Column:
+def link_texts(page: Column) -> Column:
     """The texts of all links of a page, in order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), plain_text)
+    return plain_texts(F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

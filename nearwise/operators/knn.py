@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nearwise.functions.vectors import squared_l2
 from nearwise.operators import scan_kernel
 from nearwise.operators.topk import top_k
 
@@ -41,7 +40,7 @@ def knn_join(
     query_carry: Sequence[str] = (),
     corpus_carry: Sequence[str] = (),
     prefilter: Facets | None = None,
-    digits: int | None = 6,
+    digits: int | None = None,
     strategy: str = "auto",
     max_query_bytes: int = MAX_QUERY_BYTES,
     cell_bytes: int = CELL_BYTES,
@@ -52,8 +51,9 @@ def knn_join(
     ``queries`` has ``query_id`` and a vector, ``corpus`` has ``doc_id`` and a vector; both ids are BIGINT
     keys. The result has ``query_id, metric, rank, doc_id, score`` and the carried string columns. The
     score is the squared distance for ``l2`` (lower is nearer) and the similarity for ``cosine`` (higher is
-    nearer), rounded to ``digits`` decimals; ranks follow the reported score, then ``doc_id``, so they do
-    not depend on partitioning. Null vectors match nothing; zero vectors match nothing under ``cosine``.
+    nearer), unrounded; ranks follow it, then ``doc_id``, so they do not depend on partitioning. With ``digits``
+    scores are rounded to so many decimals before they are ranked, which makes ranks comparable with those of an
+    engine that adds up in another order; vectors of small length then tie. Null vectors, and such with an element that is not finite, match nothing; another width is an error; zero vectors match nothing under ``cosine``.
     Fewer than ``k`` rows come back only when the corpus has fewer.
 
     With ``prefilter`` rows are ranked separately by whether they pass the facet test, and the boolean
@@ -117,14 +117,10 @@ def nearest_first() -> list[Column]:
     return [cost.asc(), F.col("doc_id").asc()]
 
 
-def single_query(vector: Sequence[float], corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The ``k`` rows nearest to one vector by squared distance, nearest first.
-
-    The vector is a literal, so the plan stays in the JVM and ends in a distributed top-k.
-    """
-    literal = F.array(*[F.lit(float(x)) for x in vector])
-    scored = corpus.select("doc_id", F.round(squared_l2("embedding", literal), digits).alias("score"))
-    return scored.where(F.col("score").isNotNull()).orderBy("score", "doc_id").limit(k)
+def single_query(vector: Sequence[float], corpus: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The ``k`` rows nearest to one vector by squared distance, nearest first: a ``knn_join`` of one query."""
+    one = corpus.sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query_id long, embedding array<double>")
+    return knn_join(one, corpus, k, metrics=["l2"], digits=digits).select("doc_id", "score").orderBy("score", "doc_id")
 
 
 def _schema(task: scan_kernel.Task, query_carry: Sequence[str]) -> str:

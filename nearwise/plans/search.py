@@ -11,24 +11,42 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from nearwise.functions.tags import render_tags
 from nearwise.functions.text import CLEANERS, add_combined_text, four_decimals, title_case
 from nearwise.operators.embed import DIM, embed_tfidf, embed_with, fit_terms
-from nearwise.operators.facets import ALWAYS_CONTAINS, facet_always, facet_bucket, facet_match, resolve_facet
+from nearwise.operators.facets import ALWAYS_CONTAINS, facet_always, facet_bucket, facet_match
 from nearwise.operators.knn import METRICS, Facets, knn_join, nearest_first
 from nearwise.operators.topk import rank_within
 from nearwise.session import materialize
 from nearwise.sources.records import corpus_mapping
-from nearwise.sources.vector_table import load_vectors, write_vectors
+from nearwise.sources.vector_table import UnfinishedTable, load_vectors, write_vectors
 
 DISPLAY_COLUMNS = ("name", "facet", "description", "tags")
 MAX_HITS_BROADCAST_BYTES = 32 << 20
 HIT_BYTES = 128
 
 
+class Settings(NamedTuple):
+    """What corpus and queries must agree on: the cleaner of their texts and the width of their vectors."""
+
+    cleaner: str = "index"
+    dim: int = DIM
+
+
 class SearchTables(NamedTuple):
     """What a search needs: records with their combined text, the terms (none with an encoder), the vectors."""
 
     corpus: DataFrame
     terms: DataFrame | None
     vectors: DataFrame
+    settings: Settings = Settings()
+
+
+def combined_corpus(records: DataFrame, cleaner: str) -> DataFrame:
+    """The records with their texts cleaned and combined.
+
+    ``records`` has ``doc_id, name, facet, description, tags``; tags may be text or an array.
+    """
+    flat = dict(records.dtypes)["tags"] == "array<string>"
+    source = records.withColumn("tags_text", render_tags(F.col("tags")) if flat else F.col("tags"))
+    return add_combined_text(source, ("name", "description", "tags_text"), cleaner).drop("tags_text")
 
 
 def build_corpus(
@@ -36,46 +54,80 @@ def build_corpus(
 ) -> SearchTables:
     """Clean and combine the texts of the records and turn them into vectors ``(doc_id, facet, embedding)``.
 
-    ``records`` has ``doc_id, name, facet, description, tags``; tags may be text or an array. Vectors come
-    from ``load_encoder`` when given, else from the terms of these records.
+    Vectors come from ``load_encoder`` when given, else from the terms of these records.
     """
-    flat = dict(records.dtypes)["tags"] == "array<string>"
-    source = records.withColumn("tags_text", render_tags(F.col("tags")) if flat else F.col("tags"))
-    corpus = add_combined_text(source, ("name", "description", "tags_text"), cleaner).drop("tags_text")
+    return _embedded(combined_corpus(records, cleaner), Settings(cleaner, dim), load_encoder)
+
+
+def _embedded(corpus: DataFrame, settings: Settings, load_encoder: Callable | None) -> SearchTables:
     if load_encoder is not None:
-        return SearchTables(corpus, None, embed_with(corpus, load_encoder, carry=["facet"]))
-    terms = fit_terms(corpus, dim=dim)
-    return SearchTables(corpus, terms, embed_tfidf(corpus, terms, dim=dim, carry=["facet"]))
+        return SearchTables(corpus, None, embed_with(corpus, load_encoder, carry=["facet"]), settings)
+    terms = fit_terms(corpus, dim=settings.dim)
+    return SearchTables(corpus, terms, embed_tfidf(corpus, terms, dim=settings.dim, carry=["facet"]), settings)
 
 
-def write_search_tables(tables: SearchTables, base: str) -> None:
-    """Store the mapping, the terms and the vectors as tables under one folder; the vectors last.
+def write_search_tables(
+    records: DataFrame, base: str, cleaner: str = "index", dim: int = DIM, load_encoder: Callable | None = None
+) -> None:
+    """Store the mapping, the terms, the vectors and the settings as tables under one folder.
 
-    The vectors are written last because their presence says that the set is complete.
+    The mapping is written first: terms and vectors are made from the texts it holds, which are cleaned once. The
+    settings are written last, because their presence says that the set is complete.
     """
-    corpus_mapping(tables.corpus).write.mode("overwrite").parquet(f"{base}/mapping")
+    spark = records.sparkSession
+    corpus_mapping(combined_corpus(records, cleaner)).write.mode("overwrite").parquet(f"{base}/mapping")
+    tables = _embedded(spark.read.parquet(f"{base}/mapping"), Settings(cleaner, dim), load_encoder)
     if tables.terms is not None:
         tables.terms.write.mode("overwrite").parquet(f"{base}/terms")
     write_vectors(tables.vectors, f"{base}/vectors", mode="overwrite")
+    row = (cleaner, dim, load_encoder is None)
+    spark.createDataFrame([row], _SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{base}/settings")
+
 
+_SETTINGS = "cleaner string, dim int, with_terms boolean"
 
-def load_search_tables(spark: SparkSession, base: str, with_terms: bool = True) -> SearchTables:
-    """Open stored tables; a missing one is an error."""
-    vectors = load_vectors(spark, f"{base}/vectors")
-    terms = spark.read.parquet(f"{base}/terms") if with_terms else None
-    return SearchTables(spark.read.parquet(f"{base}/mapping"), terms, vectors)
 
+def load_search_tables(spark: SparkSession, base: str) -> SearchTables:
+    """Open stored tables; a missing or unfinished set is an error."""
+    stored = spark.read.schema(_SETTINGS).parquet(f"{base}/settings").collect()
+    if len(stored) != 1:
+        raise UnfinishedTable(f"the tables at {base} were not written to their end")
+    terms = spark.read.parquet(f"{base}/terms") if stored[0].with_terms else None
+    settings = Settings(stored[0].cleaner, stored[0].dim)
+    return SearchTables(spark.read.parquet(f"{base}/mapping"), terms, load_vectors(spark, f"{base}/vectors"), settings)
 
-def ensure_search_tables(records: DataFrame, base: str, **options) -> SearchTables:
-    """Open stored tables, building them from the records first when there are none."""
-    spark, with_terms = records.sparkSession, options.get("load_encoder") is None
+
+def ensure_search_tables(
+    records: DataFrame, base: str, cleaner: str | None = None, dim: int | None = None, load_encoder: Callable | None = None
+) -> SearchTables:
+    """Open stored tables, building them from the records first when there is no complete set.
+
+    Stored tables of another cleaner or width than asked for, or with terms where an encoder is given or the other
+    way round, are an error.
+    """
+    spark = records.sparkSession
     try:
-        return load_search_tables(spark, base, with_terms)
+        tables = load_search_tables(spark, base)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    write_search_tables(build_corpus(records, **options), base)
-    return load_search_tables(spark, base, with_terms)
+        tables = None
+    except UnfinishedTable:
+        tables = None
+    if tables is None:
+        write_search_tables(records, base, cleaner or Settings().cleaner, dim or Settings().dim, load_encoder)
+        tables = load_search_tables(spark, base)
+    _check(tables.settings, cleaner, dim)
+    if (tables.terms is None) != (load_encoder is not None):
+        raise ValueError(f"the tables at {base} were made {'with an encoder' if tables.terms is None else 'from terms'}")
+    return tables
+
+
+def _check(settings: Settings, cleaner: str | None, dim: int | None) -> Settings:
+    wanted = Settings(cleaner or settings.cleaner, dim or settings.dim)
+    if wanted != settings:
+        raise ValueError(f"the tables were made with {settings}, not with {wanted}")
+    return wanted
 
 
 def nonblank(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -83,19 +135,27 @@ def nonblank(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.where(F.length(F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))) > 0)
 
 
-def embed_queries(queries: DataFrame, terms: DataFrame, cleaner: str = "query", dim: int = DIM) -> DataFrame:
-    """Vectors of query texts, made as the corpus vectors were; words the corpus lacks are ignored."""
-    cleaned = queries.select("query_id", CLEANERS[cleaner]("text").alias("combined_text"))
-    return embed_tfidf(cleaned, terms, key="query_id", dim=dim)
+def embed_queries(
+    queries: DataFrame, terms: DataFrame | SearchTables, cleaner: str | None = None, dim: int | None = None
+) -> DataFrame:
+    """Vectors of query texts, made as the corpus vectors were; words the corpus lacks are ignored.
+
+    Given search tables, cleaner and width are theirs, and asking for others is an error. Given a table of terms only,
+    they default to those of ``build_corpus``.
+    """
+    if isinstance(terms, SearchTables):
+        cleaner, dim = _check(terms.settings, cleaner, dim)
+        terms = terms.terms
+    cleaned = queries.select("query_id", CLEANERS[cleaner or Settings().cleaner]("text").alias("combined_text"))
+    return embed_tfidf(cleaned, terms, key="query_id", dim=dim or Settings().dim)
 
 
 def search_text(
-    queries: DataFrame, vectors: DataFrame, terms: DataFrame, *, k: int = 10, metric: str = "l2",
-    cleaner: str = "index", dim: int = DIM, digits: int | None = 6,
+    queries: DataFrame, tables: SearchTables, *, k: int = 10, metric: str = "l2", digits: int | None = None
 ) -> DataFrame:
     """Text queries to ranked hits under one metric."""
-    embedded = embed_queries(nonblank(queries), terms, cleaner, dim)
-    return knn_join(embedded, vectors, k, metrics=[metric], digits=digits)
+    embedded = embed_queries(nonblank(queries), tables)
+    return knn_join(embedded, tables.vectors, k, metrics=[metric], digits=digits)
 
 
 def search_compare(
@@ -107,7 +167,7 @@ def search_compare(
     mode: str = "postfilter",
     always_contains: str | None = ALWAYS_CONTAINS,
     metrics: tuple[str, ...] = METRICS,
-    digits: int | None = 6,
+    digits: int | None = None,
 ) -> DataFrame:
     """Facet-filtered retrieval under both metrics, from one scan of the vectors.
 
@@ -145,17 +205,24 @@ def search_compare(
 def materialize_hits(hits: DataFrame, corpus: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Attach the display columns of each hit's row, joining on the key.
 
-    The hits are broadcast when they are known to be few, so that the corpus is scanned in place and not
-    shuffled; otherwise Spark picks the join. ``max_hits`` is a proven bound on their number (queries x
-    metrics x k). Without it they are written to the shared folder first, which also keeps the search from
-    being repeated, and counted there.
+    The hits are written to the shared folder first, which keeps the search from being repeated and gives them a
+    measured size. Few are broadcast whole. Of more, the distinct ids are broadcast while they are proven few, so that only
+    the rows hit leave the scan of the corpus; beyond that Spark picks the join. ``max_hits`` is a proven bound on the
+    number of hits (queries x metrics x k) that makes the first step unnecessary where hits hold no long strings.
     """
-    if max_hits is None:
-        hits = materialize(hits, "hits")
-        max_hits = hits.count()
     shown = corpus.select("doc_id", *[c for c in DISPLAY_COLUMNS if c in corpus.columns and c not in hits.columns])
-    small = max_hits * HIT_BYTES <= MAX_HITS_BROADCAST_BYTES
-    return shown.join(F.broadcast(hits) if small else hits, "doc_id")
+    strings = [name for name, kind in hits.dtypes if kind == "string"]
+    if max_hits is not None and max_hits * HIT_BYTES <= MAX_HITS_BROADCAST_BYTES and set(strings) <= {"metric"}:
+        return shown.join(F.broadcast(hits), "doc_id")
+    hits = materialize(hits, "hits")
+    letters = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0))
+    size = hits.agg(F.coalesce(F.sum(letters + HIT_BYTES), F.lit(0))).first()[0]
+    if size <= MAX_HITS_BROADCAST_BYTES:
+        return shown.join(F.broadcast(hits), "doc_id")
+    ids = materialize(hits.select("doc_id").distinct(), "hit-ids")
+    if ids.count() * HIT_BYTES <= MAX_HITS_BROADCAST_BYTES:
+        shown = shown.join(F.broadcast(ids), "doc_id", "left_semi")
+    return shown.join(hits, "doc_id")
 
 
 def order_for_display(
@@ -190,20 +257,3 @@ def display_rows(results: DataFrame) -> DataFrame:
         F.coalesce(tags, F.lit("")).alias("tags"),
         four_decimals("score").alias("score_text"),
     )
-
-
-# The sentences that announce a facet filter, by its origin.
-FILTER_MESSAGES = {
-    "explicit": "Explicit filter: Showing results for state: %s (including central schemes)",
-    "detected": "Detected from query: Showing results for state: %s (including central schemes)",
-}
-
-
-def filter_message(queries: DataFrame) -> DataFrame:
-    """Resolve the facet of each query and add the sentence that announces it; null without a facet."""
-    resolved = resolve_facet(queries)
-    sentences = [
-        F.when(F.col("facet_origin") == origin, F.format_string(sentence, title_case(F.col("facet_used"))))
-        for origin, sentence in FILTER_MESSAGES.items()
-    ]
-    return resolved.withColumn("filter_message", F.coalesce(*sentences))

@@ -16,19 +16,19 @@ from nearwise.sources import records as record_io, vector_table
 from nearwise.streaming.search_stream import search_stream
 
 K = 10
+DIGITS = 6  # the SQL adds elements in another order, so these queries rank on scores rounded to six decimals
 ALWAYS = "src1"  # the always-included class of the document sources
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, in as many tasks as its files allow.
+    """A table, in at least as many tasks as there are cores.
 
-    A table that is one single file may be one row group, which is one task however many cores there are;
-    only such a file is spread over the cores by its key. Tables of many files are scanned in place.
+    A small file may be one row group, which is one task however many cores there are. A table with fewer scan tasks
+    than cores is spread over them by its key; a larger one is scanned in place.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "pages") and len(df.inputFiles()) == 1:
-        df = df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def first_line(text: Column) -> Column:
@@ -118,6 +118,17 @@ def vectors_stored(spark, sf_dir):
     return stored.select("doc_id", "facet", F.size("embedding").alias("dim"), F.round("norm", 4).alias("norm"))
 
 
+def vectors_partitioned(spark, sf_dir):
+    """A vector table partitioned by facet, written from the rows of one label and appended to with all rows."""
+    path = fresh_path(spark, "vectors-by-facet")
+    everything = facet_vectors(spark, sf_dir)
+    first = load(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("doc_id"))
+    vector_table.write_vectors(everything.join(first, "doc_id"), path, partition_by_facet=True)
+    vector_table.append_vectors(everything, path)
+    stored = vector_table.load_vectors(spark, path)
+    return stored.select("doc_id", "facet", F.size("embedding").alias("dim"), F.round("norm", 4).alias("norm"))
+
+
 def pages_extract_fields(spark, sf_dir):
     return extract.page_fields(load(spark, sf_dir, "pages"))
 
@@ -206,8 +217,7 @@ def resolved_queries(spark, sf_dir):
 
 
 def facet_resolve(spark, sf_dir):
-    found = search.filter_message(facets.detect_facet(facet_queries(spark, sf_dir).drop("embedding"), source_dictionary(spark, sf_dir)))
-    return found.select("query_id", "explicit_facet", "detected_facet", "facet_used", "facet_origin", "filter_message")
+    return resolved_queries(spark, sf_dir).select("query_id", "explicit_facet", "detected_facet", "facet_used", "facet_origin")
 
 
 def facet_title(spark, sf_dir):
@@ -260,19 +270,26 @@ def tags_parse(spark, sf_dir):
 
 
 def knn_l2(spark, sf_dir):
-    hits = knn.knn_join(query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, metrics=["l2"])
+    hits = knn.knn_join(query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, metrics=["l2"], digits=DIGITS)
     return hits.select("query_id", "rank", "doc_id", F.col("score").alias("d2"), F.round(F.sqrt("score"), 4).alias("distance"))
 
 
+def knn_small_vectors(spark, sf_dir):
+    """Vectors a thousandth as long, ranked on the exact distance; only the result is scaled and rounded."""
+    short = lambda df: df.withColumn("embedding", vec.scale("embedding", F.lit(0.001)))
+    hits = knn.knn_join(short(query_vectors(spark, sf_dir)), short(corpus_vectors(spark, sf_dir)), K, metrics=["l2"])
+    return hits.select("query_id", "rank", "doc_id", F.round(F.col("score") * 1e6, 4).alias("d2_millionths"))
+
+
 def knn_cosine(spark, sf_dir):
-    hits = knn.knn_join(query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, metrics=["cosine"])
+    hits = knn.knn_join(query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, metrics=["cosine"], digits=DIGITS)
     return hits.select("query_id", "rank", "doc_id", F.col("score").alias("similarity"))
 
 
 def knn_l2_block(spark, sf_dir):
     """As ``knn_l2``, with both sides cut into blocks that are shuffled against each other."""
     hits = knn.knn_join(
-        query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, metrics=["l2"], strategy="grid",
+        query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, metrics=["l2"], digits=DIGITS, strategy="grid",
         max_query_bytes=1 << 20, cell_bytes=1 << 18,
     )
     return hits.select("query_id", "rank", "doc_id", F.col("score").alias("d2"))
@@ -283,11 +300,11 @@ def knn_single(spark, sf_dir):
     vectors = corpus_vectors(spark, sf_dir)
     means = vectors.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
     centre = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("v"))
-    return knn.single_query(centre.first()["v"], vectors, K)
+    return knn.single_query(centre.first()["v"], vectors, K, digits=DIGITS)
 
 
 def both_metrics(spark, sf_dir):
-    return knn.knn_join(query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K)
+    return knn.knn_join(query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, digits=DIGITS)
 
 
 def named_hits(spark, sf_dir):
@@ -307,7 +324,7 @@ def display_rows(spark, sf_dir):
 
 def search_filtered(spark, sf_dir):
     return search.search_compare(
-        resolved_queries(spark, sf_dir), facet_vectors(spark, sf_dir), k=K, always_contains=ALWAYS
+        resolved_queries(spark, sf_dir), facet_vectors(spark, sf_dir), k=K, always_contains=ALWAYS, digits=DIGITS
     )
 
 
@@ -316,12 +333,12 @@ def search_fallback(spark, sf_dir):
     n = F.col("query_id")
     used = F.when(n % 3 == 0, F.lit("src99")).when(n % 3 == 1, F.concat(F.lit("src"), (n % 20).cast("string")))
     queries = query_vectors(spark, sf_dir).withColumn("facet_used", used)
-    return search.search_compare(queries, facet_vectors(spark, sf_dir), k=K, overfetch=1, always_contains=None)
+    return search.search_compare(queries, facet_vectors(spark, sf_dir), k=K, overfetch=1, always_contains=None, digits=DIGITS)
 
 
 def search_prefilter(spark, sf_dir):
     return search.search_compare(
-        resolved_queries(spark, sf_dir), facet_vectors(spark, sf_dir), k=K, mode="prefilter", always_contains=None
+        resolved_queries(spark, sf_dir), facet_vectors(spark, sf_dir), k=K, mode="prefilter", always_contains=None, digits=DIGITS
     )
 
 
@@ -358,8 +375,7 @@ def compare_names(spark, sf_dir):
 
 def text_corpus(spark, sf_dir, cleaner):
     """Terms and vectors of all documents."""
-    _, terms, vectors = search.build_corpus(document_records(spark, sf_dir), cleaner)
-    return terms, vectors
+    return search.build_corpus(document_records(spark, sf_dir), cleaner)
 
 
 def text_queries(spark, sf_dir):
@@ -370,8 +386,7 @@ def text_queries(spark, sf_dir):
 
 
 def embed_documents(spark, sf_dir):
-    _, vectors = text_corpus(spark, sf_dir, "index")
-    weights = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    weights = text_corpus(spark, sf_dir, "index").vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return weights.where(F.col("weight") != 0).select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 4).alias("weight"))
 
 
@@ -391,8 +406,12 @@ def embed_encoder(spark, sf_dir):
     def load_encoder():
         import numpy as np
 
-        letters = "abcdefghijklmnopqrstuvwxyz"
-        return lambda texts: np.array([[t.count(c) for c in letters] for t in texts], dtype="float32")
+        def count(texts):
+            raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+            owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+            return np.bincount(owner * 256 + np.concatenate(raw), minlength=256 * len(raw)).reshape(-1, 256)[:, 97:123]
+
+        return count
 
     docs = load(spark, sf_dir, "documents").select("doc_id", text_fns.clean_query_text("text").alias("combined_text"))
     rows = embed_with(docs, load_encoder).select("doc_id", F.posexplode("embedding").alias("pos", "n"))
@@ -400,20 +419,19 @@ def embed_encoder(spark, sf_dir):
 
 
 def search_text_l2(spark, sf_dir):
-    terms, vectors = text_corpus(spark, sf_dir, "index")
-    return search.search_text(text_queries(spark, sf_dir), vectors, terms, k=K)
+    return search.search_text(text_queries(spark, sf_dir), text_corpus(spark, sf_dir, "index"), k=K, digits=DIGITS)
 
 
 def search_text_compare(spark, sf_dir):
     """The whole search: detect a facet in the text, clean, embed, rank under both metrics, filter, order, show."""
-    terms, vectors = text_corpus(spark, sf_dir, "query")
+    tables = text_corpus(spark, sf_dir, "query")
     queries = facets.detect_facet(text_queries(spark, sf_dir), source_dictionary(spark, sf_dir))
     queries = facets.resolve_facet(queries.withColumn("explicit_facet", F.lit(facets.ALL_FACETS)))
-    embedded = search.embed_queries(search.nonblank(queries), terms)
+    embedded = search.embed_queries(search.nonblank(queries), tables)
     found = search.search_compare(
         queries.select("query_id", "facet_used").join(embedded, "query_id"),
-        vectors,
-        k=K, always_contains=ALWAYS,
+        tables.vectors,
+        k=K, always_contains=ALWAYS, digits=DIGITS,
     )
     ordered = search.order_for_display(found, always_contains=ALWAYS)
     shown = search.materialize_hits(ordered, document_records(spark, sf_dir))
@@ -427,7 +445,7 @@ def search_text_stored(spark, sf_dir):
     base, records = fresh_path(spark, "search-tables"), document_records(spark, sf_dir)
     search.ensure_search_tables(records, base)
     stored = search.ensure_search_tables(records, base)
-    hits = search.search_text(text_queries(spark, sf_dir), stored.vectors, stored.terms, k=K, metric="cosine")
+    hits = search.search_text(text_queries(spark, sf_dir), stored, k=K, metric="cosine", digits=DIGITS)
     shown = search.materialize_hits(hits, stored.corpus)
     return shown.select("query_id", "rank", "doc_id", F.col("score").alias("similarity"), "name", "facet")
 
@@ -440,7 +458,7 @@ def stream_search(spark, sf_dir):
     out = fresh_path(spark, "stream-hits")
     stream = search_stream(
         arriving.select(F.col("vec_id").alias("query_id"), "embedding"),
-        lambda batch: knn.knn_join(batch, corpus, K, metrics=["l2"]),
+        lambda batch: knn.knn_join(batch, corpus, K, metrics=["l2"], digits=DIGITS),
         out,
         fresh_path(spark, "stream-checkpoint"),
         availableNow=True,
@@ -452,12 +470,14 @@ def stream_search(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2": knn_l2,
     "knn_cosine": knn_cosine,
+    "knn_small_vectors": knn_small_vectors,
     "knn_l2_block": knn_l2_block,
     "knn_single": knn_single,
     "knn_materialize": knn_materialize,
     "display_rows": display_rows,
     "vectors_normalized": vectors_normalized,
     "vectors_stored": vectors_stored,
+    "vectors_partitioned": vectors_partitioned,
     "vector_stats": vector_stats,
     "corpus_mapping": corpus_mapping,
     "corpus_preview": corpus_preview,

@@ -35,15 +35,16 @@ def get_spark(app_name: str = "nearwise", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    A local session without either gets a fresh temporary folder; on a cluster that is an error, because a
-    machine-local folder would not survive the loss of its machine.
+    A session in one process without either gets a fresh temporary folder; on a cluster that is an error, because a
+    machine-local folder would not survive the loss of its machine. For the same reason a path needs a scheme there.
     """
     context = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
-    if path:
+    alone = context.master == "local" or context.master.startswith("local[")
+    if path and (alone or "://" in path or path.startswith("file:/")):
         return path.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
+    if not alone:
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors, with its scheme")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="nearwise-"))
     return context.getCheckpointDir()
 
@@ -62,3 +63,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: its writer leaves a mark when all files are in place."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def folders(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches a pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from nearwise.functions.vectors import l2_norm
+from nearwise.session import folders, is_complete
 
 VECTOR_SCHEMA = T.StructType(
     [
@@ -19,10 +20,15 @@ VECTOR_SCHEMA = T.StructType(
 )
 
 
+class UnfinishedTable(ValueError):
+    """A table whose writer did not get to its end."""
+
+
 def with_norm(vectors: DataFrame) -> DataFrame:
     """Vectors in the table's layout: single precision elements and their length.
 
-    The length is kept instead of a second, scaled copy: it gives the same cosine at half the bytes.
+    The length stands for a second, scaled copy: readers divide by it for unit vectors, and can find empty or outlying
+    vectors from one column. Searches take the length of what they multiply from the elements themselves.
     """
     facet = F.col("facet") if "facet" in vectors.columns else F.lit(None).cast("string").alias("facet")
     stored = vectors.select("doc_id", facet, F.col("embedding").cast("array<float>").alias("embedding"))
@@ -32,29 +38,37 @@ def with_norm(vectors: DataFrame) -> DataFrame:
 def write_vectors(
     vectors: DataFrame, path: str, mode: str = "errorifexists", partition_by_facet: bool = False
 ) -> None:
-    """Persist a vector table. Partitioning by facet lets facet searches skip files."""
-    writer = with_norm(vectors).write.mode(mode)
+    """Persist a vector table. Partitioned by facet, a filter on the facet reads only its files."""
+    _write(with_norm(vectors), path, mode, partition_by_facet)
+
+
+def _write(rows: DataFrame, path: str, mode: str, partition_by_facet: bool) -> None:
+    writer = rows.write.mode(mode)
     if partition_by_facet:
         writer = writer.partitionBy("facet")
     writer.parquet(path)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Open a vector table; a missing path is an error."""
-    return spark.read.schema(VECTOR_SCHEMA).parquet(path)
+    """Open a vector table; a missing path is an error, and so is a table that was not written to its end."""
+    found = spark.read.schema(VECTOR_SCHEMA).parquet(path)
+    if not is_complete(spark, path):
+        raise UnfinishedTable(f"the table at {path} was not written to its end")
+    return found
 
 
 def ensure_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Open the table at ``path``, building and writing it first when the path does not exist.
+    """Open the table at ``path``, building and writing it first when there is none or an unfinished one.
 
     Any other failure to read is raised, not answered with a rebuild.
     """
     try:
-        return spark.read.parquet(path)
+        if is_complete(spark, path) or not folders(spark, f"{path}/_temporary"):
+            return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    build().write.mode("errorifexists").parquet(path)
+    build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -62,10 +76,12 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
     """Add the vectors whose key the table does not have yet, so that a repeated append adds nothing.
 
     Only the key column of the stored table is read for the check. Of equal keys within ``vectors`` the
-    greatest row is kept; they are combined before the shuffle, which also serves the join.
+    greatest row is kept; they are combined before the shuffle, which also serves the join. The rows are laid out as
+    the table is, by facet or not.
     """
-    stored = load_vectors(vectors.sparkSession, path).select("doc_id")
+    spark = vectors.sparkSession
+    stored = load_vectors(spark, path).select("doc_id")
     single = with_norm(vectors).groupBy("doc_id").agg(F.max(F.struct("embedding", "facet", "norm")).alias("row"))
     columns = [F.col(f"row.{name}") for name in ("facet", "embedding", "norm")]
     fresh = single.join(stored, "doc_id", "left_anti")
-    fresh.select("doc_id", *columns).write.mode("append").parquet(path)
+    _write(fresh.select("doc_id", *columns), path, "append", folders(spark, f"{path}/facet=*"))

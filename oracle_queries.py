@@ -187,6 +187,12 @@ CARD_FIELDS = f"{squash(FIRST_LINE)} AS name, source AS facet, {squash('text')}
 ORACLES: dict[str, str] = {
     "knn_l2": f"{HITS} SELECT query_id, rank, doc_id, score AS d2, round(sqrt(score), 4) AS distance FROM ranked WHERE metric = 'l2'",
     "knn_cosine": f"{HITS} SELECT query_id, rank, doc_id, score AS similarity FROM ranked WHERE metric = 'cosine'",
+    "knn_small_vectors": """WITH
+        q AS (SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: x * 0.001::DOUBLE) AS v FROM embeddings),
+        c AS (SELECT vec_id AS doc_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 7) * 0.001::DOUBLE) AS v FROM embeddings),
+        pairs AS (SELECT query_id, doc_id, power(list_distance(q.v, c.v), 2) AS d2 FROM q CROSS JOIN c),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, doc_id) AS rank FROM pairs)
+        SELECT query_id, rank::INTEGER AS rank, doc_id, round(d2 * 1e6, 4) AS d2_millionths FROM ranked WHERE rank <= 10""",
     "knn_l2_block": f"{HITS} SELECT query_id, rank, doc_id, score AS d2 FROM ranked WHERE metric = 'l2'",
     "knn_single": f"""WITH {C},
         spread AS (SELECT unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM c),
@@ -200,6 +206,9 @@ ORACLES: dict[str, str] = {
         lang || ', ' || source AS tags, printf('%.4f', score) AS score_text FROM ranked JOIN documents USING (doc_id)""",
     "vectors_normalized": f"""WITH {C}, s AS (SELECT doc_id, unnest(v) AS x, unnest(range(0, len(v)))::INTEGER AS pos,
         sqrt(list_inner_product(v, v)) AS norm FROM c) SELECT doc_id, pos, round(x / norm, 6) AS unit_value FROM s""",
+    "vectors_partitioned": f"""WITH {C}, f AS (SELECT doc_id, v::FLOAT[]::DOUBLE[] AS v FROM c)
+        SELECT f.doc_id, source AS facet, len(v)::INTEGER AS dim, round(sqrt(list_inner_product(v, v)), 4) AS norm
+        FROM f LEFT JOIN documents USING (doc_id)""",
     "vectors_stored": f"""WITH {C}, f AS (SELECT doc_id, v::FLOAT[]::DOUBLE[] AS v FROM c)
         SELECT f.doc_id, source AS facet, len(v)::INTEGER AS dim, round(sqrt(list_inner_product(v, v)), 4) AS norm
         FROM f LEFT JOIN documents USING (doc_id)""",
@@ -245,10 +254,7 @@ ORACLES: dict[str, str] = {
         FROM texts LEFT JOIN nation ON contains(lower(text), lower(n_name)) GROUP BY query_id""",
     "facet_detect_passages": """SELECT d.doc_id AS query_id, min_by(b.text, b.item_id) AS detected_facet
         FROM documents d LEFT JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY d.doc_id""",
-    "facet_resolve": f"""WITH {FACET_QUERIES} SELECT *, CASE facet_origin
-        WHEN 'explicit' THEN 'Explicit filter: Showing results for state: ' || {title('facet_used')} || ' (including central schemes)'
-        WHEN 'detected' THEN 'Detected from query: Showing results for state: ' || {title('facet_used')} || ' (including central schemes)'
-        END AS filter_message FROM resolved""",
+    "facet_resolve": f"WITH {FACET_QUERIES} SELECT * FROM resolved",
     "facet_title": f"""SELECT p_partkey, {title("(p_name || ' ' || lower(p_type) || ' o''' || p_name)")} AS title FROM part""",
     "search_filtered": f"{FILTERED} {FOUND}",
     "search_fallback": compared(

@@ -107,9 +107,10 @@ def test_text_search_finds_the_text_itself(spark):
     rng = np.random.default_rng(3)
     rows = [(i, f"s{i}", "Goa", " ".join(rng.choice(words, 12)) + f" unique{i}", ["a"]) for i in range(60)]
     records = spark.createDataFrame(rows, "doc_id long, name string, facet string, description string, tags array<string>")
-    corpus, terms, vectors = search.build_corpus(records)
+    tables = search.build_corpus(records)
+    corpus = tables.corpus
     asked = corpus.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "name", "description", F.lit("a")).alias("text"))
-    hits = search.search_text(asked, vectors, terms, k=3, metric="cosine").collect()
+    hits = search.search_text(asked, tables, k=3, metric="cosine").collect()
     assert {(r.query_id, r.doc_id) for r in hits if r["rank"] == 1} == {(i, i) for i in range(60)}
 
 
@@ -118,11 +119,11 @@ def test_stored_tables(spark, tmp_path):
     records = spark.createDataFrame(rows, "doc_id long, name string, facet string, description string, tags array<string>")
     fresh = search.build_corpus(records, dim=32)
     asked = spark.createDataFrame([(0, "n3 word3 common")], "query_id long, text string")
-    expected = search.search_text(asked, fresh.vectors, fresh.terms, dim=32).collect()
+    expected = search.search_text(asked, fresh).collect()
     base = str(tmp_path / "tables")
     for _ in range(2):
         stored = search.ensure_search_tables(records, base, dim=32)
-        assert sorted(search.search_text(asked, stored.vectors, stored.terms, dim=32).collect()) == sorted(expected)
+        assert sorted(search.search_text(asked, stored).collect()) == sorted(expected)
     assert stored.corpus.columns == ["doc_id", "facet", "name", "description", "tags", "combined_text"]
     assert {r.facet for r in stored.vectors.collect()} == {"Goa"}
 

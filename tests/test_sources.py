@@ -145,14 +145,14 @@ def test_stream_of_texts(spark, tmp_path):
 
     rows = [(i, f"name{i}", "Goa", f"word{i} word{i % 7}", ["t"]) for i in range(30)]
     records_df = spark.createDataFrame(rows, "doc_id long, name string, facet string, description string, tags array<string>")
-    _, terms, vectors_df = search.build_corpus(records_df, dim=32)
+    tables = search.build_corpus(records_df, dim=32)
     arriving = spark.createDataFrame([(i, f"word{i} word3") for i in range(12)], "query_id long, text string")
     arriving.write.parquet(str(tmp_path / "in"))
 
     def answer(strategy):
         def run(batch):
-            embedded = search.embed_queries(search.nonblank(batch), terms, dim=32)
-            return knn_join(embedded, vectors_df, 4, strategy=strategy)
+            embedded = search.embed_queries(search.nonblank(batch), tables)
+            return knn_join(embedded, tables.vectors, 4, strategy=strategy)
 
         return run
 
