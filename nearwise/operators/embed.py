@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from nearwise.functions.text import tokens
 from nearwise.session import materialize
@@ -58,40 +58,60 @@ def embed_tfidf(
     are handed through.
 
     A vocabulary of checked size is broadcast and texts are encoded where they lie, without a shuffle. Of a
-    larger one only the ``max_broadcast_terms`` most common terms are broadcast; the rest is joined by
-    shuffle after equal words of a text have been counted together, and none of those terms can be a hot
-    key: it holds at most one in ``max_broadcast_terms`` of all rows.
+    larger one only the most common terms are broadcast, at most ``max_broadcast_terms`` and as many as a measured
+    number of bytes holds. Their part of each text is encoded in place; of the other words only their counts in each text
+    leave it, to be joined with the rest of the vocabulary. Texts are never shuffled. Each row is carried through under a
+    number of its own, so keys may be null or repeat.
     """
     lookup = terms.select("term", "idf", "bucket")
-    n_terms, term_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    n_terms, term_bytes, top = terms.agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)), F.coalesce(F.max("bucket"), F.lit(0))
+    ).first()
+    if top >= dim:
+        raise ValueError(f"the terms were fitted with more than {dim} buckets")
+    source = docs.select(key, text, *carry)
     if n_terms <= max_broadcast_terms and term_bytes <= MAX_BROADCAST_BYTES:
-        return _encode_in_place(docs.select(key, text, *carry), lookup.toArrow(), dim)
-    mean_bytes = max(1.0, term_bytes / n_terms)
-    n_hot = min(max_broadcast_terms, int(MAX_BROADCAST_BYTES / mean_bytes))
-    threshold = terms.agg(F.percentile_approx("df", max(0.0, 1 - n_hot / n_terms), 1_000_000)).first()[0]
-    hot = terms.where(F.col("df") > threshold).select("term", "idf", "bucket")
-    split = (
-        docs.select(key, text)
-        .repartition(key)
-        .select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("words"))
-        .select(key, F.size("words").alias("n_words"), F.explode_outer("words").alias("term"))
-    )
-    common = split.join(F.broadcast(hot), "term", "left")
-    rare = (
-        split.join(F.broadcast(hot.select("term")), "term", "left_anti")
-        .groupBy(key, "term", "n_words")
-        .agg(F.count("*").alias("n"))
-        .join(lookup, "term")
-    )
-    both = _bucket_sums(common, key, F.col("idf")).unionByName(
-        _bucket_sums(rare, key, F.col("idf") * F.col("n"))
-    )
-    vectors = _dense(both.groupBy(key, "bucket").agg(F.sum("weight").alias("weight")), key, dim)
-    return vectors.join(docs.select(key, *carry), key) if carry else vectors
+        return _encode_in_place(source, lookup.toArrow(), dim)
+    n_hot = max_broadcast_terms
+    while True:
+        threshold = terms.agg(F.percentile_approx("df", max(0.0, 1 - n_hot / n_terms), 1_000_000)).first()[0]
+        hot = terms.where(F.col("df") > threshold)
+        count, size = hot.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+        if count <= max_broadcast_terms and size <= MAX_BROADCAST_BYTES:
+            break
+        n_hot //= 2
+    partial = _encode_in_place(source, hot.select("term", "idf", "bucket").toArrow(), dim, split=True)
+    partial = materialize(partial.withColumn("row number", F.monotonically_increasing_id()), "partly-encoded")
+    rare = partial.select("row number", "n words", F.explode("rare words").alias("w")).select("row number", "n words", "w.term", "w.n")
+    weight = (F.col("n") * F.col("idf") / F.col("n words")).alias("weight")
+    rare = rare.join(terms.where(F.col("df") <= threshold).select("term", "idf", "bucket"), "term")
+    rare = rare.select("row number", F.struct("bucket", weight).alias("part")).groupBy("row number")
+    both = partial.drop("rare words", "n words").join(rare.agg(F.collect_list("part").alias("parts")), "row number", "left")
+    added = [f for f in both.drop("row number", "parts", "embedding").schema]
+    schema = T.StructType([*added, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return both.drop("row number").mapInArrow(_adder(dim), schema)
+
+
+def _adder(dim: int):
+    """Add the rare words' weights to the common ones'."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, dim).copy()
+            parts = batch.column("parts")
+            owner = pc.list_parent_indices(parts).to_numpy()
+            flat = parts.flatten()
+            np.add.at(sums, (owner, flat.field("bucket").to_numpy()), flat.field("weight").to_numpy())
+            yield batch.drop_columns(["embedding", "parts"]).append_column("embedding", _lists(sums.astype(np.float32)))
+
+    return add
+
 
+def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int, split: bool = False) -> DataFrame:
+    """Look up each batch's distinct words and add up their weights, text by text.
 
-def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int) -> DataFrame:
-    """Look up each batch's distinct words and add up their weights, text by text."""
+    With ``split`` the sums stay in double, and ``n words`` and the counts of words outside the vocabulary are added.
+    """
     vocabulary = vocabulary.combine_chunks()
     shared = texts.sparkSession.sparkContext.broadcast(
         (_single(vocabulary.column(0)), vocabulary.column(1).to_numpy(), vocabulary.column(2).to_numpy())
@@ -99,23 +119,39 @@ def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int) -> DataFr
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf, bucket = shared.value
+        known = {term: place for place, term in enumerate(known.to_pylist())}
         idf, bucket = np.append(idf, 0.0), np.append(bucket, 0)  # the last entry stands for unknown words
         for batch in batches:
             n = batch.num_rows
             words = pc.split_pattern(pc.fill_null(batch.column(1), ""), " ")
             owner = pc.list_parent_indices(words).to_numpy().astype(np.int64)
-            flat = words.flatten()
-            coded = flat.dictionary_encode()
-            place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), len(known)).to_numpy()
-            at = place[coded.indices.to_numpy()]
-            n_words = np.bincount(owner[pc.binary_length(flat).to_numpy() > 0], minlength=n)
+            coded = words.flatten().dictionary_encode()
+            names, code = coded.dictionary, coded.indices.to_numpy()
+            place = np.array([known.get(name, len(known)) for name in names.to_pylist()], np.int64)
+            filled = (pc.binary_length(names).to_numpy() > 0)[code]
+            at = place[code]
+            n_words = np.maximum(np.bincount(owner[filled], minlength=n), 1)
             sums = np.bincount(owner * dim + bucket[at], weights=idf[at], minlength=n * dim).reshape(n, dim)
-            shares = (sums / np.maximum(n_words, 1)[:, None]).astype(np.float32)
-            yield batch.drop_columns([text]).append_column("embedding", _lists(shares))
+            sums /= n_words[:, None]
+            batch = batch.drop_columns([text])
+            if not split:
+                yield batch.append_column("embedding", _lists(sums.astype(np.float32)))
+                continue
+            outside = filled & (at == len(known))
+            pairs, times = np.unique(owner[outside] * len(names) + code[outside], return_counts=True)
+            entries = pa.StructArray.from_arrays([names.take(pa.array(pairs % len(names))), pa.array(times, pa.int64())], ["term", "n"])
+            bounds = np.searchsorted(pairs // len(names), np.arange(n + 1)).astype(np.int32)
+            batch = batch.append_column("embedding", _lists(sums)).append_column("n words", pa.array(n_words, pa.int64()))
+            yield batch.append_column("rare words", pa.ListArray.from_arrays(pa.array(bounds), entries))
 
     text = texts.columns[1]
-    kept = ", ".join(f"{name} {kind}" for name, kind in texts.dtypes if name != text)
-    return texts.mapInArrow(encode, f"{kept}, embedding array<float>")
+    kept = [f for f in texts.schema if f.name != text]
+    number = T.DoubleType() if split else T.FloatType()
+    kept.append(T.StructField("embedding", T.ArrayType(number)))
+    if split:
+        entry = T.StructType().add("term", "string").add("n", "long")
+        kept += [T.StructField("n words", T.LongType()), T.StructField("rare words", T.ArrayType(entry))]
+    return texts.mapInArrow(encode, T.StructType(kept))
 
 
 def _single(column: pa.ChunkedArray) -> pa.Array:
@@ -129,29 +165,6 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).reshape(-1)))
 
 
-def _bucket_sums(weighted: DataFrame, key: str, weight) -> DataFrame:
-    summed = weighted.groupBy(key, "bucket").agg(
-        F.sum(weight).alias("total"), F.max("n_words").alias("n_words")
-    )
-    return summed.select(key, "bucket", (F.col("total") / F.col("n_words")).alias("weight"))
-
-
-def _dense(sums: DataFrame, key: str, dim: int) -> DataFrame:
-    """Bucket sums as arrays: runs of zeros are written between neighbouring buckets."""
-    pairs = F.sort_array(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "weight"))))
-    sparse = sums.groupBy(key).agg(pairs.alias("pairs"))
-    zero = F.lit(0.0)
-    filled = F.transform(
-        "pairs",
-        lambda pair, i: F.concat(
-            F.array_repeat(zero, pair["bucket"] - F.coalesce(F.get("pairs", i - 1)["bucket"], F.lit(-1)) - 1),
-            F.array(pair["weight"]),
-        ),
-    )
-    tail = F.array_repeat(zero, F.lit(dim - 1) - F.coalesce(F.get("pairs", F.size("pairs") - 1)["bucket"], F.lit(-1)))
-    return sparse.select(key, F.concat(F.flatten(filled), tail).cast("array<float>").alias("embedding"))
-
-
 def embed_with(
     docs: DataFrame,
     load_encoder: Callable[[], Callable[[list[str]], np.ndarray]],

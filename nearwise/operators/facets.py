@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nearwise.functions.text import clean_query_text
-from nearwise.operators.skew import salted_join
 from nearwise.session import materialize
 
 # The label that means "no facet", the class of facets every filter lets through, and the
@@ -26,6 +27,7 @@ STATES = (
 
 MAX_INLINE_VALUES = 512  # dictionary values tested by one expression
 MAX_INLINE_LETTERS = 1 << 16
+BLOCK_BYTES = 1 << 20  # dictionary texts searched for in one pass; their automaton takes some hundred times as much
 
 
 def facet_equals(facet: Column, value: Column) -> Column:
@@ -81,22 +83,20 @@ def detect_facet(
     """Add ``detected_facet``: the first dictionary value, in dictionary order, contained in the text.
 
     The test ignores case and, unless ``word_boundary`` is set, also finds values inside longer words.
-    ``dictionary`` is a list, or a table of ``(pos, value)`` with unique positions. A dictionary of checked small size becomes one
-    expression: no join and no shuffle. A larger one is joined on shared letter groups.
+    ``dictionary`` is a list, or a table of ``(pos, value)``; of values that read alike the lowest position counts. A
+    dictionary of checked small size becomes one expression. A larger one is broadcast in blocks of measured size, each
+    searched for in one pass over the texts. Either way every row is answered for itself, where it lies, so keys may be
+    null or repeat (``key`` is not read).
     """
     spark = texts.sparkSession
     if not isinstance(dictionary, DataFrame):
-        values = list(dictionary)
-        if len(values) > max_inline:
-            rows = list(enumerate(values))
-            return _detect_by_grams(texts, spark.createDataFrame(rows, "pos int, value string"), key, text, word_boundary)
-        return texts.withColumn("detected_facet", _first_contained(F.col(text), values, word_boundary))
+        dictionary = spark.createDataFrame(list(enumerate(dictionary)), "pos int, value string")
     dictionary = dictionary.where(F.col("value").isNotNull())
-    rows = dictionary.select("pos", "value").limit(max_inline + 1).collect()
-    if len(rows) <= max_inline and sum(len(row.value) for row in rows) <= MAX_INLINE_LETTERS:
-        values = [row.value for row in sorted(rows, key=lambda row: row.pos)]
+    n, letters = dictionary.agg(F.count("*"), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
+    if n <= max_inline and letters <= MAX_INLINE_LETTERS:
+        values = [row.value for row in sorted(dictionary.select("pos", "value").collect())]
         return texts.withColumn("detected_facet", _first_contained(F.col(text), values, word_boundary))
-    return _detect_by_grams(texts, dictionary, key, text, word_boundary)
+    return _detect_in_blocks(texts, dictionary, text, word_boundary)
 
 
 def _first_contained(text: Column, values: list[str], word_boundary: bool) -> Column:
@@ -121,77 +121,52 @@ def _needle(value: Column, word_boundary: bool) -> Column:
     return F.concat(F.lit(" "), clean_query_text(value), F.lit(" ")) if word_boundary else F.lower(value)
 
 
-GRAM_SIZES = (32, 24, 16, *range(12, 0, -1))  # letters per group; a value uses the largest that fits
-MAX_BROADCAST_VALUES = 1_000_000  # (hash, pos) pairs: 16 MB
-MAX_BROADCAST_BYTES = 32 << 20  # dictionary texts
-
-
-def _detect_by_grams(texts, dictionary, key, text, word_boundary) -> DataFrame:
-    """Containment by an equi-join on hashed letter groups, for dictionaries of any size.
-
-    A text that contains a value contains every letter group of the value, so each value needs to be looked
-    up by one group only: its rarest one in the dictionary, which for values of up to twelve letters is the
-    whole value. Pairs that agree on the group's hash are then verified on the texts. Values that read the
-    same count once, and the empty value is contained in every text.
-    """
-    needles = (
-        dictionary.groupBy(_needle(F.col("value"), word_boundary).alias("needle"))
-        .agg(F.min(F.struct("pos", "value")).alias("first"))
-        .select("first.pos", "first.value", "needle")
-    )
-    size = F.lit(None).cast("int")
-    for n in GRAM_SIZES[::-1]:
-        size = F.when(F.length("needle") >= n, n).otherwise(size)
-    needles = materialize(needles.withColumn("size", size), "facet-needles")
-    n_values, n_bytes, sizes = needles.agg(
-        F.count("*"), F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("value")), F.lit(0)), F.collect_set("size")
-    ).first()
-    grams = needles.select("pos", "size", F.explode(_gram_hashes(F.col("needle"), F.col("size"), sizes)).alias("gram"))
-    commonness = grams.groupBy("size", "gram").agg(F.count("*").alias("n"))
-    anchors_fit = n_values <= MAX_BROADCAST_VALUES
-    needles_fit = n_bytes <= MAX_BROADCAST_BYTES
-    keys = ["size", "gram"]
-    anchors = (
-        (grams.join(commonness, keys) if anchors_fit else salted_join(grams, commonness, keys, "pos"))
-        .groupBy("pos", "size")
-        .agg(F.min(F.struct("n", "gram")).alias("rarest"))
-        .select("pos", "size", F.col("rarest.gram").alias("gram"))
+def _detect_in_blocks(texts: DataFrame, dictionary: DataFrame, text: str, word_boundary: bool) -> DataFrame:
+    """One pass over the texts for each block of the dictionary; what a row has found so far goes with it."""
+    needles = dictionary.groupBy(_needle(F.col("value"), word_boundary).alias("needle")).agg(
+        F.min(F.struct("pos", "value")).alias("first")
     )
-
-    def look_up(pieces: DataFrame) -> DataFrame:
-        return pieces.join(F.broadcast(anchors), keys) if anchors_fit else salted_join(pieces, anchors, keys, key)
-
-    hay = texts.select(key, _haystack(F.col(text), word_boundary).alias("hay"))
-    pieces = [
-        hay.select(key, F.lit(n).alias("size"), F.explode(F.array_distinct(_gram_hashes(F.col("hay"), F.lit(n), [n]))).alias("gram"))
-        for n in sorted(sizes)
-    ]
-    pairs = [look_up(piece).select(key, "pos") for piece in pieces]
-    candidates = materialize(reduce(DataFrame.unionByName, pairs), "facet-pairs") if pairs else None
-    empty = needles.where(F.length("needle") == 0).select("pos", "value").orderBy("pos").limit(1).collect()
-    if candidates is not None:
-        # The candidates are a written table of known size: Spark broadcasts them when they are few.
-        pairs = hay.join(candidates, key)
-        values = needles.select("pos", "value", "needle")
-        hits = (
-            (pairs.join(F.broadcast(values), "pos") if needles_fit else salted_join(pairs, values, ["pos"], key))
-            .where(F.contains("hay", "needle"))
-            .groupBy(key)
-            .agg(F.min(F.struct("pos", "value")).alias("hit"))
-        )
-        found = texts.join(hits, key, "left")
-    else:
-        found = texts.withColumn("hit", F.lit(None).cast(needles.select(F.struct("pos", "value").alias("hit")).schema["hit"].dataType))
-    if empty:
-        everywhere = F.struct(F.lit(empty[0].pos).alias("pos"), F.lit(empty[0].value).alias("value"))
-        found = found.withColumn("hit", F.when(F.col(text).isNotNull(), F.least(F.coalesce("hit", everywhere), everywhere)))
-    return found.withColumn("detected_facet", F.col("hit.value")).drop("hit")
-
-
-def _gram_hashes(text: Column, size: Column, sizes: list[int]) -> Column:
-    """Hashes of the overlapping letter groups of one of the given sizes."""
-    groups = F.lit(None).cast("array<string>")
-    for n in sizes:
-        overlapping = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        groups = F.when(size == n, overlapping).otherwise(groups)
-    return F.transform(groups, lambda group: F.xxhash64(group))
+    needles = materialize(needles.select("needle", "first.pos", "first.value"), "facet-needles")
+    size = needles.agg(F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("value")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // BLOCK_BYTES))
+    names = [f"c{i}" for i in range(len(texts.columns))]
+    rows = texts.toDF(*names).withColumns({
+        "hay": _haystack(F.col(names[texts.columns.index(text)]), word_boundary),
+        "pos": F.lit(None).cast(needles.schema["pos"].dataType),
+        "value": F.lit(None).cast("string"),
+    })
+    for block in range(n_blocks):
+        part = needles.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == block).orderBy("pos").collect()
+        shared = texts.sparkSession.sparkContext.broadcast([tuple(row) for row in part])
+        rows = rows.mapInArrow(_searcher(shared), rows.schema)
+    return rows.select(*names, "value").toDF(*texts.columns, "detected_facet")
+
+
+def _searcher(shared):
+    """Replace ``pos`` and ``value`` where a text contains a needle of the block with a lower position."""
+
+    def search(batches):
+        needles = shared.value
+        automaton = ahocorasick.Automaton()
+        for rank, (needle, _, _) in enumerate(needles):
+            if needle:
+                automaton.add_word(needle, rank)
+        automaton.make_automaton()
+        empty = next((rank for rank, (needle, _, _) in enumerate(needles) if not needle), len(needles))
+        for batch in batches:
+            pos, value = batch.column("pos").to_pylist(), batch.column("value").to_pylist()
+            for row, hay in enumerate(batch.column("hay").to_pylist()):
+                if hay is None:
+                    continue
+                hits = (rank for _, rank in automaton.iter(hay)) if len(automaton) else ()
+                rank = min(hits, default=len(needles))
+                rank = min(rank, empty)
+                if rank < len(needles) and (pos[row] is None or needles[rank][1] < pos[row]):
+                    pos[row], value[row] = needles[rank][1:]
+            columns = [*batch.columns[:-2], pa.array(pos, batch.schema.field("pos").type), pa.array(value, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return search
+
+
+cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])

@@ -112,6 +112,7 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
         for matched in classes
     }
     q_norm2 = np.einsum("ij,ij->i", queries.vectors, queries.vectors)
+    codes, query_codes = _facet_codes(queries.facets) if task.prefilter else (None, None)
     for batch in batches:
         rows, x = matrix_of(batch.column(1), dim)
         if not len(rows):
@@ -133,6 +134,8 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
             docs, x, x_norm2 = docs[kept], x[kept], x_norm2[kept]
             extra = [values[kept] for values in extra]
             carried = carried.take(pa.array(kept))
+        if task.prefilter:
+            row_codes, always = _row_facets(codes, carried, facet_at)
         precision = _screen_precision(x_norm2, q_norm2)
         x_screen = x.astype(precision, copy=False)
         for at, chunk in enumerate(chunks):
@@ -140,7 +143,8 @@ def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) ->
             products = (q.astype(precision) @ x_screen.T).astype(precision, copy=False)
             eligible = None
             if task.prefilter:
-                eligible = _eligible(queries.facets[chunk], carried, facet_at)
+                asked = query_codes[chunk, None]
+                eligible = (asked == row_codes) | always | (asked == UNASKED)
             for metric in task.metrics:
                 low, slack = _screen(metric, products, x_norm2, q_norm2[chunk], dim, precision)
                 for matched in classes:
@@ -242,15 +246,21 @@ def _exact_cost(metric, q, x, q_norm2, x_norm2, picked_q, picked_x, digits):
     return round_half_away(cost, digits)
 
 
-def _eligible(query_facets, batch, column):
-    """Which rows each query's facet admits: equal key, always-match flag, or no facet asked for."""
-    row_facets = batch.column(column).to_numpy(zero_copy_only=False)
-    always = batch.column(column + 1).to_numpy(zero_copy_only=False).astype(bool)
+UNASKED, UNKNOWN = -2, -1
+
+
+def _facet_codes(query_facets):
+    """A number for each facet that is asked for, and those of the queries; ``UNASKED`` without a facet."""
     codes = {value: code for code, value in enumerate(dict.fromkeys(query_facets)) if value is not None}
-    row_codes = np.array([codes.get(value, -1) for value in row_facets])
-    query_codes = np.array([codes.get(value, -2) for value in query_facets])
-    unasked = query_codes == -2
-    return (query_codes[:, None] == row_codes[None, :]) | always[None, :] | unasked[:, None]
+    return codes, np.array([codes.get(value, UNASKED) for value in query_facets])
+
+
+def _row_facets(codes, batch, column):
+    """The number of each row's facet (``UNKNOWN`` for one that nobody asks for), and whether it always passes."""
+    coded = batch.column(column).dictionary_encode()
+    numbers = np.array([codes.get(value, UNKNOWN) for value in coded.dictionary.to_pylist()] + [UNKNOWN])
+    rows = numbers[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)]
+    return rows[None, :], batch.column(column + 1).to_numpy(zero_copy_only=False).astype(bool)[None, :]
 
 
 def _result(queries, offset, metric, matched, found):

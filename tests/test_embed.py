@@ -53,6 +53,23 @@ def test_unseen_words_are_ignored(spark):
         np.testing.assert_allclose(found, expected_vectors(asked, 16, DOCS), rtol=1e-5, atol=1e-7)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 2, 0])
+def test_null_and_repeated_keys(spark, limit):
+    rows = [(1, "a b"), (1, "c c c"), (None, "a"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, combined_text string")
+    found = embed_tfidf(docs, fit_terms(docs, dim=8), dim=8, max_broadcast_terms=limit).collect()
+    got = sorted((str(r.doc_id), round(sum(r.embedding), 4)) for r in found)
+    weights = {w: math.log(6 / (1 + n)) + 1 for w, n in (("a", 2), ("b", 1), ("c", 1))}
+    want = [("1", (weights["a"] + weights["b"]) / 2), ("1", weights["c"]), ("2", 0), ("None", weights["a"]), ("None", 0)]
+    assert got == sorted((k, round(v, 4)) for k, v in want)
+
+
+def test_terms_of_another_width(spark):
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, combined_text string")
+    with pytest.raises(ValueError, match="more than 2 buckets"):
+        embed_tfidf(docs, fit_terms(docs, dim=64), dim=2)
+
+
 def test_encoder_hook(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["ab", None, "abc"])], "doc_id long, combined_text string, facet string")
 

@@ -21,11 +21,10 @@ def test_detects_in_list_order(spark):
     assert detected(detect_facet(asked, word_boundary=True))[0] == "Maharashtra"
 
 
-@pytest.mark.parametrize("broadcast_values", [1_000_000, 0])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 @pytest.mark.parametrize("word_boundary", [False, True])
-def test_joined_dictionary_equals_inline(spark, monkeypatch, word_boundary, broadcast_values):
-    monkeypatch.setattr(facets, "MAX_BROADCAST_VALUES", broadcast_values)
-    monkeypatch.setattr(facets, "MAX_BROADCAST_BYTES", broadcast_values)
+def test_dictionary_in_blocks_equals_inline(spark, monkeypatch, word_boundary, block_bytes):
+    monkeypatch.setattr(facets, "BLOCK_BYTES", block_bytes)
     values = ["abc", "ab", "Xyz", "a long value with many words and a tail of letters", "long value", "é", "the cat", "cat"]
     asked = texts(
         spark,
@@ -56,6 +55,16 @@ def test_dictionary_table(spark):
     assert detected(detect_facet(asked, table, max_inline=1)) == ["NATION_10", "NATION_1", "OTHER", None]
 
 
+@pytest.mark.parametrize("max_inline", [512, 0])
+def test_rows_of_null_and_repeated_keys(spark, max_inline):
+    rows = [(1, "in goa"), (1, "x"), (None, "assam"), (None, None), (2, "in goa")]
+    asked = spark.createDataFrame(rows, "query_id long, text string").withColumn("value", F.lit("clash"))
+    found = detect_facet(asked, ["Goa", "Assam"], max_inline=max_inline)
+    assert found.columns == ["query_id", "text", "value", "detected_facet"]
+    got = sorted((str(r.query_id), str(r.text), str(r.detected_facet)) for r in found.collect())
+    assert got == [("1", "in goa", "Goa"), ("1", "x", "None"), ("2", "in goa", "Goa"), ("None", "None", "None"), ("None", "assam", "Assam")]
+
+
 def test_states():
     assert len(STATES) == 36
 

@@ -132,3 +132,31 @@ def test_stored_tables(spark, tmp_path):
 
     encoded = search.ensure_search_tables(records, str(tmp_path / "encoded"), load_encoder=load)
     assert encoded.terms is None and encoded.vectors.count() == 12
+
+
+def test_stored_settings_must_agree(spark, tmp_path):
+    rows = [(i, f"n{i}", "Goa", f"word{i} common", ["a"]) for i in range(6)]
+    records = spark.createDataFrame(rows, "doc_id long, name string, facet string, description string, tags array<string>")
+    base = str(tmp_path / "tables")
+    (tmp_path / "tables" / "vectors" / "_temporary").mkdir(parents=True)  # what a crashed build leaves
+    stored = search.ensure_search_tables(records, base, cleaner="query", dim=32)
+    assert stored.vectors.count() == 6 and stored.settings == ("query", 32)
+    assert search.ensure_search_tables(records, base).settings == ("query", 32)
+    for other in ({"dim": 16}, {"cleaner": "index"}):
+        with pytest.raises(ValueError, match="were made with"):
+            search.ensure_search_tables(records, base, **other)
+    asked = spark.createDataFrame([(0, "word3 common")], "query_id long, text string")
+    with pytest.raises(ValueError, match="were made with"):
+        search.embed_queries(asked, stored, dim=64)
+    assert [len(r.embedding) for r in search.embed_queries(asked, stored).collect()] == [32]
+    with pytest.raises(ValueError, match="from terms"):
+        search.ensure_search_tables(records, base, load_encoder=lambda: None)
+
+
+def test_hits_beyond_the_broadcast_bound(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "doc_id long, name string")
+    hits = spark.createDataFrame([(q, "l2", 1, q * 2, 0.5) for q in range(20)], "query_id long, metric string, rank int, doc_id long, score double")
+    expected = sorted(search.materialize_hits(hits, corpus).collect())
+    for limit in (128 * 20 + 10, 0):
+        monkeypatch.setattr(search, "MAX_HITS_BROADCAST_BYTES", limit)
+        assert sorted(search.materialize_hits(hits, corpus).collect()) == expected and len(expected) == 20

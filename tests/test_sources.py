@@ -1,3 +1,5 @@
+import os
+
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -59,6 +61,22 @@ def test_append_is_idempotent(spark, tmp_path):
     assert vector_table.load_vectors(spark, path).count() == 6
 
 
+def test_append_keeps_the_layout(spark, tmp_path):
+    path = str(tmp_path / "by-facet")
+    vector_table.write_vectors(vectors(spark, range(4)), path, partition_by_facet=True)
+    vector_table.append_vectors(vectors(spark, range(10)), path)
+    assert vector_table.load_vectors(spark, path).count() == 10
+    assert all(".parquet" not in name for name in os.listdir(path))
+
+
+def test_unfinished_tables(spark, tmp_path):
+    crashed = tmp_path / "crashed"
+    (crashed / "_temporary").mkdir(parents=True)
+    with pytest.raises(vector_table.UnfinishedTable):
+        vector_table.load_vectors(spark, str(crashed))
+    assert vector_table.ensure_table(spark, str(crashed), lambda: spark.range(3)).count() == 3
+
+
 def test_ensure_builds_once(spark, tmp_path):
     path, built = str(tmp_path / "t"), []
 
@@ -109,6 +127,13 @@ def test_page_fields_and_links(spark):
     assert [tuple(r) for r in page_links(pages).orderBy("link_no").collect()] == [(1, 1, "x"), (1, 2, "yz")]
 
 
+def test_all_references_are_resolved(spark):
+    html = "<title>Caf&eacute; &#8217;x&#x27; &amp;lt;</title><a href=x>l&ouml;w</a><a>&nbsp;b</a>"
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", None)], "page_id long, url string, html string")
+    assert page_fields(pages).orderBy("page_id").first().title == "Café ’x' &lt;"
+    assert [r.link_text for r in page_links(pages).orderBy("link_no").collect()] == ["löw", "b"]
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(2, "a"), (1, None), (3, "b")], "doc_id long, s string")
     assert [tuple(r) for r in profile.column_profile(df).collect()] == [(0, "doc_id", "bigint", 3, 3), (1, "s", "string", 3, 2)]

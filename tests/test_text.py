@@ -96,3 +96,16 @@ def test_random_texts_match_python(spark):
 
     assert values(spark, inputs, text_fns.clean_query_text) == [expected(t) for t in inputs]
     assert values(spark, inputs, text_fns.title_case) == [t.title() for t in inputs]
+
+
+def test_tag_lists_are_read_strictly(spark):
+    literals = [
+        "['a'] trailing", "[1, 2]", "['a', ['b']]", "['a', 'b',]", "['a' 'b', \"c\"]", "['a\\U0001F600b']", "[,]", "['a',,'b']", "['a", None, "[ ]",
+    ]
+    shown = values(spark, literals, tag_fns.display_tags)
+    assert shown == ["['a'] trailing", "[1, 2]", "['a', ['b']]", "a, b", "ab, c", "a\U0001F600b", "[,]", "['a',,'b']", "['a", None, ""]
+
+
+def test_romanize_further_vowels(spark):
+    words = ["डॉक्टर", "कॉलेज", "ऑनलाइन", "\u0929 \u0934 \u0972", "\u0928\u093c", "कॅ कॆ कॊ"]
+    assert values(spark, words, romanize) == ["DA.ckTara", "kA.cleja", "A.cnalAina", "^na zha a.c", "^na", "ka.c k^e k^o"]
