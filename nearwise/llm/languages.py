@@ -68,11 +68,13 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     ids = ids.select(F.col("doc_id").alias("sampled"), "lang").distinct()
     rows = docs.select("doc_id", "text", "lang").withColumnRenamed("lang", "own")
     rows = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("sampled")) & (F.col("own") == F.col("lang")))
-    found = rows.select("lang", "text").mapInArrow(_sampler, "lang string, buckets binary").toArrow()
+    found = rows.select("lang", "text").mapInArrow(_sampler, "lang string, buckets binary, counts binary").toArrow()
     langs = np.array(found["lang"].to_pylist(), object)
     x = np.zeros((len(langs), 2 * BUCKETS), np.float32)
-    for row, buckets in enumerate(found["buckets"]):
-        x[row] = _shares(np.frombuffer(buckets.as_py(), np.int32))
+    for row, (buckets, counts) in enumerate(zip(found["buckets"], found["counts"])):
+        x[row, np.frombuffer(buckets.as_py(), np.int32)] = np.frombuffer(counts.as_py(), np.int32)
+        for half in (x[row, :BUCKETS], x[row, BUCKETS:]):  # shares among the trigrams, and among the words
+            half *= SCALE / max(1.0, half.sum())
     keep = x.any(1)
     langs, x = langs[keep], x[keep]
     home = {lang: family for family, members in FAMILIES.items() for lang in members}
@@ -143,14 +145,6 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return trigrams, word_trigrams[found.bounds], words, found.bounds
 
 
-def _shares(buckets: np.ndarray) -> np.ndarray:
-    """The shares of the buckets among a text's trigrams and among its words, scaled."""
-    counts = np.bincount(buckets, minlength=2 * BUCKETS).astype(np.float32)
-    for half in (counts[:BUCKETS], counts[BUCKETS:]):
-        half *= SCALE / max(1.0, half.sum())
-    return counts
-
-
 #: Shares are small numbers; scaled like this the machines' weights stay moderate.
 SCALE = 10.0
 
@@ -158,8 +152,12 @@ SCALE = 10.0
 def _sampler(batches):
     for batch in w.slices(batches):
         trigrams, cuts, words, bounds = features(batch.column("text"))
-        rows = [np.concatenate([trigrams[cuts[i] : cuts[i + 1]], words[bounds[i] : bounds[i + 1]]]).astype(np.int32) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "buckets"])
+        rows = [
+            np.unique(np.concatenate([trigrams[cuts[i] : cuts[i + 1]], words[bounds[i] : bounds[i + 1]]]), return_counts=True)
+            for i in range(batch.num_rows)
+        ]
+        columns = [pa.array([side.astype(np.int32).tobytes() for side in sides], pa.binary()) for sides in zip(*rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), *columns], ["lang", "buckets", "counts"])
 
 
 def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -17,12 +17,12 @@ from nearwise.llm.grams import Grams
 #: Labelled documents of each class that the model is fitted on, those of lowest hash.
 SAMPLE = 3000
 #: The most features; each must be this pure and explain so many toxic documents that no feature before it does.
-MOST_FEATURES, PURITY, LEAST_NEW = 400, 0.97, 4
+MOST_FEATURES, PURITY, LEAST_NEW = 400, 0.97, 3
 #: Grades: 0 not toxic; toxic documents are 1 or 2, by whether their share of marker words is below their median.
 GRADES = 3
 #: Probability of grade 1 or more from which a document is toxic.
 LIMIT = 0.5
-STEPS, RATE, RIDGE = 400, 0.1, 1e-3
+STEPS, RATE, RIDGE = 400, 0.1, 1e-4
 
 
 class ToxicityModel(NamedTuple):

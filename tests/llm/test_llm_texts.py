@@ -209,7 +209,7 @@ def test_secrets_equal_plain(spark, given):
 def test_novelty_needs_what_does_not_compress():
     scan = secret_scan.SecretScanner()
     assert scan("the private key is Zx81kQp0aLw93mXvT7bRn2Yc")[1]
-    assert not scan("the private key is 0000000000000000aaaa0000000000000000"[:50])[1]
+    assert not scan("the private key is xxxxxxxxxxxxxxxx0xxxxxxxxxxxxxxxx")[1]
     assert not scan("nothing sensitive: Zx81kQp0aLw93mXvT7bRn2Yc")[1]
 
 
