@@ -168,7 +168,6 @@ def test_single_query(spark):
     found = single_query([0.5] * 6, table(spark, "doc_id", corpus), 8)
     expected = brute_force([[0.5] * 6], corpus, 8, "l2")
     assert [r.doc_id for r in found.collect()] == [h[3] for h in expected]
-    plan = found._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("prefilter", [False, True])
