@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nearwise.llm import words as w
 from nearwise.llm.components import components
@@ -22,8 +24,9 @@ HASHES = BANDS * ROWS
 #: Of two sets of similarity 0.8 a tenth of the 200 signature bits differ; more than 52 with a probability below 1e-8.
 MOST_BITS = 52
 SIGNATURE = ["s0", "s1", "s2", "s3"]
-#: From the second round on, so many members of a bucket are compared with all others of it at once.
-PIVOTS = 16
+#: So many members of a bucket are compared with its other components in the second round, and how many times as many
+#: in each further one.
+PIVOTS, GROWTH = 64, 4
 #: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -63,10 +66,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     Other columns are not read. An empty table gives an empty one.
 
     Rows of equal sets are one node from the start, so a group of copies costs one row of each. Nodes that share a band
-    are compared with the smallest node of that bucket, never all with all. What is left is only compared further where
-    a bucket still holds nodes of different components: its next smallest nodes are compared with the others, until
-    none are left. A bucket's smallest node, once compared with all others of the bucket, has no open pair there, so every
-    pair that shares a bucket is either compared or already known to be connected, whatever the size of the bucket.
+    are first compared with the smallest node of that bucket, never all with all. What is left is only compared further
+    where a bucket still holds nodes of different components: some of its nodes, those of its smallest components first,
+    are compared with the nodes of other components, and are then done with. That goes on until every bucket holds one
+    component or no open node, so every pair that shares a bucket is either compared or already known to be connected,
+    whatever the size of the bucket.
     """
     rows = materialize(sketch(docs, size), "sketch")
     sets = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -108,33 +112,46 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     """The confirmed links ``(u, v)``, enough of them to join everything that is linked; None if there are none."""
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
-    buckets = materialize(buckets.join(shared, "key"), "buckets")
-    pairs = buckets.where(F.col("node") > F.col("low")).select(F.col("node").alias("u"), F.col("low").alias("v"))
-    active = buckets.where(F.col("node") > F.col("low")).select("key", "node")
-    links, tested, labels = None, None, None
-    while True:
-        pairs = materialize(_screened(pairs.distinct(), nodes, percent), "pairs")
-        for first in (True, False):  # first one pair for each node; most of the others are then known to be connected
-            open_pairs = _open(pairs, labels, tested)
-            chosen = open_pairs.groupBy("u").agg(F.min("v").alias("v")) if first else open_pairs
-            chosen = materialize(chosen, "chosen")
-            if not chosen.head(1):
-                break
-            tested = chosen if tested is None else tested.union(chosen)
-            confirmed = materialize(_confirmed(docs, nodes, chosen, size, percent), "links")
+    buckets = materialize(buckets.join(shared, "key"), "buckets").where(F.col("node") > F.col("low"))
+    pairs = materialize(_screened(buckets.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), nodes, percent), "pairs")
+    links, tested, labels, pivots = [], [], None, PIVOTS
+
+    def compare(chosen: DataFrame) -> None:
+        nonlocal labels
+        chosen = materialize(chosen, "chosen")
+        n = chosen.count()
+        if n:
+            tested.append(chosen)
+            confirmed = materialize(_confirmed(docs, nodes, chosen, n, size, percent), "links")
             if confirmed.head(1):
-                links = confirmed if links is None else links.union(confirmed)
-                labels = components(links)
-        labelled = _with_label(active, labels, "node", "label")
-        unsettled = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        active = materialize(active.join(unsettled.select("key"), "key"), "active")
+                links.append(confirmed)
+                labels = components(reduce(DataFrame.union, links))
+
+    compare(pairs.groupBy("u").agg(F.min("v").alias("v")))  # one pair for each node; most others are then known to be connected
+    rest = pairs.join(tested[0], ["u", "v"], "left_anti") if tested else pairs
+    rest = _with_label(_with_label(rest, labels, "u", "lu"), labels, "v", "lv")
+    compare(rest.where("lu != lv").select("u", "v"))
+    active, light = buckets.select("key", "node"), nodes.select("node", "n_shingles", *SIGNATURE)
+    while True:
+        active = materialize(_unsettled(_with_label(active, labels, "node", "label")).join(light, "node"), "active")
         if not active.head(1):
-            return links
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        pivots = active.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("node").alias("v"), "place")
-        pairs = active.select("key", F.col("node").alias("u")).join(pivots, "key").where(F.col("u") > F.col("v")).select("u", "v")
-        last = pivots.groupBy("key").agg(F.max("v").alias("last"))
-        active = active.join(last, "key").where(F.col("node") > F.col("last")).select("key", "node")
+            return reduce(DataFrame.union, links) if links else None
+        place = F.row_number().over(Window.partitionBy("key").orderBy("alike", "node"))
+        chosen = active.withColumn("place", place).where(F.col("place") <= pivots)
+        chosen = chosen.select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", "n_shingles", *SIGNATURE)))
+        facing = active.withColumnsRenamed({c: f"u_{c}" for c in ("n_shingles", *SIGNATURE)}).join(chosen, "key")
+        facing = facing.where((F.col("label") != F.col("v_label")) & _may_be_similar(percent))
+        facing = facing.select(F.greatest("node", "v_node").alias("u"), F.least("node", "v_node").alias("v")).distinct()
+        compare(facing.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti") if tested else facing)
+        active = active.select("key", "node").join(chosen.select("key", F.col("v_node").alias("node")), ["key", "node"], "left_anti")
+        pivots *= GROWTH
+
+
+def _unsettled(labelled: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, each with how many members of its bucket are of its own."""
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("alike"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("components")).where(F.col("components") > 1)
+    return labelled.join(sizes.join(several.select("key"), "key"), ["key", "label"])
 
 
 def _with_label(df: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
@@ -144,30 +161,26 @@ def _with_label(df: DataFrame, labels: DataFrame | None, node: str, name: str) -
     return df.join(named, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _open(pairs: DataFrame, labels: DataFrame | None, tested: DataFrame | None) -> DataFrame:
-    """The pairs of different components that were not compared yet."""
-    if tested is not None:
-        pairs = pairs.join(tested, ["u", "v"], "left_anti")
-    if labels is not None:
-        pairs = _with_label(_with_label(pairs, labels, "u", "lu"), labels, "v", "lv").where("lu != lv").select("u", "v")
-    return pairs
-
-
 def _screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and signatures allow the similarity."""
     light = nodes.select("node", "n_shingles", *SIGNATURE)
     side = lambda name: light.toDF(name, *(f"{name}_{c}" for c in light.columns[1:]))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    differing = sum(F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}"))) for s in SIGNATURE)
+    return both.where(_may_be_similar(percent)).select("u", "v")
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Whether sizes and signatures of the two sides ``u_`` and ``v_`` allow the similarity."""
+    differing = reduce(add, (F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}"))) for s in SIGNATURE))
     small, large = F.least("u_n_shingles", "v_n_shingles"), F.greatest("u_n_shingles", "v_n_shingles")
-    return both.where((100 * small >= percent * large) & (differing <= MOST_BITS)).select("u", "v")
+    return (100 * small >= percent * large) & (differing <= MOST_BITS)
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_pairs: int, size: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = materialize(nodes.join(wanted, "node").select("node", F.col("first_id").alias("id"), "set1", "set2"), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
+    wanted = nodes.join(wanted, "node").select("node", F.col("first_id").alias("id"), "set1", "set2")
+    few = 2 * n_pairs <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id"))
     texts = texts.select("node", "set1", "set2", "text").mapInArrow(_matching(size), "node long, text string").dropDuplicates(["node"])
     texts = materialize(texts, "texts")
