@@ -16,13 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     are written to the shared folder, which cuts the plan. An empty table gives an empty one.
     """
     stars = materialize(_small_star(_large_star(links)), "stars")
-    seen = _fingerprint(stars)
-    while True:
+    while not _settled(stars):
         stars = materialize(_small_star(_large_star(stars)), "stars")
-        now = _fingerprint(stars)
-        if now == seen:
-            break
-        seen = now
     return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
@@ -43,5 +38,8 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("least").alias("v"))).distinct()
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether the links, each from a larger to a smaller node, are stars: a node is a centre, or has one link to one."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("leaf")).union(links.select("v", F.lit(0)))
+    roles = ends.groupBy("node").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("least"))
+    return not roles.where((F.col("leaves") > 1) | (F.col("leaves") > 0) & (F.col("least") == 0)).head(1)
