@@ -3,7 +3,6 @@ import os
 
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
 
 from nearwise.functions.tags import parse_tags
 from nearwise.operators import profile
