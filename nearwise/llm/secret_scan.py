@@ -108,8 +108,13 @@ def suspicious(texts: pa.Array) -> np.ndarray:
             out[row] = True
             at = where.find(word, int(cuts[row + 1]))
     digits = HEX_BYTES[data]
-    edges = np.flatnonzero(np.diff(digits.astype(np.int8), prepend=0, append=0))
-    starts, ends = edges[::2], edges[1::2]
+    first, last = digits.copy(), digits.copy()
+    first[1:] &= ~digits[:-1]
+    last[:-1] &= ~digits[1:]
+    inner = cuts[(cuts > 0) & (cuts < len(data))]  # a run ends where its text ends
+    first[inner] = digits[inner]
+    last[inner - 1] = digits[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     out[np.searchsorted(cuts, starts[ends - starts >= HEX_LENGTH], "right") - 1] = True
     return out
 

@@ -206,6 +206,17 @@ def test_secrets_equal_plain(spark, given):
     assert all(set(",".join(x for x in r.spans.split(",") if x[:5] != "novel").split(",")) <= set(r.spans.split(",")) | {""} for r in rows)
 
 
+def test_secrets_do_not_depend_on_neighbours(spark):
+    digits = "9f86d081884c7d659a2feaa0c55ad015"
+    texts = ["the file is made", "", digits, None, digits + " cafe", "babe", digits[:15], "f", "face", digits + "x"]
+    marked = secret_scan.suspicious(pa.array(["", *texts, ""]).slice(1, len(texts)))
+    assert marked.tolist() == [len(t or "") >= 16 and t[:16] == digits[:16] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: (r.n_hex, r.spans) for r in secret_scan.find_secrets(docs).collect()}
+    assert rows == {i: (1, "hex:0:32") if (t or "").startswith(digits) else (0, "") for i, t in enumerate(texts)}
+    assert [r.text for r in secret_scan.redact_secrets(docs).collect()] == [t and t.replace(digits, "[SECRET]") for t in texts]
+
+
 def test_novelty_needs_what_does_not_compress():
     scan = secret_scan.SecretScanner()
     assert scan("the private key is Zx81kQp0aLw93mXvT7bRn2Yc")[1]
