@@ -27,7 +27,9 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 #: Words that make what follows them sensitive, in lower case.
 SENSITIVE_WORDS = (*ASSIGN_WORDS, b"passphrase", b"credential", b"private", b"bearer", b"authorization", b"access_key", b"access key", b"signature")
 SENSITIVE = re.compile("|".join(x.decode() for x in SENSITIVE_WORDS))
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate ends at "=", so a value is one without its key; at the end of a run "=" pads it.
+CANDIDATE_LENGTH = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: How far behind a sensitive word a candidate may start, and how much text around it may explain it, in characters.
 REACH, AROUND = 64, 512
 #: Marginal compressed bytes for each character from which a candidate counts as novel. Random base64 needs 0.75.
@@ -66,7 +68,8 @@ class SecretScanner:
         """Candidates outside the base spans that start near a sensitive word and that nothing around them explains."""
         lower, out, seen = text.encode().lower().decode(), [], -1
         for word in SENSITIVE.finditer(lower):
-            for m in CANDIDATE.finditer(text, max(word.end(), seen), min(len(text), word.end() + REACH)):
+            # one that starts at the end of the reach is found, and no search goes on behind it
+            for m in CANDIDATE.finditer(text, max(word.end(), seen), min(len(text), word.end() + REACH + CANDIDATE_LENGTH)):
                 # the run may begin before and end after what was searched
                 start, end = m.start(), CANDIDATE.match(text, m.start()).end()
                 seen = max(seen, end)
@@ -87,7 +90,7 @@ class SecretScanner:
         return base, sorted(base + self.novel(text, base))
 
 
-CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_=-]")
+CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_-]")
 
 
 def mixed(candidate: str) -> bool:

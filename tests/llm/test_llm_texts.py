@@ -224,6 +224,21 @@ def test_novelty_needs_what_does_not_compress():
     assert not scan("nothing sensitive: Zx81kQp0aLw93mXvT7bRn2Yc")[1]
 
 
+@pytest.mark.parametrize("key", ["AWS_SECRET_ACCESS_KEY=", "private_key=", "secret_key=", "credential=", 'private_key="', "export PRIVATE_KEY_2024_PRODUCTION=", "access_key: "])
+@pytest.mark.parametrize("value", ["Zx81kQp0aLw93mXvT7bRn2Yc", "Zx81kQp0aLw93mXvT7bRn2Y=", "Zx81kQp0aLw93mXvT7bRn2==", "Zx81kQp0/Lw93+XvT7_Rn2-c"])
+def test_values_of_keys_are_candidates(key, value):
+    base, spans = secret_scan.SecretScanner()(f"HOST=db\n{key}{value}\nPORT=1")
+    start = 8 + len(key)
+    assert (start, 3, start + len(value)) in spans and not base
+
+
+@pytest.mark.parametrize("gap", [1, 48, 49, 63, 64, 65])
+def test_candidates_start_within_reach(gap):
+    value = "Zx81kQp0aLw93mXvT7bRn2YcWq5Jd8Hs"
+    spans = secret_scan.SecretScanner()("private" + " " * gap + value)[1]
+    assert spans == ([(7 + gap, 3, 7 + gap + len(value))] if gap <= secret_scan.REACH else [])
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefghijklmnop b", "s"), (2, None, "t"), (3, "clean", "u")], "doc_id long, text string, spans string")
     assert sorted(secret_scan.redact_secrets(docs).collect()) == [(1, "a [SECRET] b", "s"), (2, None, "t"), (3, "clean", "u")]
