@@ -46,11 +46,13 @@ STOP_LOW, STOP_HIGH = 0.30, 0.32
 MOST_LINKS, MOST_LINKS_INSIDE = 0.2, 0.7
 
 COMMENT = "<!--"
+#: A tag up to its end if no attribute value holds "<" or ">", else only its name. A value is quoted where a quote follows "=".
 TAG = re.compile(
-    r"<(?:!--|(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]{0,1000}\"|'[^']{0,1000}')*+)>"
-    r"|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*)>|[!?/][^<>]*>)"
+    r"<(?:!--|(/?)([a-zA-Z][^\s/<>]*+)(?:((?:[^<>\"'=]++|[\"']|=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|(?![\"'])))*+)>)?"
+    r"|[!?/][^<>]*>)"
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+OPENING, UNQUOTED = re.compile(r"=\s*+([\"'])|[<>]"), re.compile(r"([^<>]*)>")
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 GOOD, BAD, NEAR, AMBIGUOUS = "good", "bad", "near", "ambiguous"
@@ -70,7 +72,7 @@ def blocks_of(page: str) -> list[Block]:
     pieces: list[str] = []
     links: list[str] = []
     dropped = inside = False
-    at, n, comments, unclosed = 0, len(page), True, set()
+    at, n, comments, unclosed, values = 0, len(page), True, set(), _Values(page)
 
     def close_block():
         if pieces:
@@ -105,10 +107,22 @@ def blocks_of(page: str) -> list[Block]:
             comments = close >= 0
             at = close + 3 if close >= 0 else at
             continue
-        tag = (m[2] or m[5] or "").lower()
+        tag, attributes = (m[2] or "").lower(), m[3]
         if not tag:
             continue
-        if m[1] or m[4]:  # an end tag
+        if attributes is None:
+            close = values.tag_end(at)
+            loose = UNQUOTED.match(page, at) if close < 0 else None
+            if close < 0 and not loose:  # no tag: the sign stands for itself
+                if not dropped:
+                    pieces.append("<")
+                    if count.get("a"):
+                        links.append("<")
+                at = end + 1
+                continue
+            attributes = loose[1] if loose else page[at:close]
+            at = loose.end() if loose else close + 1
+        if m[1]:  # an end tag
             if tag in BLOCKS:
                 close_block()
             if count.get(tag):
@@ -138,7 +152,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         article = inside or tag in ARTICLE
-        drop = dropped or _set_aside(tag, m[3] if m[2] else m[6], inside)
+        drop = dropped or _set_aside(tag, attributes, inside)
         stack.append((tag, drop, article))
         count[tag] = count.get(tag, 0) + 1
         if drop and not dropped:
@@ -148,15 +162,41 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+class _Values:
+    """Finds the ends of tags whose attribute values hold "<" or ">", in time linear in the page over all its tags."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.failed: set[int] = set()  # quotes from which no end of a tag was reached
+        self.absent: set[str] = set()  # quotes that do not follow any more
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose attributes start at ``at``, or -1 if a value is not closed or another tag starts."""
+        opened = []
+        while m := OPENING.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            if m[0] == "<" or m.start(1) in self.failed:
+                break
+            opened.append(m.start(1))
+            close = self.page.find(m[1], m.end()) if m[1] not in self.absent else -1
+            if close < 0:
+                self.absent.add(m[1])
+                break
+            at = close + 1
+        self.failed.update(opened)
+        return -1
+
+
 def _set_aside(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element's tag, role, class, id or style says that it is not part of the text."""
     if tag in DROPPED or tag in DROPPED_OUTSIDE and not inside:
         return True
     if not attributes.strip() or tag in ("html", "body"):
         return False
-    for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
-        if hidden or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "role" and value.lower() in DROPPED_ROLES:
             return True

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -265,6 +266,25 @@ def test_page_parts_are_set_aside():
     assert page_text.main_text(page) == "Title & more\nFirst é para goes on.\nShort.\nSee a link."
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("n", [10, 900, 1100, 200_000])
+def test_attribute_values_of_any_length(quote, n):
+    value = "<b>x</b> > hidden class=nav " * (n // 28) + "<i>" * 3
+    page = f"<div data-x={quote}{value}{quote}><p>Real text</p></div><div data-v2={quote}{value}{quote} class=menu>Menu</div><p data-x={quote}{value}{quote} hidden=''>Gone</p>"
+    assert page_text.main_text(f"<article>{page}</article>") == "Real text"
+    assert page_text.main_text("<article><p title=it's>It's 3 > 2, a < b and i <b</p><p title=\"open>End</p></article>") == "It's 3 > 2, a < b and i <b\nEnd"
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a="', "<a='", '<a" "', '<a" ="', """<a ="'<b ='" """, "<a ", "<a = ", 'a="<b> '])
+def test_long_pages_take_linear_time(unit):
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        page_text.blocks_of("<p " + unit * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_pages_without_an_article():
     long = "It is the first of the long texts that they have in the house, and he was on it for a day with an old man. " * 3
     page = f"<body><div>Home</div><div><a href=a>one</a> <a href=b>two links here</a></div><p>{long}</p><p>Short one.</p><p>{long}</p><div>© x</div></body>"
