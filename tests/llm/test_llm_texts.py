@@ -5,9 +5,11 @@ import html
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -266,6 +268,35 @@ def test_page_parts_are_set_aside():
     assert page_text.main_text(page) == "Title & more\nFirst é para goes on.\nShort.\nSee a link."
 
 
+def test_stop_words_find_the_articles_without_their_element():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    sizes, exact = {}, 0
+    for page in pages:
+        assert page.count("<article>") == 1
+        want = page_text.main_text(page).split("\n")
+        got = page_text.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")).split("\n")
+        exact += got == want
+        size = sizes.setdefault(re.search('lang="(..)"', page)[1], np.zeros(2))
+        kept = Counter(filter(None, got))
+        for line in want:
+            size += len(line), len(line) * (kept[line] > 0)
+            kept[line] -= 1
+        assert not +kept  # nothing that is not in the article
+    assert set(sizes) == {"en", "de", "fr", "es"} and exact >= 0.85 * len(pages)
+    assert all(kept > 0.94 * size for size, kept in sizes.values()), sizes
+
+
+def test_blocks_in_and_out_of_articles():
+    text = "It is the first of the long texts that they have in the house, and he was on it for a day with an old man. " * 3
+    terms = "Zirconium Basalt Feldspar Quartz Granite Obsidian Dolomite Gneiss Marble Olivine Pumice Rhyolite Slate Tuff " * 3
+    cited = f"<p>{terms} <a href=x>{terms}</a></p>"
+    assert page_text.main_text(f"<article><p>{text}</p></article><div>{text}</div><div>{terms}</div><div>Home</div>") == f"{text}\n{text}".replace(" \n", "\n").strip()
+    assert page_text.main_text(f"<article><p>{terms}</p></article>") == terms.strip()
+    assert page_text.main_text(f"<div>{terms}</div>") == ""
+    assert page_text.main_text(f"<article><p>{text}</p>{cited}</article>") == text.strip()
+    assert page_text.main_text(f"<article><p>{text} <a href=x>{text}</a></p></article>") == f"{text}{text}".strip()
+
+
 @pytest.mark.parametrize("quote", ['"', "'"])
 @pytest.mark.parametrize("n", [10, 900, 1100, 200_000])
 def test_attribute_values_of_any_length(quote, n):
