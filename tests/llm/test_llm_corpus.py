@@ -188,6 +188,17 @@ def test_quality_weights_equal_plain(spark):
     assert weights[pair] < 0 < weights[good]
 
 
+@pytest.mark.parametrize("broadcast_ids", [10, 0])
+def test_quality_counts_all_trusted_texts(spark, broadcast_ids, monkeypatch):
+    rows = [(i, f"word{i} good text", 1) for i in range(9)] + [(20 + i, f"noise{i} bad", 0) for i in range(9)] + [(None, "null id", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = docs.select("doc_id", "quality")
+    fit, seen = quality.fit_weights, []
+    monkeypatch.setattr(quality, "fit_weights", lambda d, trusted: seen.append(fit(d, trusted, broadcast_ids)) or seen[-1])
+    quality.judge_quality(docs, labels, sample=2)
+    assert seen == [fit(docs, labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id"))]
+
+
 def test_quality_tells_labelled_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     judged = quality.judge_quality(docs, labels).join(labels, "doc_id").where(~F.col("base_failed"))
