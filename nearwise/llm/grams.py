@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
 
 from nearwise.llm import words as w
 
@@ -17,6 +18,11 @@ LETTERS = np.array([97 <= i <= 122 or i >= 128 for i in range(256)])
 PREFIXES = (4, 5, 6)
 
 
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and one ``text`` of each: of a key's rows the text of lowest hash. Tasks send on one row of a key at most."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 class Grams:
     """32-bit hashes of each word and of its beginnings, one row for each kind, one column for each word."""
 

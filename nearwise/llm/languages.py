@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nearwise.llm import words as w
-from nearwise.llm.grams import LETTERS
+from nearwise.llm.grams import LETTERS, one_text_each
 
 #: Families of closely related languages, by code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -60,15 +60,15 @@ def held_out(doc_id: Column) -> Column:
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on at most ``sample`` documents of each language among those not held out, whose ``lang`` is not null.
 
-    Only ``text`` and ``lang`` are learned from. What leaves the tasks is the hashed features of the sample.
+    Only ``text`` and ``lang`` are learned from, and of rows of the same id and ``lang`` one. What leaves the tasks is the hashed features of the sample.
     """
     named = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = named.select("doc_id", "lang", place.alias("place")).where(F.col("place") <= sample)
-    ids = ids.select(F.col("doc_id").alias("sampled"), "lang").distinct()
+    ids = named.select("doc_id", "lang").distinct().select("doc_id", "lang", place.alias("place")).where(F.col("place") <= sample)
+    ids = ids.select(F.col("doc_id").alias("sampled"), "lang")
     rows = docs.select("doc_id", "text", "lang").withColumnRenamed("lang", "own")
     rows = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("sampled")) & (F.col("own") == F.col("lang")))
-    found = rows.select("lang", "text").mapInArrow(_sampler, "lang string, buckets binary, counts binary").toArrow()
+    found = one_text_each(rows, "sampled", "lang").select("lang", "text").mapInArrow(_sampler, "lang string, buckets binary, counts binary").toArrow()
     langs = np.array(found["lang"].to_pylist(), object)
     x = np.zeros((len(langs), 2 * BUCKETS), np.float32)
     for row, (buckets, counts) in enumerate(zip(found["buckets"], found["counts"])):

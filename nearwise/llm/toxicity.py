@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from nearwise.llm import words as w
-from nearwise.llm.grams import Grams
+from nearwise.llm.grams import Grams, one_text_each
 
 #: Labelled documents of each class that the model is fitted on, those of lowest hash.
 SAMPLE = 3000
@@ -41,7 +41,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     """Fit on at most ``sample`` toxic and ``sample`` other labelled documents; only their hashed words leave the tasks.
 
     Labels that are null or name no document are left out, and so is an id labelled both ways. Without toxic or without
-    other documents the model finds nothing toxic.
+    other documents the model finds nothing toxic. Of a repeated id one row is learned from.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.min("toxic").alias("low"), F.max("toxic").alias("high")
@@ -52,7 +52,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
         for toxic in (0, 1)
     ]
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), F.col("doc_id") == F.col("labelled"))
-    found = chosen.select("toxic", "text").mapInArrow(_sampler(), "toxic int, grams binary, codes binary").toArrow()
+    found = one_text_each(chosen, "labelled", "toxic").select("toxic", "text").mapInArrow(_sampler(), "toxic int, grams binary, codes binary").toArrow()
     toxic = found["toxic"].to_numpy() == 1
     if toxic.all() or not toxic.any():
         return ToxicityModel(np.zeros(0, np.uint32), np.zeros(1), np.full(GRADES - 1, np.inf))

@@ -199,6 +199,23 @@ def test_quality_counts_all_trusted_texts(spark, broadcast_ids, monkeypatch):
     assert seen == [fit(docs, labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id"))]
 
 
+def test_samples_bound_rows(spark, monkeypatch):
+    """What reaches the driver is one row of each sampled id, however often it is repeated."""
+    rows = [(i, f"text {i} of the house", "en", i % 2) for i in range(1, 40)] + [(3, f"copy {i} with other words", "en", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    sizes = []
+    frame = type(docs)
+    for name in ("toArrow", "collect"):
+        monkeypatch.setattr(frame, name, lambda df, real=getattr(frame, name): [sizes.append((df.columns[0], len(x := real(df)))), x][1])
+    labels = docs.select("doc_id", "toxic", F.col("toxic").alias("quality")).distinct()
+    toxicity.fit_toxicity(docs, labels)
+    languages.fit_languages(docs, sample=5)
+    quality.fit_threshold(docs, labels, [0.0] * quality.BUCKETS)
+    assert [n for name, n in sizes if name == "toxic"] == [39]
+    assert [n for name, n in sizes if name == "lang"] == [5]
+    assert [n for name, n in sizes if name == "good"] == [39]
+
+
 def test_quality_tells_labelled_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     judged = quality.judge_quality(docs, labels).join(labels, "doc_id").where(~F.col("base_failed"))
