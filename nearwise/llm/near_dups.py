@@ -63,7 +63,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     (A-Z lower-cased; words end at ASCII white space). ``component_id`` is the smallest ``doc_id`` of a row that can be
     reached over links, and ``kept`` says whether that is the row's own. A row without words, or with a null id, is linked
     with nothing; with a null id it has a null component and is kept. Rows that repeat an id are vertices of their own.
-    Other columns are not read. An empty table gives an empty one.
+    Other columns are not read. An empty table gives an empty one. A ``percent`` below ``PERCENT`` is an error.
 
     Rows of equal sets are one node from the start, so a group of copies costs one row of each. Nodes that share a band
     are first compared with the smallest node of that bucket, never all with all. What is left is only compared further
@@ -72,6 +72,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     component or no open node, so every pair that shares a bucket is either compared or already known to be connected,
     whatever the size of the bucket.
     """
+    if percent < PERCENT:
+        raise ValueError(f"bands and signatures are made for {PERCENT} percent or more: at {percent} links would be lost")
     rows = materialize(sketch(docs, size), "sketch")
     sets = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = sets.groupBy("set1", "set2").agg(

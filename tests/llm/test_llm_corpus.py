@@ -93,6 +93,12 @@ def test_buckets_with_many_groups(docs, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == near_plain(rows, 1)
 
 
+@pytest.mark.parametrize("find", [near_dups.near_duplicates, near_dups.deduplicate])
+def test_similarities_that_lose_links_are_an_error(docs, find):
+    with pytest.raises(ValueError, match="50"):
+        find(docs, percent=50)
+
+
 def test_deduplicate_keeps_one_of_each_group(docs):
     kept = near_dups.deduplicate(docs).collect()
     want = {int(i) for i, _, c, k in near_plain(corpus(), 5) if k and i != "None"}
