@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearwise.llm import token_files
+from nearwise.llm import manifest, token_files
 from nearwise.llm.decontaminate import find_contamination
 from nearwise.llm.languages import fit_languages, held_out, identify_languages
 from nearwise.llm.near_dups import near_duplicates
@@ -12,11 +12,23 @@ from nearwise.llm.oracles import ORACLES
 from nearwise.llm.page_text import extract_main_text
 from nearwise.llm.passages import repeated_passages
 from nearwise.llm.pieces import piece_digests
+from nearwise.llm.prefix_trie import conversation_trie, number_turns, share_openings
 from nearwise.llm.quality import judge_quality
 from nearwise.llm.secret_scan import find_secrets
 from nearwise.llm.toxicity import fit_toxicity, grade_toxicity
+from nearwise.llm.url_filter import Rule, canonical_url, host_of, judge_urls
 from nearwise.session import fresh_path
 
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+#: A host that has one of these words between its dots and hyphens is unwanted; its pages make up the list of URLs.
+UNWANTED_HOSTS = r"(^|[.-])(adult|casino|pills|spam)([.-]|$)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, scanned where it lies."""
@@ -83,6 +95,33 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every document, and whether a text without its line breaks still proves."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.replace("text", F.lit("\n"), F.lit(""))
+    cut = manifest.row_digest(*(text if name == "text" else F.col(name) for name in manifest.FIELDS))
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(even & F.contains("text", F.lit("\n")), cut)  # any other leaf stays as it is
+    made = manifest.build_manifest(docs, carry=F.struct("doc_id", tampered.alias("tampered")))
+    folded = manifest.fold(F.coalesce("carried.tampered", "leaf"), F.col("siblings"))
+    return manifest.prove(made).select(
+        "carried.doc_id", "leaf", "subroot", F.lit(made.root).cast("string").alias("root"),
+        manifest.siblings_digest(F.col("siblings")).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every beginning that conversations rebuilt on shared openings have, and what sharing it saves."""
+    return conversation_trie(*share_openings(number_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; listed are the canonical URLs of pages on unwanted hosts."""
+    pages = table(spark, sf_dir, "pages")
+    unwanted = F.regexp_like(host_of(F.col("url")), F.lit(UNWANTED_HOSTS))
+    return judge_urls(pages, pages.where(unwanted).select(canonical_url(F.col("url")).alias("canonical")), URL_RULES)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -94,6 +133,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_languages": op10_languages,
+    "op11_manifest": op11_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_url_filter": op13_url_filter,
 }
-
-
