@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import ahocorasick
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from nearwise.functions.text import clean_query_text
-from nearwise.session import materialize
+from nearwise.operators.needles import Needles, first_contained, index_needles
+from nearwise.session import fresh_path, materialize
 
 # The label that means "no facet", the class of facets every filter lets through, and the
 # names looked for in query texts, in order of priority.
@@ -27,7 +27,7 @@ STATES = (
 
 MAX_INLINE_VALUES = 512  # dictionary values tested by one expression
 MAX_INLINE_LETTERS = 1 << 16
-BLOCK_BYTES = 1 << 20  # dictionary texts searched for in one pass; their automaton takes some hundred times as much
+BLOCK_BYTES = 32 << 20  # needles with their index that a task may hold
 
 
 def facet_equals(facet: Column, value: Column) -> Column:
@@ -84,9 +84,9 @@ def detect_facet(
 
     The test ignores case and, unless ``word_boundary`` is set, also finds values inside longer words.
     ``dictionary`` is a list, or a table of ``(pos, value)``; of values that read alike the lowest position counts. A
-    dictionary of checked small size becomes one expression. A larger one is broadcast in blocks of measured size, each
-    searched for in one pass over the texts. Either way every row is answered for itself, where it lies, so keys may be
-    null or repeat (``key`` is not read).
+    dictionary of checked small size becomes one expression. A larger one is broadcast as an index of hashes; beyond
+    ``BLOCK_BYTES`` in blocks, one after the other, so memory does not grow with it. Every row is answered for itself, so
+    keys may be null or repeat (``key`` is not read).
     """
     spark = texts.sparkSession
     if not isinstance(dictionary, DataFrame):
@@ -122,51 +122,47 @@ def _needle(value: Column, word_boundary: bool) -> Column:
 
 
 def _detect_in_blocks(texts: DataFrame, dictionary: DataFrame, text: str, word_boundary: bool) -> DataFrame:
-    """One pass over the texts for each block of the dictionary; what a row has found so far goes with it."""
+    """Search for a dictionary of any size: in place while its needles fit, else for one block of them after the other.
+
+    Only the text goes through Python. With several blocks the rows are stored under numbers of their own, each block
+    scans them and writes what it finds, and the first value found of each row is joined back.
+    """
     needles = dictionary.groupBy(_needle(F.col("value"), word_boundary).alias("needle")).agg(
         F.min(F.struct("pos", "value")).alias("first")
     )
     needles = materialize(needles.select("needle", "first.pos", "first.value"), "facet-needles")
-    size = needles.agg(F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("value")), F.lit(0))).first()[0]
+    size = needles.agg(F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("value") + 64), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // BLOCK_BYTES))
-    names = [f"c{i}" for i in range(len(texts.columns))]
-    rows = texts.toDF(*names).withColumns({
-        "hay": _haystack(F.col(names[texts.columns.index(text)]), word_boundary),
-        "pos": F.lit(None).cast(needles.schema["pos"].dataType),
-        "value": F.lit(None).cast("string"),
-    })
+    hay = _haystack(F.col(text), word_boundary)
+    if n_blocks == 1:
+        return texts.withColumn("detected_facet", _finder(needles)(hay)["value"])
+    row = "row number"
+    stored = materialize(texts.withColumn(row, F.monotonically_increasing_id()), "facet-texts")
+    hits = fresh_path(texts.sparkSession, "facet-hits")
     for block in range(n_blocks):
-        part = needles.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == block).orderBy("pos").collect()
-        shared = texts.sparkSession.sparkContext.broadcast([tuple(row) for row in part])
-        rows = rows.mapInArrow(_searcher(shared), rows.schema)
-    return rows.select(*names, "value").toDF(*texts.columns, "detected_facet")
-
-
-def _searcher(shared):
-    """Replace ``pos`` and ``value`` where a text contains a needle of the block with a lower position."""
-
-    def search(batches):
-        needles = shared.value
-        automaton = ahocorasick.Automaton()
-        for rank, (needle, _, _) in enumerate(needles):
-            if needle:
-                automaton.add_word(needle, rank)
-        automaton.make_automaton()
-        empty = next((rank for rank, (needle, _, _) in enumerate(needles) if not needle), len(needles))
-        for batch in batches:
-            pos, value = batch.column("pos").to_pylist(), batch.column("value").to_pylist()
-            for row, hay in enumerate(batch.column("hay").to_pylist()):
-                if hay is None:
-                    continue
-                hits = (rank for _, rank in automaton.iter(hay)) if len(automaton) else ()
-                rank = min(hits, default=len(needles))
-                rank = min(rank, empty)
-                if rank < len(needles) and (pos[row] is None or needles[rank][1] < pos[row]):
-                    pos[row], value[row] = needles[rank][1:]
-            columns = [*batch.columns[:-2], pa.array(pos, batch.schema.field("pos").type), pa.array(value, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return search
+        find = _finder(needles.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == block))
+        found = stored.select(row, find(hay).alias("found"))
+        found.where(F.col("found").isNotNull()).select(row, "found.*").write.parquet(f"{hits}/block={block}")
+    found = texts.sparkSession.read.parquet(f"{hits}/*").groupBy(row).agg(F.min(F.struct("pos", "value")).alias("found"))
+    joined = stored.join(found, row, "left")
+    return joined.select(*(F.col(f"`{name}`") for name in texts.columns), F.col("found.value").alias("detected_facet"))
+
+
+def _finder(needles: DataFrame):
+    """A function of a text: position and value of the first needle that it contains, or null."""
+    table = needles.orderBy("pos", "needle").toArrow().combine_chunks()
+    texts, first, value = (pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type) for column in table.columns)
+    shared = needles.sparkSession.sparkContext.broadcast((tuple(index_needles(texts)), first, value))
+    kind = T.StructType().add("pos", needles.schema["pos"].dataType).add("value", "string")
+
+    @F.arrow_udf(kind)
+    def find(hays: pa.Array) -> pa.Array:
+        index, first, value = shared.value
+        rank = first_contained(hays, Needles(*index))
+        at = pa.array(rank, mask=rank == len(first))
+        return pa.StructArray.from_arrays([first.take(at), value.take(at)], ["pos", "value"], mask=at.is_null())
+
+    return find
 
 
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])

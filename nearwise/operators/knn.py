@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -12,12 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from nearwise.operators import scan_kernel
 from nearwise.operators.topk import top_k
+from nearwise.session import fresh_path, materialize
 
 cloudpickle.register_pickle_by_value(scan_kernel)
 
 METRICS = ("l2", "cosine")
 MAX_QUERY_BYTES = 64 << 20  # queries and result lists one task may hold
-CELL_BYTES = 256 << 20  # corpus vectors one grid cell may hold, in double precision
 TASKS_PER_PART = 256  # scan tasks whose lists are merged together in the first merge
 
 
@@ -43,8 +44,6 @@ def knn_join(
     digits: int | None = None,
     strategy: str = "auto",
     max_query_bytes: int = MAX_QUERY_BYTES,
-    cell_bytes: int = CELL_BYTES,
-    corpus_rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows for every query under each metric.
 
@@ -53,16 +52,17 @@ def knn_join(
     score is the squared distance for ``l2`` (lower is nearer) and the similarity for ``cosine`` (higher is
     nearer), unrounded; ranks follow it, then ``doc_id``, so they do not depend on partitioning. With ``digits``
     scores are rounded to so many decimals before they are ranked, which makes ranks comparable with those of an
-    engine that adds up in another order; vectors of small length then tie. Null vectors, and such with an element that is not finite, match nothing; another width is an error; zero vectors match nothing under ``cosine``.
+    engine that adds up in another order; vectors of small length then tie. Null vectors, such with an element that is not
+    finite, and rows without an id match nothing; another width is an error; zero vectors match nothing under ``cosine``.
     Fewer than ``k`` rows come back only when the corpus has fewer.
 
-    With ``prefilter`` rows are ranked separately by whether they pass the facet test, and the boolean
-    column ``matched`` tells the two lists apart.
+    With ``prefilter`` only rows that pass the facet test are ranked, each against the queries that ask for its facet.
 
-    Strategies: ``broadcast`` ships the queries to every task and leaves the corpus where it is stored;
-    ``grid`` shuffles blocks of queries against blocks of corpus rows. ``auto`` broadcasts when queries and
-    their result lists are proven to fit in ``max_query_bytes``, and uses the grid beyond that. The grid
-    sizes its blocks by ``corpus_rows``, which is counted when not given.
+    Queries are written to the shared folder and measured there. ``broadcast`` ships them to every task and leaves the
+    corpus where it is stored. ``grid`` does so with one block of queries after the other, each as large as a task can
+    hold, and writes what each block finds to the shared folder. The corpus never moves: what travels is queries times
+    executors, and lists of ``k`` rows. A corpus that is more than a scan is stored first, because every block reads it.
+    ``auto`` broadcasts when queries and their lists are proven to fit in ``max_query_bytes``, and uses the grid beyond.
     """
     unknown = set(metrics) - set(METRICS)
     if unknown:
@@ -77,38 +77,27 @@ def knn_join(
     ] if prefilter else []
     wanted = queries.select(
         F.col("query_id").cast("long"), F.col(query_vector).alias("v"), *query_carry, *query_facet
-    )
+    ).where(F.col("query_id").isNotNull())
     rows = corpus.select(
         F.col("doc_id").cast("long"), F.col(corpus_vector).alias("v"), *corpus_carry, *corpus_facet
-    )
-
-    lists = len(metrics) * (2 if prefilter else 1)
-    wanted = wanted.persist()
-    try:
-        n_queries, dim = wanted.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-        row_bytes = 8 * dim + lists * k * (32 + 32 * len(corpus_carry))
-        fits = n_queries * row_bytes <= max_query_bytes
-        if strategy == "broadcast" and not fits:
-            raise ValueError(f"{n_queries} queries exceed the broadcast limit of {max_query_bytes} bytes")
-        table = wanted.toArrow() if fits and strategy != "grid" else None
-    finally:
-        wanted.unpersist()
-
-    if table is not None:
-        found = _broadcast_scan(rows, table, task, query_carry)
+    ).where(F.col("doc_id").isNotNull())
+    wanted = materialize(wanted, "knn-queries")
+    n_queries, dim = wanted.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    row_bytes = 8 * dim + len(metrics) * k * (32 + 32 * len(corpus_carry))
+    n_blocks = max(1, math.ceil(n_queries * row_bytes / max_query_bytes))
+    if strategy == "broadcast" and n_blocks > 1:
+        raise ValueError(f"{n_queries} queries exceed the broadcast limit of {max_query_bytes} bytes")
+    if not n_queries:
+        found = queries.sparkSession.createDataFrame([], _schema(task, query_carry))
+    elif n_blocks == 1 and strategy != "grid":
+        found = _scan(rows, wanted.toArrow(), task, query_carry)
     else:
-        per_block = max(1, max_query_bytes // max(1, row_bytes))
-        n_query_blocks = max(1, math.ceil(n_queries / per_block))
-        corpus_rows = rows.count() if corpus_rows is None else corpus_rows
-        n_corpus_blocks = max(1, math.ceil(corpus_rows * max(1, dim) * 8 / cell_bytes))
-        found = _grid_scan(rows, wanted, task, query_carry, n_query_blocks, n_corpus_blocks)
-
-    keys = ["query_id", "metric", *(["matched"] if prefilter else [])]
-    best = top_k(found, keys, nearest_first(), k, part="part")
+        found = _scan_in_blocks(rows, wanted, task, query_carry, n_blocks)
+
+    best = top_k(found, ["query_id", "metric"], nearest_first(), k, part="part")
     named = [F.col(f"q{i}").alias(name) for i, name in enumerate(query_carry)]
     named += [F.col(f"c{i}").alias(name) for i, name in enumerate(corpus_carry)]
-    flag = ["matched"] if prefilter else []
-    return best.select("query_id", "metric", "rank", "doc_id", "score", *named, *flag)
+    return best.select("query_id", "metric", "rank", "doc_id", "score", *named)
 
 
 def nearest_first() -> list[Column]:
@@ -126,7 +115,7 @@ def single_query(vector: Sequence[float], corpus: DataFrame, k: int, digits: int
 def _schema(task: scan_kernel.Task, query_carry: Sequence[str]) -> str:
     carried = [f"q{i} string" for i in range(len(query_carry))]
     carried += [f"c{i} string" for i in range(task.n_corpus_carry)]
-    fields = ["query_id long", "metric string", "doc_id long", "score double", "matched boolean"]
+    fields = ["query_id long", "metric string", "doc_id long", "score double"]
     return ", ".join([*fields, *carried, "part int"])
 
 
@@ -137,8 +126,8 @@ def _with_part(batch: pa.RecordBatch, part: int) -> pa.RecordBatch:
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
 
 
-def _broadcast_scan(rows, table, task, query_carry) -> DataFrame:
-    """Scan corpus partitions in place against a broadcast query matrix."""
+def _scan(rows: DataFrame, table: pa.Table, task: scan_kernel.Task, query_carry: Sequence[str]) -> DataFrame:
+    """Scan corpus partitions where they lie against a broadcast block of queries."""
     block = scan_kernel.query_block(table, len(query_carry), task.prefilter)
     shared = rows.sparkSession.sparkContext.broadcast(tuple(block))  # plain arrays need no module to unpickle
 
@@ -150,33 +139,34 @@ def _broadcast_scan(rows, table, task, query_carry) -> DataFrame:
     return rows.mapInArrow(scan_partition, _schema(task, query_carry))
 
 
-def _grid_scan(rows, wanted, task, query_carry, n_query_blocks: int, n_corpus_blocks: int) -> DataFrame:
-    """Pair every block of queries with every block of corpus rows.
+def _scan_in_blocks(
+    rows: DataFrame, wanted: DataFrame, task: scan_kernel.Task, query_carry: Sequence[str], n_blocks: int
+) -> DataFrame:
+    """The lists of all blocks of queries, one block after the other; only one is in the driver and in tasks at a time.
 
-    Ids are hashed to blocks, so blocks are even whatever the data looks like, and each cell holds a
-    bounded number of rows. Only the cell's best rows leave it.
+    Queries are dealt to blocks by a hash of their place in the stored table, so blocks are even also when ids repeat.
     """
-    columns = [name for name in rows.columns]
-    query_columns = [name for name in wanted.columns]
-    left = rows.withColumn("cell_c", F.pmod(F.xxhash64("doc_id"), F.lit(n_corpus_blocks)).cast("int"))
-    left = left.withColumn("cell_q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    right = wanted.withColumn("cell_q", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int"))
-    right = right.withColumn("cell_c", F.explode(F.sequence(F.lit(0), F.lit(n_corpus_blocks - 1))))
-    schema = _schema(task, query_carry)
-    empty = pa.table({
-        name: pa.array([], {"long": pa.int64(), "string": pa.string(), "double": pa.float64(),
-                            "boolean": pa.bool_(), "int": pa.int32()}[kind])
-        for name, kind in (field.split(" ") for field in schema.split(", "))
-    })
-
-    def scan_cell(corpus_cell: pa.Table, query_cell: pa.Table) -> pa.Table:
-        if not corpus_cell.num_rows or not query_cell.num_rows:
-            return empty
-        block = scan_kernel.query_block(query_cell.select(query_columns), len(query_carry), task.prefilter)
-        part = corpus_cell.column("cell_c")[0].as_py() // TASKS_PER_PART
-        batches = corpus_cell.select(columns).to_batches(max_chunksize=10_000)
-        found = [_with_part(batch, part) for batch in scan_kernel.scan(iter(batches), block, task)]
-        return pa.Table.from_batches(found) if found else empty
-
-    cells = left.groupBy("cell_q", "cell_c").cogroup(right.groupBy("cell_q", "cell_c"))
-    return cells.applyInArrow(scan_cell, schema)
+    spark = rows.sparkSession
+    if not _is_scan(rows):
+        rows = materialize(rows, "knn-corpus")
+    blocks, lists = fresh_path(spark, "knn-blocks"), fresh_path(spark, "knn-lists")
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
+    wanted.withColumn("block", number).write.partitionBy("block").parquet(blocks)
+    stored = spark.read.schema(f"{_ddl(wanted)}, block int").parquet(blocks)
+    for block in range(n_blocks):
+        table = stored.where(F.col("block") == block).drop("block").toArrow()
+        if table.num_rows:
+            _scan(rows, table, task, query_carry).write.parquet(f"{lists}/block={block}")
+    return spark.read.schema(_schema(task, query_carry)).parquet(f"{lists}/*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a table is read from files with nothing but projections and filters on the way."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return bool(re.search(r"FileScan|BatchScan", plan)) and not re.search(
+        r"Exchange|Join|Aggregate|Generate|Window|Sort|InArrow|InPandas|Python|Union|ExistingRDD", plan
+    )

@@ -96,73 +96,64 @@ class Best:
 
 
 def scan(batches: Iterator[pa.RecordBatch], queries: QueryBlock, task: Task) -> Iterator[pa.RecordBatch]:
-    """The best rows of all batches for every query, metric and (when prefiltering) match class.
+    """The best rows of all batches for every query and metric.
 
-    Batch columns in order: id, vector, carried columns, then facet key and always-match flag.
+    Batch columns in order: id, vector, carried columns, then facet key and always-match flag. When prefiltering, the rows
+    of a facet are multiplied with the queries that ask for it only; a query without a facet meets all rows.
     """
-    classes = (True, False) if task.prefilter else (None,)
     n_queries, dim = queries.vectors.shape
     if not n_queries:
         return
-    chunks = [slice(at, min(at + QUERY_ROWS, n_queries)) for at in range(0, n_queries, QUERY_ROWS)]
+    codes, query_codes = _facet_codes(queries.facets) if task.prefilter else (None, np.full(n_queries, UNASKED))
+    chunks = []
+    for code in np.unique(query_codes):
+        asking = np.flatnonzero(query_codes == code)
+        chunks += [(code, asking[at : at + QUERY_ROWS]) for at in range(0, len(asking), QUERY_ROWS)]
     best = {
-        (at, metric, matched): Best(chunk.stop - chunk.start, task.k, task.n_corpus_carry)
-        for at, chunk in enumerate(chunks)
+        (at, metric): Best(len(chunk), task.k, task.n_corpus_carry)
+        for at, (_, chunk) in enumerate(chunks)
         for metric in task.metrics
-        for matched in classes
     }
     q_norm2 = np.einsum("ij,ij->i", queries.vectors, queries.vectors)
-    codes, query_codes = _facet_codes(queries.facets) if task.prefilter else (None, None)
     for batch in batches:
         rows, x = matrix_of(batch.column(1), dim)
         if not len(rows):
             continue
         carried = batch.take(pa.array(rows))
-        docs = carried.column(0).to_numpy()
-        extra = [
-            carried.column(2 + i).to_numpy(zero_copy_only=False) for i in range(task.n_corpus_carry)
-        ]
         x_norm2 = np.einsum("ij,ij->i", x, x, dtype=np.float64)
         finite = np.isfinite(x_norm2)
         if not finite.all():
-            docs, x, x_norm2 = docs[finite], x[finite], x_norm2[finite]
-            extra = [values[finite] for values in extra]
-            carried = carried.filter(pa.array(finite))
-        facet_at = 2 + task.n_corpus_carry
+            x, x_norm2, carried = x[finite], x_norm2[finite], carried.filter(pa.array(finite))
+        docs, facet_at = carried.column(0).to_numpy(), 2 + task.n_corpus_carry
         kept = _without_surplus_copies(x, docs, x_norm2, carried, facet_at if task.prefilter else None, task.k)
         if kept is not None:
-            docs, x, x_norm2 = docs[kept], x[kept], x_norm2[kept]
-            extra = [values[kept] for values in extra]
-            carried = carried.take(pa.array(kept))
+            docs, x, x_norm2, carried = docs[kept], x[kept], x_norm2[kept], carried.take(pa.array(kept))
+        extra = [carried.column(2 + i).to_numpy(zero_copy_only=False) for i in range(task.n_corpus_carry)]
+        precision = _screen_precision(x_norm2, q_norm2)
         if task.prefilter:
             row_codes, always = _row_facets(codes, carried, facet_at)
-        precision = _screen_precision(x_norm2, q_norm2)
-        x_screen = x.astype(precision, copy=False)
-        for at, chunk in enumerate(chunks):
+            present = {*row_codes.tolist(), UNASKED}
+        last, x_screen = None, x.astype(precision, copy=False)
+        for at, (code, chunk) in enumerate(chunks):
+            if task.prefilter and code not in present and not always.any():
+                continue
+            if code != last:
+                passing = slice(None) if code == UNASKED else np.flatnonzero((row_codes == code) | always)
+                there, norm2, screen, last = x[passing], x_norm2[passing], x_screen[passing], code
+            if not len(there):
+                continue
             q = queries.vectors[chunk]
-            products = (q.astype(precision) @ x_screen.T).astype(precision, copy=False)
-            eligible = None
-            if task.prefilter:
-                asked = query_codes[chunk, None]
-                eligible = (asked == row_codes) | always | (asked == UNASKED)
+            products = (q.astype(precision) @ screen.T).astype(precision, copy=False)
             for metric in task.metrics:
-                low, slack = _screen(metric, products, x_norm2, q_norm2[chunk], dim, precision)
-                for matched in classes:
-                    if matched is None:
-                        lower = low
-                    else:
-                        lower = np.where(eligible == matched, low, np.inf)
-                    target = best[at, metric, matched]
-                    picked_q, picked_x = _candidates(lower, slack, target.bound, task)
-                    if not len(picked_q):
-                        continue
-                    cost = _exact_cost(
-                        metric, q, x, q_norm2[chunk], x_norm2, picked_q, picked_x, task.digits
-                    )
-                    target.offer(picked_q, cost, docs[picked_x], [c[picked_x] for c in extra])
-    for (at, metric, matched), found in best.items():
+                low, slack = _screen(metric, products, norm2, q_norm2[chunk], dim, precision)
+                target = best[at, metric]
+                picked_q, picked_x = _candidates(low, slack, target.bound, task)
+                if len(picked_q):
+                    cost = _exact_cost(metric, q, there, q_norm2[chunk], norm2, picked_q, picked_x, task.digits)
+                    target.offer(picked_q, cost, docs[passing][picked_x], [c[passing][picked_x] for c in extra])
+    for (at, metric), found in best.items():
         if len(found.query):
-            yield _result(queries, chunks[at].start, metric, matched, found)
+            yield _result(queries, chunks[at][1], metric, found)
 
 
 def _without_surplus_copies(x, docs, x_norm2, batch, facet_column, k):
@@ -260,11 +251,11 @@ def _row_facets(codes, batch, column):
     coded = batch.column(column).dictionary_encode()
     numbers = np.array([codes.get(value, UNKNOWN) for value in coded.dictionary.to_pylist()] + [UNKNOWN])
     rows = numbers[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)]
-    return rows[None, :], batch.column(column + 1).to_numpy(zero_copy_only=False).astype(bool)[None, :]
+    return rows, batch.column(column + 1).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _result(queries, offset, metric, matched, found):
-    at = found.query + offset
+def _result(queries, chunk, metric, found):
+    at = chunk[found.query]
     cost = found.cost if metric == "l2" else 0.0 - found.cost
     n = len(at)
     columns = {
@@ -272,7 +263,6 @@ def _result(queries, offset, metric, matched, found):
         "metric": pa.array([metric] * n, pa.string()),
         "doc_id": pa.array(found.doc, pa.int64()),
         "score": pa.array(cost, pa.float64()),
-        "matched": pa.array([matched] * n, pa.bool_()),
     }
     for name, values in (("q", [c[at] for c in queries.carry]), ("c", found.carry)):
         for i, value in enumerate(values):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from nearwise.functions.tags import render_tags
 from nearwise.functions.text import CLEANERS, add_combined_text, four_decimals, title_case
+from nearwise.operators import bloom
 from nearwise.operators.embed import DIM, embed_tfidf, embed_with, fit_terms
 from nearwise.operators.facets import ALWAYS_CONTAINS, facet_always, facet_bucket, facet_match
 from nearwise.operators.knn import METRICS, Facets, knn_join, nearest_first
@@ -169,46 +170,80 @@ def search_compare(
     metrics: tuple[str, ...] = METRICS,
     digits: int | None = None,
 ) -> DataFrame:
-    """Facet-filtered retrieval under both metrics, from one scan of the vectors.
+    """Facet-filtered retrieval under both metrics.
 
     ``queries`` has ``query_id, embedding`` and ``facet_used`` (null for no filter); ``vectors`` has
-    ``doc_id, facet, embedding``. In ``postfilter`` mode the ``k * overfetch`` nearest rows are filtered and
-    cut to ``k``, so a matching row further away is not found; ``prefilter`` ranks matching rows only. A
+    ``doc_id, facet, embedding``. In ``postfilter`` mode one scan finds the ``k * overfetch`` nearest rows, which are
+    filtered and cut to ``k``, so a matching row further away is not found; ``prefilter`` ranks matching rows only. A
     query whose filter leaves nothing gets its unfiltered nearest rows. ``fallback_used`` is true in that
     case, false when the filter was applied and null when there was none.
+
+    ``prefilter`` takes two phases. The first reads the asked facets only, which of a table partitioned by facet
+    (:func:`write_vectors`) are the files of those facets. The second scans all rows for the queries that ask for no
+    facet or found nothing; without such queries it reads nothing.
     """
-    facet, used = F.col("facet"), F.col("facet_used")
-    if mode == "postfilter":
-        ranked = knn_join(
-            queries, vectors, k * overfetch, metrics=metrics, query_carry=["facet_used"], corpus_carry=["facet"],
-            digits=digits,
-        )
-        ranked = ranked.withColumn("matched", used.isNull() | facet_match(facet, used, always_contains))
-    elif mode == "prefilter":
-        test = Facets(query=used, corpus=facet, always=facet_always(facet, always_contains))
-        ranked = knn_join(
-            queries, vectors, k, metrics=metrics, query_carry=["facet_used"], corpus_carry=["facet"],
-            prefilter=test, digits=digits,
-        )
-    else:
+    if mode == "prefilter":
+        return _search_prefiltered(queries, vectors, k, always_contains, metrics, digits)
+    if mode != "postfilter":
         raise ValueError(f"unknown mode: {mode}")
+    facet, used = F.col("facet"), F.col("facet_used")
+    ranked = knn_join(
+        queries, vectors, k * overfetch, metrics=metrics, query_carry=["facet_used"], corpus_carry=["facet"], digits=digits
+    )
+    ranked = ranked.withColumn("matched", used.isNull() | facet_match(facet, used, always_contains))
     per_list = Window.partitionBy("query_id", "metric")
     judged = ranked.withColumn("any_match", F.max("matched").over(per_list))
     kept = judged.where(F.col("matched") | ~F.col("any_match"))
     cut = rank_within(kept.drop("rank"), ["query_id", "metric"], nearest_first()).where(F.col("rank") <= k)
-    return cut.select(
-        "query_id", "metric", "rank", "doc_id", "score", "facet", "facet_used",
-        F.when(used.isNotNull(), ~F.col("any_match")).alias("fallback_used"),
+    return cut.select(*FOUND, F.when(used.isNotNull(), ~F.col("any_match")).alias("fallback_used"))
+
+
+FOUND = ("query_id", "metric", "rank", "doc_id", "score", "facet", "facet_used")
+MAX_LISTED_FACETS = 1000  # facets named one by one in a filter
+
+
+def _search_prefiltered(
+    queries: DataFrame, vectors: DataFrame, k: int, always_contains: str | None, metrics: tuple[str, ...], digits: int | None
+) -> DataFrame:
+    carry = {"metrics": metrics, "query_carry": ["facet_used"], "corpus_carry": ["facet"], "digits": digits}
+    used = F.col("facet_used")
+    queries = materialize(queries.select("query_id", "embedding", "facet_used"), "prefilter-queries")
+    asking = queries.where(used.isNotNull())
+    always = facet_always(F.col("facet"), always_contains)
+    test = Facets(query=used, corpus=F.col("facet"), always=always)
+    first = knn_join(asking, of_facets(vectors, asking, always), k, prefilter=test, **carry)
+    first = materialize(first, "prefilter-hits")
+    lists = first.groupBy("query_id").agg(F.count_distinct("metric").alias("lists"))
+    served = lists.where(F.col("lists") == len(metrics)).select("query_id")
+    open_queries = queries.where(used.isNull()).union(asking.join(served, "query_id", "left_anti"))
+    second = knn_join(open_queries, vectors, k, **carry)
+    second = second.join(first.select("query_id", "metric").distinct(), ["query_id", "metric"], "left_anti")
+    return first.select(*FOUND, F.lit(False).alias("fallback_used")).union(
+        second.select(*FOUND, F.when(used.isNotNull(), F.lit(True)).alias("fallback_used"))
     )
 
 
+def of_facets(vectors: DataFrame, asking: DataFrame, always: Column) -> DataFrame:
+    """The vectors of facets that ``asking`` has in ``facet_used``, ignoring case, and those that pass every filter.
+
+    Up to ``MAX_LISTED_FACETS`` distinct facets are named in the filter, so that Spark picks the files of a partitioned
+    table when it plans; more of them are a table that the vectors are joined with.
+    """
+    facet = F.lower("facet")
+    asked = materialize(asking.select(F.lower("facet_used").alias("asked")).distinct(), "asked-facets")
+    if asked.count() <= MAX_LISTED_FACETS:
+        return vectors.where(facet.isin([row.asked for row in asked.collect()]) | always)
+    return vectors.where(always).union(vectors.where(~always).join(asked, facet == F.col("asked"), "left_semi"))
+
+
 def materialize_hits(hits: DataFrame, corpus: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Attach the display columns of each hit's row, joining on the key.
 
     The hits are written to the shared folder first, which keeps the search from being repeated and gives them a
-    measured size. Few are broadcast whole. Of more, the distinct ids are broadcast while they are proven few, so that only
-    the rows hit leave the scan of the corpus; beyond that Spark picks the join. ``max_hits`` is a proven bound on the
-    number of hits (queries x metrics x k) that makes the first step unnecessary where hits hold no long strings.
+    measured size. Few are broadcast whole. Of more, the ids make a Bloom filter that grows with them, and only records
+    that pass it leave the scan of the corpus, to be joined with the hits; Spark splits the partitions of a record that
+    very many queries hit. ``max_hits`` is a proven bound on the number of hits (queries x metrics x k) that makes the
+    first step unnecessary where hits hold no long strings.
     """
     shown = corpus.select("doc_id", *[c for c in DISPLAY_COLUMNS if c in corpus.columns and c not in hits.columns])
     strings = [name for name, kind in hits.dtypes if kind == "string"]
@@ -220,9 +255,8 @@ def materialize_hits(hits: DataFrame, corpus: DataFrame, max_hits: int | None =
     if size <= MAX_HITS_BROADCAST_BYTES:
         return shown.join(F.broadcast(hits), "doc_id")
     ids = materialize(hits.select("doc_id").distinct(), "hit-ids")
-    if ids.count() * HIT_BYTES <= MAX_HITS_BROADCAST_BYTES:
-        shown = shown.join(F.broadcast(ids), "doc_id", "left_semi")
-    return shown.join(hits, "doc_id")
+    passed = bloom.with_possible(shown, F.col("doc_id"), ids, ids.count()).where("possible").select("row.*")
+    return passed.join(hits, "doc_id")
 
 
 def order_for_display(

@@ -11,7 +11,7 @@ from nearwise.functions.romanize import romanize
 from nearwise.operators import compare, extract, facets, knn, profile
 from nearwise.operators.embed import embed_tfidf, embed_with, fit_terms
 from nearwise.plans import search
-from nearwise.session import fresh_path
+from nearwise.session import Resources, fresh_path
 from nearwise.sources import records as record_io, vector_table
 from nearwise.streaming.search_stream import search_stream
 
@@ -111,7 +111,8 @@ def vectors_stored(spark, sf_dir):
     path = fresh_path(spark, "vectors")
     everything = facet_vectors(spark, sf_dir)
     first = load(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("doc_id"))
-    vector_table.ensure_table(spark, path, lambda: vector_table.with_norm(everything.join(first, "doc_id")))
+    for _ in range(2):
+        vector_table.ensure_vectors(spark, path, lambda: everything.join(first, "doc_id"))
     vector_table.append_vectors(everything, path)
     vector_table.append_vectors(everything, path)
     stored = vector_table.load_vectors(spark, path)
@@ -129,6 +130,30 @@ def vectors_partitioned(spark, sf_dir):
     return stored.select("doc_id", "facet", F.size("embedding").alias("dim"), F.round("norm", 4).alias("norm"))
 
 
+def vectors_stored_keyless(spark, sf_dir):
+    """As ``vectors_stored``, with the keys of every tenth row missing: of rows without a key one is stored."""
+    path = fresh_path(spark, "vectors")
+    key = F.when(F.col("doc_id") % 10 != 3, F.col("doc_id"))
+    everything = facet_vectors(spark, sf_dir).withColumn("doc_id", key)
+    vector_table.write_vectors(everything.where("doc_id % 2 = 0"), path)
+    for _ in range(2):
+        vector_table.append_vectors(everything, path)
+    return vector_table.load_vectors(spark, path).select("doc_id", F.size("embedding").alias("dim"))
+
+
+def resource_shared(spark, sf_dir):
+    """Vectors with their facets, stored once for two readers and removed when both are done."""
+    out = fresh_path(spark, "resource-stats")
+    with Resources(spark) as resources:
+        for reader in range(2):
+            key, stored = resources.open(facet_vectors(spark, sf_dir), "facet-vectors")
+            by_facet = stored.groupBy("facet").agg(F.count("*").alias("n"), F.round(F.sum(vec.l2_norm("embedding")), 3).alias("length"))
+            by_facet.withColumn("builds", F.lit(resources.built)).write.parquet(f"{out}/reader={reader}")
+        for _ in range(2):
+            resources.close(key)
+    return spark.read.parquet(out).select("reader", "facet", "n", "length", "builds")
+
+
 def pages_extract_fields(spark, sf_dir):
     return extract.page_fields(load(spark, sf_dir, "pages"))
 
@@ -287,10 +312,10 @@ def knn_cosine(spark, sf_dir):
 
 
 def knn_l2_block(spark, sf_dir):
-    """As ``knn_l2``, with both sides cut into blocks that are shuffled against each other."""
+    """As ``knn_l2``, with the queries cut into blocks that are answered one after the other."""
     hits = knn.knn_join(
         query_vectors(spark, sf_dir), corpus_vectors(spark, sf_dir), K, metrics=["l2"], digits=DIGITS, strategy="grid",
-        max_query_bytes=1 << 20, cell_bytes=1 << 18,
+        max_query_bytes=1 << 20,
     )
     return hits.select("query_id", "rank", "doc_id", F.col("score").alias("d2"))
 
@@ -336,9 +361,26 @@ def search_fallback(spark, sf_dir):
     return search.search_compare(queries, facet_vectors(spark, sf_dir), k=K, overfetch=1, always_contains=None, digits=DIGITS)
 
 
+def partitioned_vectors(spark, sf_dir):
+    """The facet vectors, stored in double precision and partitioned by facet."""
+    path, rows = fresh_path(spark, "vectors-by-facet"), facet_vectors(spark, sf_dir)
+    rows.write.partitionBy("facet").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def search_prefilter(spark, sf_dir):
     return search.search_compare(
-        resolved_queries(spark, sf_dir), facet_vectors(spark, sf_dir), k=K, mode="prefilter", always_contains=None, digits=DIGITS
+        resolved_queries(spark, sf_dir), partitioned_vectors(spark, sf_dir), k=K, mode="prefilter", always_contains=None, digits=DIGITS
+    )
+
+
+def search_prefilter_fallback(spark, sf_dir):
+    """Prefiltered: a third of the queries asks for a facet no row has, a third for one by its name in capitals."""
+    n = F.col("query_id")
+    used = F.when(n % 3 == 0, F.lit("src99")).when(n % 3 == 1, F.concat(F.lit("SRC"), (n % 20).cast("string")))
+    queries = query_vectors(spark, sf_dir).withColumn("facet_used", used)
+    return search.search_compare(
+        queries, partitioned_vectors(spark, sf_dir), k=K, mode="prefilter", always_contains=ALWAYS, digits=DIGITS
     )
 
 
@@ -478,6 +520,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vectors_normalized": vectors_normalized,
     "vectors_stored": vectors_stored,
     "vectors_partitioned": vectors_partitioned,
+    "vectors_stored_keyless": vectors_stored_keyless,
+    "resource_shared": resource_shared,
     "vector_stats": vector_stats,
     "corpus_mapping": corpus_mapping,
     "corpus_preview": corpus_preview,
@@ -501,6 +545,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_filtered": search_filtered,
     "search_fallback": search_fallback,
     "search_prefilter": search_prefilter,
+    "search_prefilter_fallback": search_prefilter_fallback,
     "search_bucketed": search_bucketed,
     "search_order_reference": search_order_reference,
     "compare_metrics": compare_metrics,

@@ -212,6 +212,11 @@ ORACLES: dict[str, str] = {
     "vectors_stored": f"""WITH {C}, f AS (SELECT doc_id, v::FLOAT[]::DOUBLE[] AS v FROM c)
         SELECT f.doc_id, source AS facet, len(v)::INTEGER AS dim, round(sqrt(list_inner_product(v, v)), 4) AS norm
         FROM f LEFT JOIN documents USING (doc_id)""",
+    "vectors_stored_keyless": f"""WITH {C} SELECT doc_id, len(v)::INTEGER AS dim FROM c WHERE doc_id % 10 <> 3
+        UNION ALL SELECT NULL, max(len(v))::INTEGER FROM c WHERE doc_id % 10 = 3""",
+    "resource_shared": f"""WITH {C}, f AS (SELECT doc_id, v::FLOAT[]::DOUBLE[] AS v FROM c)
+        SELECT reader::INTEGER AS reader, source AS facet, count(*) AS n, round(sum(sqrt(list_inner_product(v, v))), 3) AS length, 1 AS builds
+        FROM f LEFT JOIN documents USING (doc_id), range(2) t(reader) GROUP BY ALL""",
     "vector_stats": f"""WITH {C}, m AS (SELECT len(v)::INTEGER AS dim, sqrt(list_inner_product(v, v)) AS norm FROM c)
         SELECT count(*) AS n_rows, count(dim) AS n_vectors, count(*) FILTER (norm = 0) AS n_zero, min(dim) AS min_dim,
         max(dim) AS max_dim, round(min(norm), 6) AS min_norm, round(max(norm), 6) AS max_norm FROM m""",
@@ -261,6 +266,9 @@ ORACLES: dict[str, str] = {
         """SELECT vec_id AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'src99' WHEN vec_id % 3 = 1 THEN 'src' || (vec_id % 20) END AS facet_used
            FROM embeddings""", "false", 10, 1) + FOUND,
     "search_prefilter": compared(RESOLVED_USED, "false", 10, None) + FOUND,
+    "search_prefilter_fallback": compared(
+        """SELECT vec_id AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'src99' WHEN vec_id % 3 = 1 THEN 'SRC' || (vec_id % 20) END AS facet_used
+           FROM embeddings""", ALWAYS_SRC1, 10, None) + FOUND,
     "search_bucketed": positioned("cost"),
     "search_order_reference": positioned("score DESC"),
     "compare_metrics": f"""{HITS},

@@ -7,6 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from nearwise import get_spark  # noqa: E402
+from nearwise.session import clear_working_tables, shared_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,4 +26,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_working_tables(session)
+    left = [name for _, _, names in os.walk(shared_dir(session)) for name in names]
     session.stop()
+    assert not left

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearwise.operators import knn
 from nearwise.operators.facets import facet_always
 from nearwise.operators.knn import Facets, knn_join, single_query
 
@@ -52,7 +53,7 @@ def test_matches_brute_force(spark, strategy, k):
     corpus[5] = 0
     found = knn_join(
         table(spark, "query_id", queries), table(spark, "doc_id", corpus), k, strategy=strategy,
-        max_query_bytes=1 << 24 if strategy == "broadcast" else 4000, cell_bytes=2000,
+        max_query_bytes=1 << 24 if strategy == "broadcast" else 4000,
     )
     expected = [hit for m in ("l2", "cosine") for hit in brute_force(queries, corpus, k, m)]
     assert ids(found) == sorted(expected)
@@ -140,7 +141,7 @@ def test_empty_sides(spark, empty_side, strategy):
 
 
 @pytest.mark.parametrize("strategy", ["auto", "grid"])
-def test_prefilter_ranks_both_classes(spark, strategy):
+def test_prefilter_ranks_what_passes(spark, strategy):
     queries, corpus = sample(12, 4, 21, False), sample(90, 4, 22)
     q = table(spark, "query_id", queries).withColumn(
         "wanted", F.when(F.col("query_id") % 3 > 0, F.concat(F.lit("S"), (F.col("query_id") % 5).cast("string")))
@@ -157,10 +158,27 @@ def test_prefilter_ranks_both_classes(spark, strategy):
         facet = {d: f"s{d % 6}" if d % 7 else None for d in range(90)}
         passes = {d: wanted is None or facet[d] == wanted or facet[d] == "s5" for d in range(90)}
         ranked = [h[3] for h in brute_force(queries[q_id : q_id + 1], corpus, 90, "l2")]
-        for matched in (True, False):
-            expected = [d for d in ranked if passes[d] == matched][:4]
-            rows = sorted((r["rank"], r.doc_id, r.facet) for r in found if r.query_id == q_id and r.matched == matched)
-            assert [(d, f) for _, d, f in rows] == [(d, facet[d]) for d in expected]
+        expected = [d for d in ranked if passes[d]][:4]
+        rows = sorted((r["rank"], r.doc_id, r.facet) for r in found if r.query_id == q_id)
+        assert [(d, f) for _, d, f in rows] == [(d, facet[d]) for d in expected]
+
+
+def test_grid_leaves_the_corpus_where_it_is(spark, tmp_path):
+    """Blocks of queries, also of one hot id and without ids; the stored corpus is scanned and never shuffled."""
+    queries, corpus = sample(60, 4, 51, False), sample(400, 4, 52)
+    table(spark, "doc_id", corpus, 6).write.parquet(str(tmp_path / "corpus"))
+    stored = spark.read.parquet(str(tmp_path / "corpus"))
+    assert knn._is_scan(stored.where("doc_id >= 0").withColumn("x", F.lit(1)))
+    assert not knn._is_scan(stored.distinct()) and not knn._is_scan(table(spark, "doc_id", corpus))
+    found = knn_join(table(spark, "query_id", queries), stored, 5, metrics=["l2"], strategy="grid", max_query_bytes=3000)
+    assert ids(found) == sorted(brute_force(queries, corpus, 5, "l2"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan and "Generate" not in plan
+    hot = table(spark, "query_id", [queries[0]] * 50).withColumn("query_id", F.when(F.col("query_id") % 2 == 0, 7).cast("long"))
+    unnamed = stored.withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    again = knn_join(hot, unnamed, 3, metrics=["l2"], strategy="grid", max_query_bytes=3000).collect()
+    nearest = next(d for *_, d in brute_force(queries[:1], corpus, 9, "l2") if d != 3)
+    assert {r.query_id for r in again} == {7} and {r.doc_id for r in again if r["rank"] == 1} == {nearest}
 
 
 def test_single_query(spark):
@@ -183,10 +201,9 @@ def test_copies_are_ranked_by_id(spark, prefilter):
     found = knn_join(q, c, 5, metrics=["l2"], prefilter=test).collect()
     for i in range(3):
         ranked = [h[3] for h in brute_force(queries[i : i + 1], corpus, 3000, "l2")]
-        for matched in ((True, False) if prefilter else (None,)):
-            expected = [d for d in ranked if matched is None or (d % 3 == 1) == matched][:5]
-            rows = sorted((r["rank"], r.doc_id) for r in found if r.query_id == i and (matched is None or r.matched == matched))
-            assert [d for _, d in rows] == expected
+        expected = [d for d in ranked if not prefilter or d % 3 == 1][:5]
+        rows = sorted((r["rank"], r.doc_id) for r in found if r.query_id == i)
+        assert [d for _, d in rows] == expected
 
 
 def test_scale_does_not_change_ranks(spark):
