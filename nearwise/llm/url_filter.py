@@ -6,18 +6,12 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from nearwise.operators import bloom
 from nearwise.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that name the way to a page, not the page.
 TRACKING = r"^(utm_.*|ref|fbclid|gclid)(=|$)"
-#: Bits of a filter's block, in words of 64; each key sets two bits in each word of one block.
-WORDS = 4
-BLOCK_BITS = 64 * WORDS
-BITS_PER_KEY = 16
-#: The largest filter that is broadcast; a row of it takes about ``ROW_BYTES``. A larger one is joined by shuffle.
-BROADCAST_BYTES = 64 << 20
-ROW_BYTES = 64
 #: Rules become one expression.
 MAX_RULES = 256
 
@@ -73,46 +67,19 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return chosen
 
 
-def _place(key: Column, n_blocks: int) -> dict[str, Column]:
-    """The block of a key, and the two bits that it sets in each word of the block."""
-    bits = F.xxhash64(key, F.lit("bits"))
-    one = F.lit(1).cast("long")
-
-    def chosen(slot: int) -> Column:
-        return F.call_function("shiftleft", one, F.shiftright(bits, 6 * slot).bitwiseAND(F.lit(63)).cast("int"))
-
-    words = {f"m{i}": chosen(2 * i).bitwiseOR(chosen(2 * i + 1)) for i in range(WORDS)}
-    return {"block": F.pmod(F.xxhash64(key), F.lit(n_blocks)), **words}
-
-
-def bloom_filter(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """A blocked Bloom filter: for each block that has keys its words ``w0, w1, ...``, all keys' bits together."""
-    placed = keys.select(*(c.alias(n) for n, c in _place(F.col(key), n_blocks).items()))
-    return placed.groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)))
-
-
 def is_listed(
-    rows: DataFrame, key: str, listed: DataFrame, name: str = "listed", broadcast_bytes: int = BROADCAST_BYTES
+    rows: DataFrame, key: str, listed: DataFrame, name: str = "listed", broadcast_bytes: int = bloom.BROADCAST_BYTES
 ) -> DataFrame:
     """``rows`` with a boolean column that tells whether ``key`` is among the keys of ``listed``, a table of one column.
 
-    The filter grows with the list, by ``BITS_PER_KEY`` bits a key. Rows that it turns away go on where they lie; possible
+    The blocked Bloom filter grows with the list. Rows that it turns away go on where they lie; possible
     hits (all true ones and about one other row in 500) are joined with the list itself. A filter of more than
     ``broadcast_bytes`` is joined by shuffle, as is the list unless Spark knows it to be small; both joins keep rows on the
     left, so Spark splits partitions of a URL that many rows have. A null key is not listed.
     """
     (listed_key,) = listed.columns
     keys = materialize(listed.where(F.col(listed_key).isNotNull()).select(F.col(listed_key).alias("listed_key")).distinct(), "listed")
-    n_blocks = max(1, -(-keys.count() * BITS_PER_KEY // BLOCK_BITS))
-    bloom = bloom_filter(keys, "listed_key", n_blocks)
-    if n_blocks * ROW_BYTES <= broadcast_bytes:
-        bloom = F.broadcast(bloom)
-    probed = rows.select(F.struct(*map(_quoted, rows.columns)).alias("row"), _quoted(key).alias("probe"))
-    probed = probed.withColumns(_place(F.col("probe"), n_blocks)).join(bloom, "block", "left")
-    passed = F.col("probe").isNotNull()
-    for i in range(WORDS):
-        passed &= F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}")
-    probed = probed.select("row", "probe", F.coalesce(passed, F.lit(False)).alias("possible"))
+    probed = bloom.with_possible(rows, bloom.quoted(key), keys, keys.count(), broadcast_bytes)
     hits = probed.where("possible").join(keys, F.col("probe") == F.col("listed_key"), "left")
     judged = probed.where("NOT possible").select("row", F.lit(False).alias(name)).union(
         hits.select("row", F.col("listed_key").isNotNull().alias(name))
@@ -120,12 +87,8 @@ def is_listed(
     return judged.select("row.*", name)
 
 
-def _quoted(name: str) -> Column:
-    return F.col(f"`{name.replace('`', '``')}`").alias(name)
-
-
 def judge_urls(
-    pages: DataFrame, listed: DataFrame, rules: list[Rule], broadcast_bytes: int = BROADCAST_BYTES
+    pages: DataFrame, listed: DataFrame, rules: list[Rule], broadcast_bytes: int = bloom.BROADCAST_BYTES
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages``.
 
