@@ -45,7 +45,7 @@ def with_possible(
     grows with the keys; up to ``broadcast_bytes`` it is broadcast and rows stay where they lie. A null key is not possible.
     """
     n_blocks = n_blocks_for(n_keys)
-    bloom = bloom_filter(keys, keys.columns[0], n_blocks)
+    bloom = bloom_filter(keys.toDF("key"), "key", n_blocks)
     if n_blocks * ROW_BYTES <= broadcast_bytes:
         bloom = F.broadcast(bloom)
     probed = rows.select(F.struct(*(quoted(name) for name in rows.columns)).alias("row"), key.alias("probe"))
