@@ -77,8 +77,7 @@ def is_listed(
     ``broadcast_bytes`` is joined by shuffle, as is the list unless Spark knows it to be small; both joins keep rows on the
     left, so Spark splits partitions of a URL that many rows have. A null key is not listed.
     """
-    (listed_key,) = listed.columns
-    keys = materialize(listed.where(F.col(listed_key).isNotNull()).select(F.col(listed_key).alias("listed_key")).distinct(), "listed")
+    keys = materialize(listed.toDF("listed_key").where(F.col("listed_key").isNotNull()).distinct(), "listed")
     probed = bloom.with_possible(rows, bloom.quoted(key), keys, keys.count(), broadcast_bytes)
     hits = probed.where("possible").join(keys, F.col("probe") == F.col("listed_key"), "left")
     judged = probed.where("NOT possible").select("row", F.lit(False).alias(name)).union(
