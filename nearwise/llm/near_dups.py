@@ -24,9 +24,11 @@ HASHES = BANDS * ROWS
 #: Of two sets of similarity 0.8 a tenth of the 200 signature bits differ; more than 52 with a probability below 1e-8.
 MOST_BITS = 52
 SIGNATURE = ["s0", "s1", "s2", "s3"]
-#: So many members of a bucket are compared with its other components in the second round, and how many times as many
-#: in each further one.
-PIVOTS, GROWTH = 64, 4
+#: So many members of an unsettled bucket are compared with its other components in the first round for such buckets, and
+#: how many times as many in each further one.
+PIVOTS, GROWTH = 16, 4
+#: Pairs of one node whose sets meet in one group of rows; the node's own set is sent once to each group.
+GROUP = 1000
 #: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -66,11 +68,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     Other columns are not read. An empty table gives an empty one. A ``percent`` below ``PERCENT`` is an error.
 
     Rows of equal sets are one node from the start, so a group of copies costs one row of each. Nodes that share a band
-    are first compared with the smallest node of that bucket, never all with all. What is left is only compared further
-    where a bucket still holds nodes of different components: some of its nodes, those of its smallest components first,
-    are compared with the nodes of other components, and are then done with. That goes on until every bucket holds one
-    component or no open node, so every pair that shares a bucket is either compared or already known to be connected,
-    whatever the size of the bucket.
+    are first compared with one node of that bucket, the one that most others share their buckets with; never all with all.
+    What is left is only compared further where a bucket still holds nodes of different components. There the shingles that
+    no other such node has are counted: they bound what a node can share, which rules out most of the others without a
+    comparison. Then some nodes of a bucket, those with the fewest shingles of their own first, are compared with the nodes
+    of other components, and are done with. That goes on until every bucket holds one component or no open node, so
+    every pair that shares a bucket is compared, ruled out, or already known to be connected, whatever the size of the bucket.
     """
     if percent < PERCENT:
         raise ValueError(f"bands and signatures are made for {PERCENT} percent or more: at {percent} links would be lost")
@@ -81,12 +84,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = _links(docs, nodes, size, percent)
-    label = F.col("node")
     named = nodes.select("node", "set1", "set2", "first_id")
-    if links is not None:
-        named = named.join(components(links), "node", "left")
-        label = F.coalesce("label", "node")
-    named = named.select("set1", "set2", "first_id", label.alias("label"))
+    named = _with_label(named, links, "node", "label").select("set1", "set2", "first_id", "label")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "label").select("set1", "set2", "component_id")
     keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set1")).alias("set1"), "set2")
@@ -102,51 +101,70 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     Rows of a null id stay. If a kept id has several rows, each of its different texts stays once.
     """
-    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("kept id")).where(F.col("kept id").isNotNull()).distinct()
+    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("kept_id")).where(F.col("kept_id").isNotNull()).distinct()
     known = docs.where(F.col("doc_id").isNotNull())
-    kept = known.join(kept, F.col("doc_id") == F.col("kept id"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    kept = kept.withColumn("place in text", place).where(F.col("place in text") == 1).drop("place in text")
+    kept = known.select(F.struct("*").alias("row")).join(kept, F.col("row.doc_id") == F.col("kept_id"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy("row.text"))
+    kept = kept.withColumn("place", place).where(F.col("place") == 1).select("row.*")
     return kept.union(docs.where(F.col("doc_id").isNull()))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """The confirmed links ``(u, v)``, enough of them to join everything that is linked; None if there are none."""
+    """Links ``(u, v)`` that join everything that is linked; None if there are none."""
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
-    buckets = materialize(buckets.join(shared, "key"), "buckets").where(F.col("node") > F.col("low"))
-    pairs = materialize(_screened(buckets.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), nodes, percent), "pairs")
-    links, tested, labels, pivots = [], [], None, PIVOTS
+    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    buckets = materialize(buckets.join(shared, "key"), "buckets")
+    weights = materialize(buckets.groupBy("node").agg(F.sum("members").alias("weight")), "weights")
+    sets = _sets(docs, nodes.join(weights, "node"), weights.count(), size)
+    hub = F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub")
+    weighed = buckets.select("key", "node").join(weights, "node")
+    hubs = weighed.groupBy("key").agg(hub, F.max("weight").alias("hub_weight"))
+    pairs = buckets.select("key", "node").join(hubs, "key").where(F.col("node") != F.col("hub"))
+    pairs = pairs.groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.max("hub_weight").alias("weight"))
+    pairs = materialize(_screened(pairs, nodes, percent), "pairs")
+    stars, tested = None, []
 
     def compare(chosen: DataFrame) -> None:
-        nonlocal labels
+        """Add what is linked of the chosen pairs to the stars, which join all that is known to be linked."""
+        nonlocal stars
         chosen = materialize(chosen, "chosen")
-        n = chosen.count()
-        if n:
+        if chosen.head(1):
             tested.append(chosen)
-            confirmed = materialize(_confirmed(docs, nodes, chosen, n, size, percent), "links")
+            confirmed = materialize(_confirmed(chosen, sets, percent), "links")
             if confirmed.head(1):
-                links.append(confirmed)
-                labels = components(reduce(DataFrame.union, links))
+                found = components(confirmed if stars is None else stars.union(confirmed))
+                stars = materialize(found.where("node != label").select(F.col("node").alias("u"), F.col("label").alias("v")), "links")
 
-    compare(pairs.groupBy("u").agg(F.min("v").alias("v")))  # one pair for each node; most others are then known to be connected
-    rest = pairs.join(tested[0], ["u", "v"], "left_anti") if tested else pairs
-    rest = _with_label(_with_label(rest, labels, "u", "lu"), labels, "v", "lv")
+    compare(pairs.groupBy("u").agg(F.max_by("v", F.struct("weight", "v")).alias("v")))  # each node with its best hub
+    rest = pairs.select("u", "v").join(tested[0], ["u", "v"], "left_anti") if tested else pairs.select("u", "v")
+    rest = _with_label(_with_label(rest, stars, "u", "lu"), stars, "v", "lv")
     compare(rest.where("lu != lv").select("u", "v"))
-    active, light = buckets.select("key", "node"), nodes.select("node", "n_shingles", *SIGNATURE)
-    while True:
-        active = materialize(_unsettled(_with_label(active, labels, "node", "label")).join(light, "node"), "active")
-        if not active.head(1):
-            return reduce(DataFrame.union, links) if links else None
-        place = F.row_number().over(Window.partitionBy("key").orderBy("alike", "node"))
-        chosen = active.withColumn("place", place).where(F.col("place") <= pivots)
-        chosen = chosen.select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", "n_shingles", *SIGNATURE)))
-        facing = active.withColumnsRenamed({c: f"u_{c}" for c in ("n_shingles", *SIGNATURE)}).join(chosen, "key")
-        facing = facing.where((F.col("label") != F.col("v_label")) & _may_be_similar(percent))
+    light = nodes.select("node", "n_shingles", *SIGNATURE)
+    active = materialize(_unsettled(_with_label(buckets.select("key", "node"), stars, "node", "label")), "active")
+    if active.head(1):
+        light = materialize(light.join(_shareable(sets, active), "node"), "shareable")
+    pivots = PIVOTS
+    while active.head(1):
+        members = _feasible(active.join(light, "node"), percent)
+        members = materialize(_unsettled(members.drop("alike")), "active")
+        own = F.col("n_shingles") - F.col("shareable")
+        place = F.row_number().over(Window.partitionBy("key").orderBy(own / F.col("n_shingles"), "alike", "node"))
+        chosen = members.withColumn("place", place).where(F.col("place") <= pivots)
+        told = ("n_shingles", "shareable", *SIGNATURE)
+        chosen = chosen.select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", *told)))
+        facing = members.withColumnsRenamed({c: f"u_{c}" for c in told}).join(chosen, "key")
+        facing = facing.where((F.col("label") != F.col("v_label")) & _may_be_similar(percent) & _may_share(percent))
         facing = facing.select(F.greatest("node", "v_node").alias("u"), F.least("node", "v_node").alias("v")).distinct()
-        compare(facing.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti") if tested else facing)
-        active = active.select("key", "node").join(chosen.select("key", F.col("v_node").alias("node")), ["key", "node"], "left_anti")
+        compare(facing.join(_both_ways(tested), ["u", "v"], "left_anti") if tested else facing)
+        left = members.select("key", "node").join(chosen.select("key", F.col("v_node").alias("node")), ["key", "node"], "left_anti")
+        active = materialize(_unsettled(_with_label(left, stars, "node", "label")), "active")
         pivots *= GROWTH
+    return stars
+
+
+def _both_ways(pairs: list[DataFrame]) -> DataFrame:
+    """All pairs, the larger node first."""
+    return reduce(DataFrame.union, pairs).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def _unsettled(labelled: DataFrame) -> DataFrame:
@@ -156,10 +174,37 @@ def _unsettled(labelled: DataFrame) -> DataFrame:
     return labelled.join(sizes.join(several.select("key"), "key"), ["key", "label"])
 
 
-def _with_label(df: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
-    if labels is None:
+def _shareable(sets: DataFrame, active: DataFrame) -> DataFrame:
+    """For each active node how many of its shingles any other active node has as well."""
+    members = active.select("node").distinct()
+    shingles = sets.join(members, "node").select("node", F.explode("members").alias("shingle"))
+    # A shingle of one node counts for it; min and max are combined before the shuffle however many nodes share it.
+    spread = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    own = spread.where(F.col("node") == F.col("last")).groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.join(members, "node").select("node", F.size("members").alias("size"))
+    shareable = F.col("size") - F.coalesce("own", F.lit(0))
+    return sizes.join(own, "node", "left").select("node", shareable.cast("long").alias("shareable"))
+
+
+def _feasible(members: DataFrame, percent: int) -> DataFrame:
+    """The members of buckets that could be linked with a set as small as the smallest of their bucket."""
+    least = members.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    most = F.least("shareable", "n_shingles")
+    near = F.greatest("least", most)  # a smaller partner can't share more than it has
+    return members.join(least, "key").where((100 + percent) * most >= percent * (F.col("n_shingles") + near)).drop("least")
+
+
+def _may_share(percent: int) -> Column:
+    """Whether the sides ``u_`` and ``v_`` have enough shingles that are not their own."""
+    most = F.least("u_shareable", "v_shareable")
+    return (100 + percent) * most >= percent * (F.col("u_n_shingles") + F.col("v_n_shingles"))
+
+
+def _with_label(df: DataFrame, stars: DataFrame | None, node: str, name: str) -> DataFrame:
+    """``df`` with the centre of each node's star, which is the node itself without a link."""
+    if stars is None:
         return df.withColumn(name, F.col(node))
-    named = labels.select(F.col("node").alias(node), F.col("label").alias(name))
+    named = stars.select(F.col("u").alias(node), F.col("v").alias(name))
     return df.join(named, node, "left").withColumn(name, F.coalesce(name, node))
 
 
@@ -168,7 +213,7 @@ def _screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     light = nodes.select("node", "n_shingles", *SIGNATURE)
     side = lambda name: light.toDF(name, *(f"{name}_{c}" for c in light.columns[1:]))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.where(_may_be_similar(percent)).select("u", "v")
+    return both.where(_may_be_similar(percent)).select(*pairs.columns)
 
 
 def _may_be_similar(percent: int) -> Column:
@@ -178,16 +223,29 @@ def _may_be_similar(percent: int) -> Column:
     return (100 * small >= percent * large) & (differing <= MOST_BITS)
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_pairs: int, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(wanted, "node").select("node", F.col("first_id").alias("id"), "set1", "set2")
-    few = 2 * n_pairs <= BROADCAST_IDS
+def _sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, size: int) -> DataFrame:
+    """``node`` and its whole set, ``members``, from the text of a row that has it; made once for all rounds."""
+    wanted = nodes.select("node", F.col("first_id").alias("id"), "set1", "set2")
+    few = n_nodes <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id"))
-    texts = texts.select("node", "set1", "set2", "text").mapInArrow(_matching(size), "node long, text string").dropDuplicates(["node"])
-    texts = materialize(texts, "texts")
-    both = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
-    return both.mapInArrow(_confirmer(size, percent), "u long, v long")
+    found = texts.select("node", "set1", "set2", "text").mapInArrow(_matching(size), "node long, members array<long>")
+    return materialize(found.dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough.
+
+    The pairs of a node ``v`` are dealt to groups of about ``GROUP``. A group gets the set of ``v`` once, and after it the
+    sets it is compared with, one by one; so no set is sent with every pair, and a task holds a batch and one set.
+    """
+    groups = pairs.groupBy("v").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = pairs.join(groups, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("groups")).alias("part"))
+    dealt = materialize(dealt, "dealt")
+    heads = dealt.select("v", "part").distinct().join(sets.withColumnRenamed("node", "v"), "v")
+    heads = heads.select("v", "part", F.lit(None).cast("long").alias("u"), "members")
+    rows = dealt.join(sets.withColumnRenamed("node", "u"), "u").select("v", "part", "u", "members")
+    rows = heads.union(rows).repartition("v", "part").sortWithinPartitions("v", "part", "u")  # a null u comes first
+    return rows.mapInArrow(_confirmer(percent), "u long, v long")
 
 
 def _set_hash(members: np.ndarray) -> tuple[int, int]:
@@ -231,30 +289,39 @@ def _sketcher(size: int):
 
 
 def _matching(size: int):
-    """Of the rows that share a node's id, those that have the node's set."""
+    """Of the rows that share a node's id, the sets of those that have the node's set."""
 
     def run(batches):
         for batch in w.slices(batches):
-            found = [_set_hash(s) for s in shingle_sets(batch.column("text"), size)]
+            sets = shingle_sets(batch.column("text"), size)
             wanted = zip(batch.column("set1").to_pylist(), batch.column("set2").to_pylist())
-            same = [(x - a) % 2**64 == 0 and (y - b) % 2**64 == 0 for (x, y), (a, b) in zip(found, wanted)]
-            yield batch.select(["node", "text"]).filter(pa.array(same))
+            same = [(x - a) % 2**64 == 0 and (y - b) % 2**64 == 0 for (x, y), (a, b) in zip(map(_set_hash, sets), wanted)]
+            kept = [members for members, good in zip(sets, same) if good]
+            bounds = np.concatenate([[0], np.cumsum([len(members) for members in kept])]).astype(np.int64)
+            flat = np.concatenate(kept) if kept else np.empty(0, np.uint64)
+            nodes = batch.column("node").filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([nodes, w.as_lists(_signed(flat), bounds)], ["node", "members"])
 
     return run
 
 
-def _confirmer(size: int, percent: int):
+def _confirmer(percent: int):
     def run(batches):
-        for batch in w.slices(batches, "text_u"):
-            left = shingle_sets(batch.column("text_u"), size)
-            right: dict[int, np.ndarray] = {}
-            keep = []
-            for row, (members, v) in enumerate(zip(left, batch.column("v").to_pylist())):
-                if v not in right:
-                    right[v] = shingle_sets(batch.column("text_v").slice(row, 1), size)[0]
-                shared = len(np.intersect1d(members, right[v], assume_unique=True))
-                keep.append(100 * shared >= percent * (len(members) + len(right[v]) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        against = np.empty(0, np.uint64)
+        for batch in batches:
+            lists, us = batch.column("members"), batch.column("u").to_pylist()
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            flat, keep = lists.flatten().to_numpy().view(np.uint64), np.zeros(len(us), bool)
+            for row, u in enumerate(us):
+                members = flat[bounds[row] : bounds[row + 1]]
+                if u is None:
+                    against = members.copy()
+                    continue
+                at = np.searchsorted(against, members)
+                at[at == len(against)] = 0
+                shared = np.count_nonzero(against[at] == members)
+                keep[row] = 100 * shared >= percent * (len(members) + len(against) - shared)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     return run
 
