@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from functools import reduce
 from operator import add
@@ -24,9 +25,8 @@ HASHES = BANDS * ROWS
 #: Of two sets of similarity 0.8 a tenth of the 200 signature bits differ; more than 52 with a probability below 1e-8.
 MOST_BITS = 52
 SIGNATURE = ["s0", "s1", "s2", "s3"]
-#: So many members of an unsettled bucket are compared with its other components in the first round for such buckets, and
-#: how many times as many in each further one.
-PIVOTS, GROWTH = 16, 4
+#: Sizes of sets are compared by classes, each so many times as large as the one below.
+CLASS = 1.06
 #: Pairs of one node whose sets meet in one group of rows; the node's own set is sent once to each group.
 GROUP = 1000
 #: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
@@ -69,11 +69,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Rows of equal sets are one node from the start, so a group of copies costs one row of each. Nodes that share a band
     are first compared with one node of that bucket, the one that most others share their buckets with; never all with all.
-    What is left is only compared further where a bucket still holds nodes of different components. There the shingles that
-    no other such node has are counted: they bound what a node can share, which rules out most of the others without a
-    comparison. Then some nodes of a bucket, those with the fewest shingles of their own first, are compared with the nodes
-    of other components, and are done with. That goes on until every bucket holds one component or no open node, so
-    every pair that shares a bucket is compared, ruled out, or already known to be connected, whatever the size of the bucket.
+    What is left is only compared further where a bucket still holds nodes of different components: nodes of such buckets
+    meet where they share one of their rarest shingles, as any two that are similar enough do. So every pair that shares a
+    bucket is compared, ruled out exactly, or already known to be connected, whatever the size of the bucket.
     """
     if percent < PERCENT:
         raise ValueError(f"bands and signatures are made for {PERCENT} percent or more: at {percent} links would be lost")
@@ -139,65 +137,68 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     rest = pairs.select("u", "v").join(tested[0], ["u", "v"], "left_anti") if tested else pairs.select("u", "v")
     rest = _with_label(_with_label(rest, stars, "u", "lu"), stars, "v", "lv")
     compare(rest.where("lu != lv").select("u", "v"))
-    light = nodes.select("node", "n_shingles", *SIGNATURE)
-    active = materialize(_unsettled(_with_label(buckets.select("key", "node"), stars, "node", "label")), "active")
+    active = _unsettled(_with_label(buckets.select("key", "node"), stars, "node", "label"))
+    active = materialize(active.select("node", "label").distinct().join(nodes.select("node", "n_shingles"), "node"), "active")
     if active.head(1):
-        light = materialize(light.join(_shareable(sets, active), "node"), "shareable")
-    pivots = PIVOTS
-    while active.head(1):
-        members = _feasible(active.join(light, "node"), percent)
-        members = materialize(_unsettled(members.drop("alike")), "active")
-        own = F.col("n_shingles") - F.col("shareable")
-        place = F.row_number().over(Window.partitionBy("key").orderBy(own / F.col("n_shingles"), "alike", "node"))
-        chosen = members.withColumn("place", place).where(F.col("place") <= pivots)
-        told = ("n_shingles", "shareable", *SIGNATURE)
-        chosen = chosen.select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", *told)))
-        facing = members.withColumnsRenamed({c: f"u_{c}" for c in told}).join(chosen, "key")
-        facing = facing.where((F.col("label") != F.col("v_label")) & _may_be_similar(percent) & _may_share(percent))
-        facing = facing.select(F.greatest("node", "v_node").alias("u"), F.least("node", "v_node").alias("v")).distinct()
+        facing = materialize(_screened(_by_rarest(sets, active, percent), nodes, percent), "pairs")
         compare(facing.join(_both_ways(tested), ["u", "v"], "left_anti") if tested else facing)
-        left = members.select("key", "node").join(chosen.select("key", F.col("v_node").alias("node")), ["key", "node"], "left_anti")
-        active = materialize(_unsettled(_with_label(left, stars, "node", "label")), "active")
-        pivots *= GROWTH
     return stars
 
 
 def _both_ways(pairs: list[DataFrame]) -> DataFrame:
     """All pairs, the larger node first."""
-    return reduce(DataFrame.union, pairs).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return reduce(DataFrame.union, pairs).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _unsettled(labelled: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, each with how many members of its bucket are of its own."""
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("alike"))
-    several = sizes.groupBy("key").agg(F.count("*").alias("components")).where(F.col("components") > 1)
-    return labelled.join(sizes.join(several.select("key"), "key"), ["key", "label"])
-
-
-def _shareable(sets: DataFrame, active: DataFrame) -> DataFrame:
-    """For each active node how many of its shingles any other active node has as well."""
-    members = active.select("node").distinct()
-    shingles = sets.join(members, "node").select("node", F.explode("members").alias("shingle"))
-    # A shingle of one node counts for it; min and max are combined before the shuffle however many nodes share it.
-    spread = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    own = spread.where(F.col("node") == F.col("last")).groupBy("node").agg(F.count("*").alias("own"))
-    sizes = sets.join(members, "node").select("node", F.size("members").alias("size"))
-    shareable = F.col("size") - F.coalesce("own", F.lit(0))
-    return sizes.join(own, "node", "left").select("node", shareable.cast("long").alias("shareable"))
-
-
-def _feasible(members: DataFrame, percent: int) -> DataFrame:
-    """The members of buckets that could be linked with a set as small as the smallest of their bucket."""
-    least = members.groupBy("key").agg(F.min("n_shingles").alias("least"))
-    most = F.least("shareable", "n_shingles")
-    near = F.greatest("least", most)  # a smaller partner can't share more than it has
-    return members.join(least, "key").where((100 + percent) * most >= percent * (F.col("n_shingles") + near)).drop("least")
-
-
-def _may_share(percent: int) -> Column:
-    """Whether the sides ``u_`` and ``v_`` have enough shingles that are not their own."""
-    most = F.least("u_shareable", "v_shareable")
-    return (100 + percent) * most >= percent * (F.col("u_n_shingles") + F.col("v_n_shingles"))
+    """The members of buckets that hold several components."""
+    several = labelled.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
+    return labelled.join(several.select("key"), "key")
+
+
+def _by_rarest(sets: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``(u, v)``, ``u > v``, of active nodes of different components that could be similar enough.
+
+    Put the shingles of each set into one order, those that fewest active nodes have first. Two sets that share as much as
+    the limit asks share one of their first shingles already; how many those are follows from both sizes. So nodes are
+    joined on their first shingles, by classes of size. A shingle that a large group of copies shares is among the first
+    only of members with next to no changes, which the hubs have joined before, and pairs of one component are left out.
+    """
+    members = sets.join(active, "node")
+    shingles = members.select("node", F.explode("members").alias("shingle"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("nodes")).where(F.col("nodes") > 1)
+    ranked = shingles.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("nodes", "shingle"))).alias("ranked"))
+    ranked = ranked.join(active, "node")  # shingles of one node alone come before all others and match nothing
+
+    size, level = F.col("n_shingles"), F.floor(F.log("n_shingles") / math.log(CLASS)).cast("int")
+    own = size - F.size("ranked")  # how many those are
+
+    def first(smaller: Column, larger: Column, other: Column, side: int) -> Column:
+        """The first shingles as the smaller or larger of a pair of classes, with their places in the whole order."""
+        least = F.floor(F.pow(F.lit(CLASS), other)) - 1  # the least size in the other class, rounding included
+        shared = F.ceil(percent * (size + least) / (100 + percent))
+        reach = F.greatest(F.lit(0), F.least(size - shared + 1, size) - own).cast("int")
+        return F.transform(
+            F.slice("ranked", F.lit(1), reach),
+            lambda x, i: F.struct(
+                smaller.alias("smaller"), larger.alias("larger"), x["shingle"].alias("shingle"), F.lit(side).alias("side"), (own + i).cast("int").alias("place")
+            ),
+        )
+
+    steps = range(math.ceil(math.log(100 / percent) / math.log(CLASS)) + 1)
+    firsts = [first(level, level + d, level + d, 0) for d in steps] + [first(level - d, level, level - d, 1) for d in steps]
+    entries = ranked.select("node", "label", "n_shingles", F.inline(F.flatten(F.array(*firsts))))
+    entries = materialize(entries, "first-shingles")
+    side = lambda number, name: entries.where(F.col("side") == number).drop("side").withColumnsRenamed(
+        {c: f"{name}_{c}" for c in ("node", "label", "n_shingles", "place")}
+    )
+    both = side(0, "a").join(side(1, "b"), ["smaller", "larger", "shingle"])
+    once = (F.col("smaller") < F.col("larger")) | (F.col("a_node") < F.col("b_node"))
+    total = F.col("a_n_shingles") + F.col("b_n_shingles")
+    # what follows their first common shingle must be enough
+    rest = F.least(F.col("a_n_shingles") - F.col("a_place"), F.col("b_n_shingles") - F.col("b_place"))
+    both = both.where((F.col("a_label") != F.col("b_label")) & once & ((100 + percent) * rest >= percent * total))
+    return both.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v")).distinct()
 
 
 def _with_label(df: DataFrame, stars: DataFrame | None, node: str, name: str) -> DataFrame:
