@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +22,13 @@ END_ID = 2
 #: Ids after which a segment ends. A document is never split, so a longer one is a segment of its own.
 SEGMENT_IDS = 1 << 20
 
+#: Bytes of text that one task packs, about.
+RANGE_BYTES = 64 << 20
+#: Bytes of text that are encoded at a time: the more, the fewer words are looked up again.
+SLICE_BYTES = 8 << 20
+#: Starts of segments that may be broadcast (some 40 bytes each); more are joined by shuffle.
+BROADCAST_STARTS = 1_000_000
+
 SEGMENT = "part int, seq int, n_docs long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
 
 #: One pre-token each in the tokenizer's pattern, in which letters, digits and other signs never share one; or the line
@@ -46,24 +54,29 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = ChunkMemo(self._encode_words)
+        self.words = ChunkMemo(self._encode_words, silent=[b""])
         self.pieces = ChunkMemo(self._encode_pieces, silent=["\n"])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text; a null is an empty text."""
         data, bounds = w.flat(texts)
+        raw, cuts, odd = data.tobytes(), bounds.tolist(), {}
+        texts = texts.fill_null("")
+        if special := [s for s in self.special if s in raw]:
+            for i in range(len(texts)):
+                text = raw[cuts[i] : cuts[i + 1]]
+                if any(s in text for s in special):
+                    odd[i] = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+            spelled = pa.array(np.isin(np.arange(len(texts)), list(odd)))
+            texts = pc.if_else(spelled, "", texts)
+        # Arrow cuts the words and numbers the distinct ones, so that only those are looked up one by one.
+        found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        counts = found.value_lengths().to_numpy()
+        coded = found.flatten().cast(pa.binary()).dictionary_encode()
+        data, bounds = w.flat(coded.dictionary)
         raw, cuts = data.tobytes(), bounds.tolist()
-        chunks, counts, odd = [], np.zeros(len(texts), np.int64), {}
-        special = [s for s in self.special if s in raw]
-        for i in range(len(texts)):
-            text = raw[cuts[i] : cuts[i + 1]]
-            if any(s in text for s in special):
-                odd[i] = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-            else:
-                found = text.lower().split()
-                counts[i] = len(found)
-                chunks += found
-        ids, per_chunk = self.words.tokens(self.words.look_up(chunks))
+        places = self.words.look_up([raw[a:b] for a, b in zip(cuts, cuts[1:])])
+        ids, per_chunk = self.words.tokens(places[coded.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(per_chunk)])[np.concatenate([[0], np.cumsum(counts)])]
         lengths = np.diff(ends)
         if odd:
@@ -124,14 +137,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ordered = rows.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     ordered.select("doc_id", "text").mapInArrow(_packer(tokenizer, end_id), SEGMENT).write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments of the files at ``path``, each with ``start``, the number of ids in all segments before it.
 
-    The starts come from one row for each written file and are joined to it, so no single task reads all segments.
+    The starts are summed up from the segments' numbers of ids, one row for each written file, and broadcast while they are
+    few, so that the segments themselves are decoded where they lie.
     """
     segments = spark.read.schema(SEGMENT).parquet(path)
     order = segments.select("part", "seq", "n_ids")
@@ -147,7 +163,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     )
     starts = parts.join(table, "part").withColumn("at", F.explode("segments"))
     starts = starts.select("part", F.col("at.seq").alias("seq"), (F.col("base") + inner).alias("start"))
-    return segments.join(starts, ["part", "seq"])
+    few = order.count() <= BROADCAST_STARTS
+    return segments.join(F.broadcast(starts) if few else starts, ["part", "seq"])
 
 
 def documents(segments: DataFrame) -> DataFrame:
@@ -175,7 +192,7 @@ def _packer(path: str, end_id: int):
             row = {"part": part, "seq": seq, "n_docs": len(n), "n_ids": len(flat), "doc_ids": docs, "lengths": n.tolist(), "ids": frames.pack(flat)}
             return pa.RecordBatch.from_pylist([row], _SEGMENT_TYPE)
 
-        for batch in w.slices(batches):
+        for batch in w.slices(batches, size=SLICE_BYTES):
             flat, n = encoder.encode(batch.column("text"))
             ends = np.cumsum(n)
             flat = np.insert(flat, ends, end_id)
