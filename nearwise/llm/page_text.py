@@ -21,7 +21,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-DROPPED = frozenset("nav aside form footer menu dialog button label fieldset".split())
+DROPPED = frozenset("nav aside footer menu dialog button label fieldset legend".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
@@ -29,6 +29,11 @@ DROPPED_NAMES = frozenset(
     "reply replies share sharing social related recommended newsletter subscribe subscription signup login search widget "
     "toolbar pagination pager".split()
 )
+#: Words that may stand beside those in a name: "site-footer" is a footer, "has-sidebar" or "ad-free" name no part.
+BESIDE = frozenset(
+    "site page main global primary secondary top bottom left right box bar list item items link links wrap wrapper container "
+    "section area inner outer block row col column panel holder group button buttons icon icons form title head body".split()
+)
 #: These are only dropped outside an article, inside which they hold its own title.
 DROPPED_OUTSIDE = frozenset(["header", "masthead"])
 ARTICLE = frozenset(["article", "main"])
@@ -67,6 +72,8 @@ STOP_LOW, STOP_HIGH = 0.07, 0.16
 #: Share of characters in links from which a block is no text; inside an article one with stop words may cite more.
 MOST_LINKS, MOST_LINKS_INSIDE = 0.2, 0.7
 WORD = re.compile(r"[^\W\d_]+")
+#: The end of a sentence, in scripts with and without spaces; prose has one in so many characters at least.
+SENTENCE, SENTENCE_LENGTH = re.compile(r"[.!?…](?=[\s\"'»”)]|$)|[。！？।؟۔]"), 300
 
 COMMENT = "<!--"
 #: A tag up to its end if no attribute value holds "<" or ">", else only its name. A value is quoted where a quote follows "=".
@@ -85,16 +92,17 @@ class Block(NamedTuple):
     text: str
     link_share: float
     inside: bool  # of an article
+    form: bool  # inside a form, but not of an article
 
 
 def blocks_of(page: str) -> list[Block]:
     """The visible blocks of a page in order, without the parts that its markup sets aside."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped from here on, inside an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped from here on, inside an article, in a form outside of one
     count: dict[str, int] = {}
     pieces: list[str] = []
     links: list[str] = []
-    dropped = inside = False
+    dropped = inside = form = False
     at, n, comments, unclosed, values = 0, len(page), True, set(), _Values(page)
 
     def close_block():
@@ -102,18 +110,18 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(links)).split()))
-                out.append(Block(text, linked / len(text), inside))
+                out.append(Block(text, linked / len(text), inside, form))
             pieces.clear()
             links.clear()
 
     def pop_to(tag):
-        nonlocal dropped, inside
+        nonlocal dropped, inside, form
         while stack:
-            name, _, _ = stack.pop()
+            name = stack.pop()[0]
             count[name] -= 1
             if name == tag:
                 break
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        dropped, inside, form = stack[-1][1:] if stack else (False, False, False)
 
     while at < n:
         m = TAG.search(page, at)
@@ -176,11 +184,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         article = inside or tag in ARTICLE
         drop = dropped or _set_aside(tag, attributes, inside)
-        stack.append((tag, drop, article))
+        stack.append((tag, drop, article, (form or tag == "form") and not article))
         count[tag] = count.get(tag, 0) + 1
-        if drop and not dropped:
+        if drop and not dropped and tag in BLOCKS:  # a button in a paragraph does not end it
             close_block()
-        dropped, inside = drop, article
+        dropped, inside, form = stack[-1][1:]
     close_block()
     return out
 
@@ -213,8 +221,8 @@ class _Values:
 
 def _set_aside(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element's tag, role, class, id or style says that it is not part of the text."""
-    if tag in DROPPED or tag in DROPPED_OUTSIDE and not inside:
-        return True
+    if tag in DROPPED or tag in DROPPED_OUTSIDE and not inside or tag == "form" and inside:
+        return True  # a form around everything may be how a site is served; one in an article is a form
     if not attributes.strip() or tag in ("html", "body"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -226,33 +234,48 @@ def _set_aside(tag: str, attributes: str, inside: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id") and tag not in ARTICLE | {"a", "p", "b", "i", "em", "strong", "h1"} or name == "class":
-            names = {x.lower() for x in NAME.findall(value)}
-            if names & DROPPED_NAMES or not inside and names & DROPPED_OUTSIDE:
+            if any(names_a_part(x, inside) for x in value.split()):
                 return True
     return False
 
 
+def names_a_part(name: str, inside: bool = False) -> bool:
+    """Whether a whole class or id names a part of a page that is no main text, alone or with words like site or list."""
+    words = {x.lower() for x in NAME.findall(name) if not x.isdigit()}
+    parts = DROPPED_NAMES if inside else DROPPED_NAMES | DROPPED_OUTSIDE
+    return bool(words & parts) and words <= parts | BESIDE
+
+
 def stop_share(text: str) -> float:
     """The share of stop words among the words of a text; a word is a run of letters."""
     words = WORD.findall(text.lower())
     return sum(x in STOP_WORDS for x in words) / len(words) if words else 0.0
 
 
-def judge(block: Block) -> str:
-    """First pass: the label of a block by itself. An article is a prior: what would be bad for its words is ambiguous in it."""
+def in_sentences(text: str) -> bool:
+    """Whether a text has the ends of sentences as often as prose of any language."""
+    return len(SENTENCE.findall(text)) * SENTENCE_LENGTH >= len(text)
+
+
+def judge(block: Block, share: float, known: bool = True) -> str:
+    """First pass: the label of a block by itself, from its links, its length and its ``share`` of stop words.
+
+    An article is a prior: what would be bad for its words is ambiguous in it. So is a form outside of articles: only a long
+    text is good in it. On a page whose language is not ``known`` to the lists of stop words sentences stand for them.
+    """
     if block.link_share > (MOST_LINKS_INSIDE if block.inside else MOST_LINKS) or not block.inside and "©" in block.text:
         return BAD
     if len(block.text) < SHORT:
-        return BAD if block.link_share and not block.inside else AMBIGUOUS
-    share = stop_share(block.text)
-    if share >= STOP_HIGH:
-        return GOOD if len(block.text) > LONG or block.inside else NEAR
-    if block.link_share > MOST_LINKS:
+        return BAD if block.form or block.link_share and not block.inside else AMBIGUOUS
+    long = len(block.text) > LONG
+    if share >= STOP_HIGH or not known and block.link_share <= MOST_LINKS and in_sentences(block.text):
+        return GOOD if long or block.inside else BAD if block.form else NEAR
+    if block.link_share > MOST_LINKS or block.form:
         return BAD
     if share >= STOP_LOW:
         return NEAR
     # one stop word among few says little, none at all or few among many say enough
-    return AMBIGUOUS if block.inside or share and len(block.text) <= LONG else BAD
+    return AMBIGUOUS if block.inside or share and not long else BAD
 
 
 def settle(labels: list[str], default: str) -> list[bool]:
@@ -289,11 +312,16 @@ def main_text(page: str | None) -> str:
 
     Blocks in and out of articles are judged; an undecided one follows its neighbours on the same side.
     """
+    blocks = blocks_of(page or "")
+    shares = [stop_share(b.text) if len(b.text) >= SHORT else 0.0 for b in blocks]
+    known = any(share >= STOP_LOW and b.link_share <= MOST_LINKS for b, share in zip(blocks, shares))
+    labels = [judge(b, share, known) for b, share in zip(blocks, shares)]
+    undecided = GOOD if not {GOOD, BAD} & set(labels) else BAD  # a page of nothing but short blocks is all the text there is
     out = []
-    for inside, run in itertools.groupby(blocks_of(page or ""), lambda block: block.inside):
+    for inside, run in itertools.groupby(zip(blocks, labels), lambda x: x[0].inside):
         run = list(run)
-        kept = settle([judge(b) for b in run], GOOD if inside else BAD)
-        out += [b.text for b, keep in zip(run, kept) if keep]
+        kept = settle([label for _, label in run], GOOD if inside else undecided)
+        out += [b.text for (b, _), keep in zip(run, kept) if keep]
     return "\n".join(out)
 
 
@@ -301,10 +329,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) of every row of ``pages``.
 
     The first pass labels each block by its share of links, its length and its share of stop words; inside an article (or
-    main) element few stop words make it ambiguous, elsewhere bad. The second gives every ambiguous block the label of its
-    nearest decided neighbour inside, or outside, of articles; one without any is kept inside. Menus,
-    page headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are set aside by their markup
-    before that. White space in a block becomes one space; character references are decoded.
+    main) element few stop words make it ambiguous, elsewhere bad. On a page without the stop words of any listed language
+    the ends of sentences stand for them. The second pass gives every ambiguous block the label of its
+    nearest decided neighbour inside, or outside, of articles; one without any is kept inside, and everywhere on a page
+    without any decided block. Menus, page headers, footers, sidebars, notices, adverts, controls of forms, comments,
+    scripts and styles are set aside by their markup before that, by the names of elements and by whole classes and ids
+    that name such a part; of other text in a form outside of articles only long text is kept. White space in a block becomes one space; character references are decoded.
 
     A null html counts as empty and gives an empty text. Every row is answered for itself, where it lies; keys may be
     null or repeat; other columns are not read. Time is linear in the length of a page, whatever its markup.

@@ -1,8 +1,11 @@
 """Operators that answer each row for itself, held against plain Python over edge cases and a given table."""
 
+import base64
 import hashlib
 import html
+import random
 import re
+import string
 import time
 import zlib
 from collections import Counter
@@ -242,6 +245,38 @@ def test_candidates_start_within_reach(gap):
     assert spans == ([(7 + gap, 3, 7 + gap + len(value))] if gap <= secret_scan.REACH else [])
 
 
+def test_contexts_go_on_through_keys_and_tokens():
+    """All lines of private keys, the parts of bearer tokens and values of letters only; but no long words."""
+    rng, scan = random.Random(1), secret_scan.SecretScanner()
+    found = Counter()
+
+    def covers(text, part):
+        start = text.index(part)
+        return any(a <= start and start + len(part) <= b for a, _, b in scan(text)[1])
+
+    for _ in range(40):
+        raw = base64.b64encode(rng.randbytes(1190)).decode()
+        lines = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+        text = "key:\n-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\nmore text"
+        found["lines"] += sum(covers(text, line) for line in lines) / len(lines)
+        parts = [base64.urlsafe_b64encode(rng.randbytes(n)).decode().rstrip("=") for n in (27, 90, 32)]
+        found["tokens"] += all(covers(f"-H 'Authorization: Bearer {'.'.join(parts)}' https://example.com", part) for part in parts)
+        found["letters"] += covers(text := f"the credential = {''.join(rng.choices(string.ascii_letters, k=40))} was set", text.split()[3])
+    assert found["lines"] > 39.5 and found["tokens"] >= 36 and found["letters"] >= 39, found
+    for text in (
+        "The secret internationalization of the token representatives is responsible.", "private static final String DEFAULT_CONFIGURATION_FILE_NAME",
+        "password reset: telecommunications-infrastructure-department/headquarters", "credential getConfigurationProviderFactory(secretTokenManager)",
+    ):
+        assert not scan(text)[1]
+
+
+def test_no_given_document_has_a_novel_span_but_for_its_secrets():
+    """The rate of false positives: prose near sensitive words is left alone."""
+    scan = secret_scan.SecretScanner()
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    assert sum(kind == 3 for text in texts for _, kind, _ in scan(text or "")[1]) == 0
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefghijklmnop b", "s"), (2, None, "t"), (3, "clean", "u")], "doc_id long, text string, spans string")
     assert sorted(secret_scan.redact_secrets(docs).collect()) == [(1, "a [SECRET] b", "s"), (2, None, "t"), (3, "clean", "u")]
@@ -297,6 +332,53 @@ def test_blocks_in_and_out_of_articles():
     assert page_text.main_text(f"<article><p>{text} <a href=x>{text}</a></p></article>") == f"{text}{text}".strip()
 
 
+TWO = ["It was the first of the days on which they all went to the house by the river, and nobody said a word about it."] * 2
+ENGLISH = [f"{x} {i} That is what he told me when we met there again in the spring, with the others who had come for it." for i, x in enumerate(TWO)]
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="content has-sidebar">{}</div>', '<article class="post no-share">{}</article>', '<div class="hentry comment-open">{}</div>',
+    '<div class="entry-content ad-free">{}</div>', '<div id="main-with-sidebar">{}</div>', "<form><div>{}</div><input name=x></form>",
+    "<form><label>Find</label><article>{}</article><button>Go</button></form>", '<div class="research"><div class="menuless">{}</div></div>',
+])
+def test_names_and_forms_around_a_text_do_not_take_it(around):
+    paragraphs = "".join(f"<p>{x}</p>" for x in ENGLISH)
+    assert page_text.main_text(around.format(paragraphs)) == "\n".join(ENGLISH)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "left_sidebar", "navBar", "cookie-notice", "comments-list", "widget widget_text", "post related-links"])
+def test_whole_names_set_a_part_aside(name):
+    paragraphs = "".join(f"<p>{x}</p>" for x in ENGLISH)
+    assert page_text.main_text(f"<article>{paragraphs}</article><div class='{name}'>{paragraphs}</div>") == "\n".join(ENGLISH)
+    assert page_text.main_text(f"<article>{paragraphs}<div class='{name}'>{paragraphs}</div></article>") == "\n".join(ENGLISH)
+
+
+@pytest.mark.parametrize("text", [
+    "Старый дом стоял на берегу реки, и никто не помнил, когда его построили. Летом сюда приезжали дети из города. Они купались, ловили рыбу и до поздней ночи сидели у костра. Зимой дом пустел, и только сторож обходил его по вечерам. Так было каждый год.",
+    "Stary dom stał nad brzegiem rzeki i nikt już nie pamiętał, kiedy go zbudowano. Latem przyjeżdżały tutaj dzieci z miasta. Kąpały się, łowiły ryby i siedziały przy ognisku aż późno w noc. Zimą dom pustoszał, tylko stróż obchodził go wieczorami. Tak było każdego roku.",
+    "古い家は川のほとりに立っていた。いつ建てられたのか、誰も覚えていない。夏になると町から子どもたちがやって来て、泳いだり魚を捕ったりした。冬には誰もいなくなり、番人だけが夕方に見回った。" * 3,
+])
+def test_texts_of_other_languages_are_kept(text):
+    menu = "<div><a href=a>Uno</a> <a href=b>Due</a></div>"
+    assert page_text.main_text(f"{menu}<div>{text}</div><div>{text}</div>") == f"{text}\n{text}"
+
+
+def test_short_pages_and_controls_in_a_text():
+    assert page_text.main_text("<div><h1>Title</h1><p>Short note.</p></div>") == "Title\nShort note."
+    assert page_text.main_text(f"<article><p>{ENGLISH[0]} <button>Share</button><label>x</label>more.</p></article>") == f"{ENGLISH[0]} more."
+    assert page_text.main_text(f"<form><p>Your name:</p><p>Search the site</p></form><article><p>{ENGLISH[0]}</p></article>") == ENGLISH[0]
+
+
+def test_the_density_rule_decides(monkeypatch):
+    """Without it the given pages, their article elements renamed, come out otherwise."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    renamed = [page.replace("<article>", "<div>").replace("</article>", "</div>") for page in pages]
+    ruled = [page_text.main_text(page) for page in renamed]
+    monkeypatch.setattr(page_text, "stop_share", lambda text: 0.0)
+    monkeypatch.setattr(page_text, "in_sentences", lambda text: False)
+    assert sum(a != page_text.main_text(page) for a, page in zip(ruled, renamed)) > 0.9 * len(pages)
+
+
 @pytest.mark.parametrize("quote", ['"', "'"])
 @pytest.mark.parametrize("n", [10, 900, 1100, 200_000])
 def test_attribute_values_of_any_length(quote, n):
