@@ -32,8 +32,14 @@ CANDIDATE_LENGTH = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: How far behind a sensitive word a candidate may start, and how much text around it may explain it, in characters.
 REACH, AROUND = 64, 512
-#: Marginal compressed bytes for each character from which a candidate counts as novel. Random base64 needs 0.75.
-NOVELTY = 0.7
+#: Of so many characters without digits one must change case.
+CASE_CHANGES = 4
+#: How far behind a novel candidate the next one may start; and what follows it as the short last line of a key.
+CHAIN = 16
+LAST_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?=[ \t]*(?:\r?\n|$))")
+#: Marginal compressed bytes for each character from which a candidate counts as novel. Random base64 needs about 0.75, a word
+#: in its own language about half of that.
+NOVELTY = 0.66
 
 #: What code around secrets commonly spells: the dictionary that primes the compressor.
 IDENTIFIERS = (
@@ -65,20 +71,34 @@ class SecretScanner:
         return sorted(found)
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates outside the base spans that start near a sensitive word and that nothing around them explains."""
-        lower, out, seen = text.encode().lower().decode(), [], -1
+        """Candidates in a sensitive context that nothing around them explains, but for those within one base span.
+
+        A sensitive word opens a context of ``REACH`` characters. A novel candidate carries it on: to what follows within
+        ``CHAIN`` characters, line after line of a key or part after part of a token, and to the short last line of a key.
+        """
+        lower, out, seen = text.encode().lower().decode(), [], 0
         for word in SENSITIVE.finditer(lower):
+            at, limit = max(word.end(), seen), word.end() + REACH
             # one that starts at the end of the reach is found, and no search goes on behind it
-            for m in CANDIDATE.finditer(text, max(word.end(), seen), min(len(text), word.end() + REACH + CANDIDATE_LENGTH)):
+            while m := CANDIDATE.search(text, at, min(len(text), limit + CANDIDATE_LENGTH)):
                 # the run may begin before and end after what was searched
                 start, end = m.start(), CANDIDATE.match(text, m.start()).end()
-                seen = max(seen, end)
+                at = seen = end
                 whole = start == 0 or not CANDIDATE_CHARACTER.match(text, start - 1)
-                if whole and mixed(text[start:end]) and not any(a < end and start < b for a, _, b in base):
-                    if self.marginal(text, start, end) >= self.novelty * (end - start):
-                        out.append((start, 3, end))
+                if not whole or not self.is_novel(text, start, end):
+                    continue
+                limit = max(limit, end + CHAIN)
+                spans = [(start, end)]
+                if (last := LAST_LINE.match(text, end)) and self.is_novel(text, *last.span(1)):
+                    spans.append(last.span(1))
+                    at = seen = last.end()
+                out += [(x, 3, y) for x, y in spans if not any(i <= x and y <= j for i, _, j in base)]
         return out
 
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        """Whether a span that is no word adds at least ``novelty`` compressed bytes for each of its characters."""
+        return mixed(text[start:end]) and self.marginal(text, start, end) >= self.novelty * (end - start)
+
     def marginal(self, text: str, start: int, end: int) -> int:
         """The bytes that a span adds to its surroundings when both are compressed with the dictionary."""
         before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
@@ -94,8 +114,12 @@ CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_-]")
 
 
 def mixed(candidate: str) -> bool:
-    """Whether a candidate has digits and letters, as words and numbers have not."""
-    return any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate)
+    """Whether a candidate has digits and letters, or changes case as often as no word or name does.
+
+    Short surroundings don't tell the compressor that a long word is one.
+    """
+    changes = sum(a.isupper() != b.isupper() for a, b in zip(candidate, candidate[1:]))
+    return any(c.isalpha() for c in candidate) and (any(c.isdigit() for c in candidate) or CASE_CHANGES * changes >= len(candidate))
 
 
 def suspicious(texts: pa.Array) -> np.ndarray:
@@ -129,7 +153,7 @@ def find_secrets(docs: DataFrame, identifiers: Sequence[str] = IDENTIFIERS, nove
     """``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_novel``, ``base_sha256`` and ``spans`` of every text.
 
     A span is ``kind:start:end`` in code points, end exclusive; spans are sorted by start, then kind as in ``KINDS``, and
-    joined by commas. ``base_sha256`` is the hash of the spans of the three patterns; the novelty method only adds
+    joined by commas. A ``novel`` span may overlap a base span but does not lie within one. ``base_sha256`` is the hash of the spans of the three patterns; the novelty method only adds
     ``novel`` spans. A null text counts as empty and has no spans; every row is answered for itself, where it lies; other
     columns are not read.
     """
