@@ -1,10 +1,14 @@
-"""Devanagari to Latin letters, in the published ITRANS scheme, as one Catalyst expression."""
+"""Devanagari to Latin letters, in the published ITRANS scheme."""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import sys
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # The ITRANS letters.
 CONSONANTS = {
@@ -45,20 +49,61 @@ NUKTA_LETTERS = {
 CONSONANT_CLASS = "\u0915-\u0939\u0958-\u095f"
 CLOSER_CLASS = "\u093e-\u094d\u0962\u0963"
 
+#: Runs of letters that a batch remembers before it starts afresh.
+MEMO_RUNS = 500_000
+
+
+def _transitions() -> dict[str, tuple[str, bool, bool]]:
+    """For each letter its spelling, whether it takes the place of an inherent vowel, and whether it brings one."""
+    letters = {**CONSONANTS, **VOWELS, **VOWEL_SIGNS, VIRAMA: "", **MARKS, **DIGITS}
+    closer, consonant = re.compile(f"[{CLOSER_CLASS}]"), re.compile(f"[{CONSONANT_CLASS}]")
+    block = map(chr, range(0x0900, 0x0980))
+    return {c: (letters.get(c, c), bool(closer.match(c)), bool(consonant.match(c))) for c in block}
+
+
+TRANSITIONS = _transitions()
+RUNS = re.compile("([\u0900-\u097f]+)")
+WITH_NUKTA = re.compile(f"[{''.join(NUKTA_LETTERS)}]{NUKTA}")
+
+
+def spell(run: str) -> str:
+    """A run of Devanagari letters in ITRANS, letter by letter."""
+    if NUKTA in run:
+        run = WITH_NUKTA.sub(lambda pair: NUKTA_LETTERS[pair[0][0]], run)
+    out, open_consonant = [], False
+    for letter in run:
+        spelled, closes, opens = TRANSITIONS[letter]
+        if open_consonant and not closes:
+            out.append("a")
+        out.append(spelled)
+        open_consonant = opens
+    return "".join(out) + "a" * open_consonant
+
+
+@F.arrow_udf(StringType())
+def _spelled(texts: pa.Array) -> pa.Array:
+    """Texts with their Devanagari runs spelled, each distinct run once."""
+    memo, out = {}, []
+    for text in texts.to_pylist():
+        if text is not None:
+            pieces = RUNS.split(text)  # every second piece is a run
+            for run in set(pieces[1::2]).difference(memo):
+                memo[run] = spell(run)
+            pieces[1::2] = [memo[run] for run in pieces[1::2]]
+            text = "".join(pieces)
+            if len(memo) > MEMO_RUNS:
+                memo.clear()
+        out.append(text)
+    return pa.array(out, pa.string())
+
 
 def romanize(text: Column) -> Column:
     """The text with Devanagari letters spelled in ITRANS; all other characters stay.
 
-    A consonant without a vowel sign or virama carries an inherent ``a``. Rows without Devanagari skip the
-    replacements. Letters spelled with one character are translated in one pass.
+    A consonant without a vowel sign or virama carries an inherent ``a``. Only texts with Devanagari letters are sent to
+    Python; there runs of such letters are cut out, spelled, and put back in their places.
     """
-    composed = _replace_all(text, {base + NUKTA: letter for base, letter in NUKTA_LETTERS.items()})
-    spelled = F.regexp_replace(composed, f"([{CONSONANT_CLASS}])(?![{CLOSER_CLASS}])", "$1a")
-    letters = {**CONSONANTS, **VOWELS, **VOWEL_SIGNS, VIRAMA: "", **MARKS, **DIGITS}
-    single = {letter: latin for letter, latin in letters.items() if len(latin) == 1}
-    several = {letter: latin for letter, latin in letters.items() if len(latin) != 1}
-    translated = F.translate(spelled, "".join(single), "".join(single.values()))
-    return F.when(has_devanagari(text), _replace_all(translated, several)).otherwise(text)
+    return F.coalesce(_spelled(F.when(has_devanagari(text), text)), text)
 
 
 def has_devanagari(text: Column) -> Column:
@@ -66,5 +111,4 @@ def has_devanagari(text: Column) -> Column:
     return F.rlike(text, F.lit("[\u0900-\u097f]"))
 
 
-def _replace_all(text: Column, table: dict[str, str]) -> Column:
-    return reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), table.items(), text)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

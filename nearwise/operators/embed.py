@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from nearwise.functions.text import tokens
 from nearwise.session import materialize
 
-cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIM = 256
 MAX_BROADCAST_TERMS = 1_000_000  # terms a task may hold, and their letters in bytes
@@ -60,7 +62,8 @@ def embed_tfidf(
     A vocabulary of checked size is broadcast and texts are encoded where they lie, without a shuffle. Of a
     larger one only the most common terms are broadcast, at most ``max_broadcast_terms`` and as many as a measured
     number of bytes holds. Their part of each text is encoded in place; of the other words only their counts in each text
-    leave it, to be joined with the rest of the vocabulary. Texts are never shuffled. Each row is carried through under a
+    leave it, to be joined with the rest of the vocabulary. What is shuffled are weights of the buckets that a text fills,
+    never a text or a whole vector. Each row is carried through under a
     number of its own, so keys may be null or repeat.
     """
     lookup = terms.select("term", "idf", "bucket")
@@ -87,7 +90,7 @@ def embed_tfidf(
     rare = rare.join(terms.where(F.col("df") <= threshold).select("term", "idf", "bucket"), "term")
     rare = rare.select("row number", F.struct("bucket", weight).alias("part")).groupBy("row number")
     both = partial.drop("rare words", "n words").join(rare.agg(F.collect_list("part").alias("parts")), "row number", "left")
-    added = [f for f in both.drop("row number", "parts", "embedding").schema]
+    added = [f for f in both.drop("row number", "parts", "common").schema]
     schema = T.StructType([*added, T.StructField("embedding", T.ArrayType(T.FloatType()))])
     return both.drop("row number").mapInArrow(_adder(dim), schema)
 
@@ -97,12 +100,11 @@ def _adder(dim: int):
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, dim).copy()
-            parts = batch.column("parts")
-            owner = pc.list_parent_indices(parts).to_numpy()
-            flat = parts.flatten()
-            np.add.at(sums, (owner, flat.field("bucket").to_numpy()), flat.field("weight").to_numpy())
-            yield batch.drop_columns(["embedding", "parts"]).append_column("embedding", _lists(sums.astype(np.float32)))
+            sums = np.zeros((batch.num_rows, dim))
+            for parts in (batch.column("common"), batch.column("parts")):
+                owner, flat = pc.list_parent_indices(parts).to_numpy(), parts.flatten()
+                np.add.at(sums, (owner, flat.field("bucket").to_numpy()), flat.field("weight").to_numpy())
+            yield batch.drop_columns(["common", "parts"]).append_column("embedding", _lists(sums.astype(np.float32)))
 
     return add
 
@@ -110,17 +112,18 @@ def _adder(dim: int):
 def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int, split: bool = False) -> DataFrame:
     """Look up each batch's distinct words and add up their weights, text by text.
 
-    With ``split`` the sums stay in double, and ``n words`` and the counts of words outside the vocabulary are added.
+    With ``split`` the sums stay in double and come as ``common``, those that are not zero with their buckets; ``n words``
+    and the counts of words outside the vocabulary are added.
     """
     vocabulary = vocabulary.combine_chunks()
     shared = texts.sparkSession.sparkContext.broadcast(
         (_single(vocabulary.column(0)), vocabulary.column(1).to_numpy(), vocabulary.column(2).to_numpy())
     )
 
+    name = uuid.uuid4().hex
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf, bucket = shared.value
-        known = {term: place for place, term in enumerate(known.to_pylist())}
-        idf, bucket = np.append(idf, 0.0), np.append(bucket, 0)  # the last entry stands for unknown words
+        known, idf, bucket = _kept(name, lambda: _vocabulary(*shared.value))
         for batch in batches:
             n = batch.num_rows
             words = pc.split_pattern(pc.fill_null(batch.column(1), ""), " ")
@@ -141,19 +144,39 @@ def _encode_in_place(texts: DataFrame, vocabulary: pa.Table, dim: int, split: bo
             pairs, times = np.unique(owner[outside] * len(names) + code[outside], return_counts=True)
             entries = pa.StructArray.from_arrays([names.take(pa.array(pairs % len(names))), pa.array(times, pa.int64())], ["term", "n"])
             bounds = np.searchsorted(pairs // len(names), np.arange(n + 1)).astype(np.int32)
-            batch = batch.append_column("embedding", _lists(sums)).append_column("n words", pa.array(n_words, pa.int64()))
+            filled_at = np.flatnonzero(sums)
+            weights = pa.StructArray.from_arrays([pa.array(filled_at % dim, pa.int32()), pa.array(sums.ravel()[filled_at])], ["bucket", "weight"])
+            ends = np.searchsorted(filled_at, np.arange(n + 1) * dim).astype(np.int32)
+            batch = batch.append_column("common", pa.ListArray.from_arrays(pa.array(ends), weights))
+            batch = batch.append_column("n words", pa.array(n_words, pa.int64()))
             yield batch.append_column("rare words", pa.ListArray.from_arrays(pa.array(bounds), entries))
 
     text = texts.columns[1]
     kept = [f for f in texts.schema if f.name != text]
-    number = T.DoubleType() if split else T.FloatType()
-    kept.append(T.StructField("embedding", T.ArrayType(number)))
     if split:
+        weight = T.StructType().add("bucket", T.IntegerType()).add("weight", T.DoubleType())
         entry = T.StructType().add("term", "string").add("n", "long")
-        kept += [T.StructField("n words", T.LongType()), T.StructField("rare words", T.ArrayType(entry))]
+        kept += [T.StructField("common", T.ArrayType(weight)), T.StructField("n words", T.LongType())]
+        kept.append(T.StructField("rare words", T.ArrayType(entry)))
+    else:
+        kept.append(T.StructField("embedding", T.ArrayType(T.FloatType())))
     return texts.mapInArrow(encode, T.StructType(kept))
 
 
+def _vocabulary(terms: pa.Array, idf: np.ndarray, bucket: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The place of each term, and what lies there; the last entry stands for unknown words."""
+    return {term: place for place, term in enumerate(terms.to_pylist())}, np.append(idf, 0.0), np.append(bucket, 0)
+
+
+def _kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker made for an earlier task of the same name, or makes now; it keeps one such thing at a time."""
+    held = vars(sys).setdefault("_nearwise_vocabulary", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
+
+
 def _single(column: pa.ChunkedArray) -> pa.Array:
     chunks = column.combine_chunks()
     return chunks if isinstance(chunks, pa.Array) else pa.concat_arrays(chunks.chunks)

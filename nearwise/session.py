@@ -6,6 +6,7 @@ import contextlib
 import hashlib
 import os
 import tempfile
+import threading
 import urllib.parse
 import uuid
 from collections.abc import Iterator
@@ -57,33 +58,41 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other job uses; :func:`working_tables` knows it."""
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    _MADE.append(path)
+    _made().append(path)
     return path
 
 
-#: The paths handed out and not removed yet, in order.
+#: The paths handed out and not removed yet: those made outside of any block, and of each thread a list for each block it is in.
 _MADE: list[str] = []
+_BLOCKS = threading.local()
+
+
+def _made() -> list[str]:
+    blocks = getattr(_BLOCKS, "open", None)
+    return blocks[-1] if blocks else _MADE
 
 
 @contextlib.contextmanager
 def working_tables(spark: SparkSession) -> Iterator[None]:
-    """Remove all working tables made inside the block when it ends, also by an error.
+    """Remove all working tables that this thread makes inside the block when it ends, also by an error.
 
     Results that are needed afterwards must be written elsewhere first: to a path of one's own, or to one from
-    :func:`fresh_path` taken before the block. Blocks may be nested; jobs of other threads must not share the block.
+    :func:`fresh_path` taken before the block. Blocks may be nested.
     """
-    before = len(_MADE)
+    if not hasattr(_BLOCKS, "open"):
+        _BLOCKS.open = []
+    made: list[str] = []
+    _BLOCKS.open.append(made)
     try:
         yield
     finally:
-        made = _MADE[before:]
-        del _MADE[before:]
+        _BLOCKS.open.pop()
         for path in made:
             remove(spark, path)
 
 
 def clear_working_tables(spark: SparkSession) -> None:
-    """Remove every working table this process has made: at a session's end, when no result is read any more."""
+    """Remove every working table made outside of blocks: at a session's end, when no result is read any more."""
     while _MADE:
         remove(spark, _MADE.pop())
 
@@ -145,8 +154,8 @@ class Resources:
 
     def _remove(self, key: tuple) -> None:
         path = self.held.pop(key)[1]
-        if path in _MADE:
-            _MADE.remove(path)
+        if path in (made := _made()):
+            made.remove(path)
         remove(self.spark, path)
 
 
