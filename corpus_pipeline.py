@@ -10,7 +10,7 @@ from nearwise.llm.pieces import piece_digests
 from nearwise.llm.queries import table
 from nearwise.llm.secret_scan import redact_secrets
 from nearwise.llm.toxicity import drop_toxic, fit_toxicity
-from nearwise.session import materialize
+from nearwise.session import fresh_path, working_tables
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``, each written to the shared folder and read again."""
+    """All stages over the table ``documents``, each written to the shared folder and read again.
+
+    What a stage needed on its way is removed when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        with working_tables(spark):
+            done = stage(spark, docs, sf_dir)
+            done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
     return docs
 
 
