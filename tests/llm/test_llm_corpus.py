@@ -82,15 +82,41 @@ def test_near_duplicates_equal_plain(docs, size):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == near_plain(corpus(), size)
 
 
-def test_buckets_with_many_groups(docs, monkeypatch):
-    """One band of one hash puts most texts in few buckets, so many rounds of pivots are needed; nothing is lost."""
-    monkeypatch.setattr(near_dups, "PIVOTS", 2)
-    monkeypatch.setattr(near_dups, "GROWTH", 1)
+@pytest.mark.parametrize("group", [2, 1000])
+def test_buckets_with_many_groups(docs, monkeypatch, group):
+    """Most texts lie in few buckets, and links lead from one to the next; nothing is lost, also when sets are sent often."""
+    monkeypatch.setattr(near_dups, "GROUP", group)
     monkeypatch.setattr(near_dups, "BROADCAST_IDS", 0)
     rows = [(i, f"a b c d e {i % 7} x{i % 7} y{i % 7} z{i % 7} q{i % 7} tail {i}" * 3) for i in range(40)]
-    frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
-    got = near_dups.near_duplicates(frame, 1).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == near_plain(rows, 1)
+    rng, base = random.Random(3), [f"b{i}" for i in range(60)]
+    for i in range(120):  # copies with so many changes that some are linked and some not, by words that many share
+        changed = list(base)
+        for at in rng.sample(range(60), rng.randrange(14)):
+            changed[at] = f"v{rng.randrange(20)}"
+        rows.append((100 + i, " ".join(changed[: rng.choice([60, 60, 55])])))
+    frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for size in (1, 2):
+        got = near_dups.near_duplicates(frame, size).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == near_plain(rows, size)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_rarest_shingles_find_all_similar_sets(spark, percent):
+    rng, sets = random.Random(percent), []
+    for crowd in range(6):
+        base = rng.sample(range(300), rng.choice([1, 2, 3, 8, 30, 70]))
+        for _ in range(25):
+            one = set(base) - set(rng.sample(base, rng.randrange(len(base) // 4 + 1)))
+            sets.append(one | {rng.randrange(300) for _ in range(rng.randrange(len(base) // 4 + 1))} or {crowd})
+    members = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, members array<long>")
+    active = members.select("node", (F.col("node") % 140).alias("label"), F.size("members").cast("long").alias("n_shingles"))
+    found = {(r.u, r.v) for r in near_dups._by_rarest(members, active, percent).collect()}
+    alike = {
+        (a, b) for a in range(len(sets)) for b in range(a)
+        if a % 140 != b % 140 and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    }
+    assert alike and alike <= found and all(u > v and u % 140 != v % 140 for u, v in found)
+    assert len(found) < len(sets) ** 2 / 8
 
 
 @pytest.mark.parametrize("find", [near_dups.near_duplicates, near_dups.deduplicate])
@@ -194,6 +220,36 @@ def test_quality_weights_equal_plain(spark):
     assert weights[pair] < 0 < weights[good]
 
 
+def test_quality_verdicts_equal_plain(spark):
+    """Score, threshold and verdict of every given document, from buckets that Spark gives for each word and pair."""
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{n}.parquet") for n in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
+    texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    words = sorted({x for t in texts.values() for x in t})
+    hashed = spark.createDataFrame([(x,) for x in words], "w string").select("w", F.xxhash64("w").alias("h"))
+    hashes = {r.w: r.h for r in hashed.collect()}
+    pairs = sorted({pair for t in texts.values() for pair in zip(t, t[1:])})
+    frame = spark.createDataFrame([(*p, hashes[p[0]], hashes[p[1]]) for p in pairs], "a string, b string, x long, y long")
+    buckets = {w: h % quality.BUCKETS for w, h in hashes.items()}
+    buckets.update({(r.a, r.b): r.h % quality.BUCKETS for r in frame.select("a", "b", F.xxhash64("x", "y").alias("h")).collect()})
+    grams = {i: [buckets[x] for x in [*t, *zip(t, t[1:])]] for i, t in texts.items()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, found in grams.items():
+        np.add.at(raw, found, 1)
+        np.add.at(good, found, known.get(i) == 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share, prior = raw / raw.sum(), quality.TARGET_PRIOR * quality.BUCKETS
+        weights = np.where(raw > 0, np.log((good + prior * share) / (good.sum() + prior)) - np.log(share), 0)
+    scores = {i: float(np.sum(weights[found]) / max(1, len(found))) for i, found in grams.items()}
+    assert all(abs(got[i].score - scores[i]) < 2e-6 for i in texts)
+    sides = [sorted(got[i].score for i, q in known.items() if i in got and q == side and not got[i].base_failed) for side in (1, 0)]
+    lowest = sides[0][int((1 - quality.KEEP_TRUSTED) * len(sides[0]))]
+    cut = sides[1][min(len(sides[1]) - 1, int(np.ceil(quality.REJECT_OTHERS * len(sides[1]))))]
+    threshold = min((cut + lowest) / 2, lowest)
+    assert all(abs(r.threshold - threshold) < 1e-9 and r.kept == (not r.base_failed and r.score >= r.threshold) for r in got.values())
+
+
 @pytest.mark.parametrize("broadcast_ids", [10, 0])
 def test_quality_counts_all_trusted_texts(spark, broadcast_ids, monkeypatch):
     rows = [(i, f"word{i} good text", 1) for i in range(9)] + [(20 + i, f"noise{i} bad", 0) for i in range(9)] + [(None, "null id", 1)]
@@ -301,4 +357,4 @@ def test_registered():
     import __spark_entry__
 
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert len(QUERIES) == 10 and all(re.match(r"op\d+_", name) for name in QUERIES)
+    assert len(QUERIES) == 13 and all(re.match(r"op\d+_", name) for name in QUERIES)
