@@ -285,6 +285,7 @@ def _sketcher(size: int):
                 ],
                 ["doc_id", "n_shingles", "set1", "set2", "bands", *SIGNATURE],
             )
+        w.release()
 
     return run
 
@@ -302,6 +303,7 @@ def _matching(size: int):
             flat = np.concatenate(kept) if kept else np.empty(0, np.uint64)
             nodes = batch.column("node").filter(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays([nodes, w.as_lists(_signed(flat), bounds)], ["node", "members"])
+        w.release()
 
     return run
 
@@ -323,6 +325,7 @@ def _confirmer(percent: int):
                 shared = np.count_nonzero(against[at] == members)
                 keep[row] = 100 * shared >= percent * (len(members) + len(against) - shared)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
+        w.release()
 
     return run
 

@@ -20,6 +20,8 @@ from nearwise.llm import words as w
 from nearwise.llm.chunks import ChunkMemo
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: Distinct chunks a worker remembers, some 200 bytes each.
+MEMO_CHUNKS = 300_000
 SPACE = "▁".encode()
 #: A chunk is a run of spaces with what follows it, or a line feed with what follows it.
 CHUNK = re.compile(rb" *[^ \n]+| +|\n[^ \n]*")
@@ -143,7 +145,7 @@ class PieceEncoder:
         inner = re.compile(rb"[^\n]\n|(?<!^)(?<!" + SPACE + rb")" + SPACE)
         apart = not any(inner.search(s) or s.count(b"\n") for s, k in zip(spelled, kinds) if k != BYTE)
         self.by_chunk = self.normalize.plain and apart and not any(k == 4 for k in kinds)
-        self.chunks = ChunkMemo(self._encode_chunks)
+        self.chunks = ChunkMemo(self._encode_chunks, limit=MEMO_CHUNKS)
         self.line_feed = len(self.model.encode("\n")) - 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -263,6 +265,7 @@ def _decoder(path: str):
 
 def _digests(path: str, with_ids: bool):
     def digest(batches):
+        w.release()  # what earlier tasks of this worker left
         encoder = _encoder(path)
         spelled = [str(i).encode() for i in range(len(encoder.sizes))]
         for batch in w.slices(batches):

@@ -6,6 +6,7 @@ byte, so splitting bytes and splitting characters give the same words.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,6 +30,14 @@ def per_process(key: tuple, make: Callable[[], object]) -> object:
     return held[key]
 
 
+def release() -> None:
+    """Give memory that is not in use back to the system: a worker outlives its tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 booleans that is false exactly inside ``ranges``."""
     table = np.ones(256, bool)
