@@ -25,7 +25,9 @@ SEGMENT_IDS = 1 << 20
 #: Bytes of text that one task packs, about.
 RANGE_BYTES = 64 << 20
 #: Bytes of text that are encoded at a time: the more, the fewer words are looked up again.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Distinct words, and parts of words not met before, that a worker remembers; some 200 bytes each.
+MEMO_WORDS, MEMO_PIECES = 600_000, 250_000
 #: Starts of segments that may be broadcast (some 40 bytes each); more are joined by shuffle.
 BROADCAST_STARTS = 1_000_000
 
@@ -54,8 +56,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = ChunkMemo(self._encode_words, silent=[b""])
-        self.pieces = ChunkMemo(self._encode_pieces, silent=["\n"])
+        self.words = ChunkMemo(self._encode_words, silent=[b""], limit=MEMO_WORDS)
+        self.pieces = ChunkMemo(self._encode_pieces, silent=["\n"], limit=MEMO_PIECES)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text; a null is an empty text."""
@@ -205,6 +207,7 @@ def _packer(path: str, end_id: int):
                 docs, lengths, ids, held, seq = [], [], [], 0, seq + 1
         if docs:
             yield segment()
+        w.release()
 
     return pack
 
