@@ -21,7 +21,7 @@ from nearwise.llm.chunks import ChunkMemo
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Distinct chunks a worker remembers, some 200 bytes each.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 150_000
 SPACE = "▁".encode()
 #: A chunk is a run of spaces with what follows it, or a line feed with what follows it.
 CHUNK = re.compile(rb" *[^ \n]+| +|\n[^ \n]*")
@@ -288,6 +288,7 @@ def _digests(path: str, with_ids: bool):
                 columns.append(w.as_lists(pa.array(ids), np.concatenate([[0], np.cumsum(lengths)])))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        w.release()
 
     return digest
 
