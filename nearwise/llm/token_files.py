@@ -25,9 +25,9 @@ SEGMENT_IDS = 1 << 20
 #: Bytes of text that one task packs, about.
 RANGE_BYTES = 64 << 20
 #: Bytes of text that are encoded at a time: the more, the fewer words are looked up again.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Distinct words, and parts of words not met before, that a worker remembers; some 200 bytes each.
-MEMO_WORDS, MEMO_PIECES = 600_000, 250_000
+MEMO_WORDS, MEMO_PIECES = 800_000, 400_000
 #: Starts of segments that may be broadcast (some 40 bytes each); more are joined by shuffle.
 BROADCAST_STARTS = 1_000_000
 
