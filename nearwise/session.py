@@ -12,9 +12,11 @@ import uuid
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def get_spark(app_name: str = "nearwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,20 +41,51 @@ def get_spark(app_name: str = "nearwise", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, the context's checkpoint folder, or one in the warehouse.
 
-    A session in one process without either gets a fresh temporary folder; on a cluster that is an error, because a
-    machine-local folder would not survive the loss of its machine. For the same reason a path needs a scheme there.
+    A session in one process without a checkpoint folder gets a fresh temporary one. On a cluster a path without a scheme lies
+    in the default file system, and without any path there is ``nearwise-working`` in the warehouse, which Spark shares anyhow.
+    Either may turn out to be a machine's own folder, in which tables would lose rows without an error, so both are tried out
+    first (see :func:`_tried`).
     """
     context = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     alone = context.master == "local" or context.master.startswith("local[")
     if path and (alone or "://" in path or path.startswith("file:/")):
         return path.rstrip("/")
-    if not alone:
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors, with its scheme")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="nearwise-"))
-    return context.getCheckpointDir()
+    if alone:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="nearwise-"))
+        return context.getCheckpointDir()
+    if not path:
+        warehouse = spark.conf.get(WAREHOUSE_CONF)
+        if not warehouse:
+            raise ValueError(f"set {CHECKPOINT_CONF} or {WAREHOUSE_CONF} to a folder shared by all executors")
+        path = f"{warehouse.rstrip('/')}/nearwise-working"
+    return _tried(spark, path)
+
+
+#: Folders that were tried out, by application and path: their names with scheme.
+_TRIED: dict[tuple[str, str], str] = {}
+
+
+def _tried(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, once tasks on the executors have each written a row there and all were read back."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TRIED:
+        place = _hadoop_path(spark, path)
+        whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+        n, probe = max(2, spark.sparkContext.defaultParallelism), f"{whole}/probe-{uuid.uuid4().hex}"
+        try:
+            spark.range(0, n, 1, n).write.parquet(probe)
+            found = spark.read.schema("id long").parquet(probe).count()
+        except (Py4JJavaError, PySparkException) as error:
+            raise ValueError(f"the executors can't share {whole}: set {CHECKPOINT_CONF}, with its scheme") from error
+        finally:
+            remove(spark, probe)
+        if found != n:
+            raise ValueError(f"the executors don't share {whole}: set {CHECKPOINT_CONF}, with its scheme")
+        _TRIED[key] = whole
+    return _TRIED[key]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
