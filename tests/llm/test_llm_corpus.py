@@ -261,6 +261,21 @@ def test_quality_counts_all_trusted_texts(spark, broadcast_ids, monkeypatch):
     assert seen == [fit(docs, labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id"))]
 
 
+@pytest.mark.parametrize("sample", [20_000, 1])
+def test_quality_threshold_counts_all_labelled_texts(spark, sample):
+    """Also when scores are not collected; of a repeated id one text counts."""
+    plain = " ".join(f"w{i}" for i in range(17))
+    rows = [(i, f"{plain} {' '.join(f'{x}{i % 97}' for x in 'abcde')} {'good' if i % 2 else 'bad'}") for i in range(1, 2400)]
+    docs = spark.createDataFrame([*rows, *rows[:300], (9001, "good"), (None, plain)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(9001, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    weights = quality.fit_weights(docs, quality.trusted_ids(labels))
+    score = {r.doc_id: r.score for r in docs.select("doc_id", quality.word_counts(F.col("text"), weights).score.alias("score")).collect()}
+    good, bad = (sorted(score[i] for i, _ in rows if i % 2 == side) for side in (1, 0))
+    limit, cut = good[int((1 - quality.KEEP_TRUSTED) * len(good))], bad[int(np.ceil(quality.REJECT_OTHERS * len(bad)))]
+    assert len(set(good)) > 20 < len(set(bad))
+    assert quality.fit_threshold(docs, labels, weights, sample) == min((cut + limit) / 2, limit)
+
+
 def test_samples_bound_rows(spark, monkeypatch):
     """What reaches the driver is one row of each sampled id, however often it is repeated."""
     rows = [(i, f"text {i} of the house", "en", i % 2) for i in range(1, 40)] + [(3, f"copy {i} with other words", "en", 1) for i in range(200)]
