@@ -496,7 +496,7 @@ def stream_search(spark, sf_dir):
     """All embeddings arriving as a stream of queries, answered batch by batch."""
     corpus = corpus_vectors(spark, sf_dir)
     schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]mbeddings.parquet")  # a pattern may be a single file too
     out = fresh_path(spark, "stream-hits")
     stream = search_stream(
         arriving.select(F.col("vec_id").alias("query_id"), "embedding"),
