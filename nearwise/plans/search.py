@@ -6,14 +6,14 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nearwise.functions.tags import render_tags
 from nearwise.functions.text import CLEANERS, add_combined_text, four_decimals, title_case
 from nearwise.operators import bloom
 from nearwise.operators.embed import DIM, embed_tfidf, embed_with, fit_terms
 from nearwise.operators.facets import ALWAYS_CONTAINS, facet_always, facet_bucket, facet_match
-from nearwise.operators.knn import METRICS, Facets, knn_join, nearest_first
+from nearwise.operators.knn import METRICS, Facets, Postfilter, knn_join, nearest_first
 from nearwise.operators.topk import rank_within
 from nearwise.session import materialize
 from nearwise.sources.records import corpus_mapping
@@ -186,16 +186,16 @@ def search_compare(
         return _search_prefiltered(queries, vectors, k, always_contains, metrics, digits)
     if mode != "postfilter":
         raise ValueError(f"unknown mode: {mode}")
-    facet, used = F.col("facet"), F.col("facet_used")
-    ranked = knn_join(
-        queries, vectors, k * overfetch, metrics=metrics, query_carry=["facet_used"], corpus_carry=["facet"], digits=digits
+    used = F.col("facet_used")
+
+    def test(used: Column, facet: Column) -> Column:
+        return used.isNull() | facet_match(facet, used, always_contains)
+
+    found = knn_join(
+        queries, vectors, k * overfetch, metrics=metrics, query_carry=["facet_used"], corpus_carry=["facet"],
+        postfilter=Postfilter("facet_used", "facet", test, k), digits=digits,
     )
-    ranked = ranked.withColumn("matched", used.isNull() | facet_match(facet, used, always_contains))
-    per_list = Window.partitionBy("query_id", "metric")
-    judged = ranked.withColumn("any_match", F.max("matched").over(per_list))
-    kept = judged.where(F.col("matched") | ~F.col("any_match"))
-    cut = rank_within(kept.drop("rank"), ["query_id", "metric"], nearest_first()).where(F.col("rank") <= k)
-    return cut.select(*FOUND, F.when(used.isNotNull(), ~F.col("any_match")).alias("fallback_used"))
+    return found.select(*FOUND, F.when(used.isNotNull(), ~F.col("any_match")).alias("fallback_used"))
 
 
 FOUND = ("query_id", "metric", "rank", "doc_id", "score", "facet", "facet_used")
