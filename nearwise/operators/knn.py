@@ -254,6 +254,7 @@ def _search_in_parts(
             part, columns = scan_kernel.corpus_part(table, dim, task.k)
             parts.append(context.broadcast(tuple(part)))  # plain arrays need no module to unpickle
             carried.append(context.broadcast(columns))
+            del table, part, columns  # before the next part comes
         hit = ", ".join(["doc_id: bigint", "score: double", *(f"c{i}: string" for i in range(task.n_corpus_carry))])
         fields = ["query_id long", "metric string", *(f"q{i} string" for i in range(n_carry)), f"hits array<struct<{hit}>>"]
         cores = context.defaultParallelism

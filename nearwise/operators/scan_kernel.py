@@ -287,13 +287,15 @@ def corpus_part(table: pa.Table, dim: int, k: int) -> tuple[Part, list[pa.Array]
     """
     rows, x = matrix_of(table.column(1), dim)
     x_norm2 = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+    finite = np.isfinite(x_norm2)
+    if not finite.all():
+        rows, x, x_norm2 = rows[finite], x[finite], x_norm2[finite]
     docs = table.column(0).to_numpy()[rows]
-    mixed = np.random.default_rng(0).permutation(np.flatnonzero(np.isfinite(x_norm2)))
-    kept = _without_surplus_copies(x[mixed], docs[mixed], x_norm2[mixed], None, None, k)
-    mixed = mixed if kept is None else mixed[kept]
+    kept = _without_surplus_copies(x, docs, x_norm2, None, None, k)
+    mixed = np.random.default_rng(0).permutation(len(x) if kept is None else kept)
     carried = table.select(range(2, table.num_columns)).take(pa.array(rows[mixed])).combine_chunks()
     columns = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in carried.columns]
-    return Part(docs[mixed], np.ascontiguousarray(x[mixed])), columns
+    return Part(docs[mixed], x[mixed]), columns
 
 
 class Lists:

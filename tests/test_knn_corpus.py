@@ -4,12 +4,16 @@ from functools import partial
 
 import numpy as np
 import pytest
+from oracle_check import connect, mismatch
 from pyspark.sql import functions as F
 from test_knn import brute_force, ids, sample, table
 
+from __spark_entry__ import oracle_sql, queries
 from nearwise.operators.knn import knn_join
 from nearwise.plans import search
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def files_of(df):
     """The rows in the files that a result is read from."""
@@ -107,3 +111,12 @@ def test_compare_keeps_the_same_rows(spark, monkeypatch, repeated):
     found = search.search_compare(q, c, k=3, overfetch=4, always_contains="s17", digits=6)
     assert found.columns == plain.columns and sorted(map(str, found.collect())) == expected
     assert repeated or files_of(found) == len(expected)
+
+
+@pytest.mark.parametrize("name", ["search_bucketed"])
+def test_ordered_lists_equal_sql(spark, monkeypatch, name):
+    """A whole query whose lists don't fit in a task: as its SQL, with nothing stored but the rows that it orders."""
+    monkeypatch.setattr(search, "knn_join", partial(knn_join, max_query_bytes=1 << 18))
+    found = queries()[name](spark, SF_DIR)
+    assert mismatch(found, oracle_sql()[name], connect(SF_DIR)) is None
+    assert files_of(found) == found.count()
