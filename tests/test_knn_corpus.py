@@ -113,7 +113,7 @@ def test_compare_keeps_the_same_rows(spark, monkeypatch, repeated):
     assert repeated or files_of(found) == len(expected)
 
 
-@pytest.mark.parametrize("name", ["search_bucketed"])
+@pytest.mark.parametrize("name", ["search_bucketed", "search_order_reference"])
 def test_ordered_lists_equal_sql(spark, monkeypatch, name):
     """A whole query whose lists don't fit in a task: as its SQL, with nothing stored but the rows that it orders."""
     monkeypatch.setattr(search, "knn_join", partial(knn_join, max_query_bytes=1 << 18))
